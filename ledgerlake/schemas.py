@@ -193,7 +193,8 @@ COLUMN_TAGS = {
     ("transaction", "counterparty_account"): "PII_FINANCIAL",
     ("credit_profile", "credit_score"): "CONFIDENTIAL",
     ("credit_profile", "annual_income"): "CONFIDENTIAL",
-    ("risk_assessment", "risk_score"): "CONFIDENTIAL",
+    ("loan_request", "customer_name"): "PII_DIRECT",
+    ("loan_request", "amount"): "PII_FINANCIAL",
 }
 
 #: Columns an analyst may see, per view of the semantic perimeter.
