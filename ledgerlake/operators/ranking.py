@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.running import row_numbers
+
 
 def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of every group in ``order``, with their position as ``rn``."""
@@ -25,15 +27,17 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return top_n_per_key(df, keys, order, 1).drop("rn")
 
 
-def next_version(new_rows: DataFrame, history: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+def next_versions(
+    new_rows: DataFrame, history: DataFrame, key: str, order: str, tiebreak: str
+) -> DataFrame:
     """``new_rows`` numbered as the next versions of their key in an append-only table.
 
-    A key's version is one more than the rows it has so far, as counted in ``history``.
+    A key's next version is one more than the rows ``history`` holds for it.
     """
     used = history.groupBy(key).agg(F.count(F.lit(1)).alias("_used"))
-    window = Window.partitionBy(key).orderBy(*order)
     return (
-        new_rows.join(used, key, "left")
-        .withColumn("version", F.coalesce(F.col("_used"), F.lit(0)) + F.row_number().over(window))
-        .drop("_used")
+        row_numbers(new_rows, key, order, tiebreak, out="_nth")
+        .join(used, key, "left")
+        .withColumn("version", F.coalesce(F.col("_used"), F.lit(0)) + F.col("_nth"))
+        .drop("_used", "_nth")
     )

@@ -44,3 +44,30 @@ def running_total(
         .join(carried, [key, "_slice"])
         .select(key, order, "n", (F.col("_inside") + F.col("_carried")).alias("running"))
     )
+
+
+def row_numbers(
+    rows: DataFrame, key: str, order: str, tiebreak: str, out: str = "rn", slice_seconds: int = 60
+) -> DataFrame:
+    """Position of every row in its key by (``order``, ``tiebreak``), from 1.
+
+    Rows are numbered inside (key, time slice) and shifted by the counts of the key's
+    earlier slices, so a key is spread over as many tasks as it has slices.
+    """
+    sliced = rows.withColumn(
+        "_slice",
+        F.coalesce(F.expr(f"unix_seconds({order}) div {int(slice_seconds)}"), F.lit(-(2**62)).cast("long")),
+    )
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        sliced.groupBy(key, "_slice")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(key, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    )
+    inside = Window.partitionBy(key, "_slice").orderBy(order, tiebreak)
+    return (
+        sliced.withColumn("_inside", F.row_number().over(inside))
+        .join(before, [key, "_slice"])
+        .withColumn(out, F.col("_before") + F.col("_inside"))
+        .drop("_slice", "_inside", "_before")
+    )
