@@ -13,10 +13,8 @@ CARD = r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b|\b3[47][0-9]{2}[ -]
 IBAN = r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"
 TOKEN_LABEL = "LEDGER_TOKEN"
 
-#: Masked outright, one character for one.
-DIRECT = "|".join((EMAIL, PHONE))
-#: Replaced by a deterministic token, so equal values stay joinable.
-SENSITIVE = "|".join((SSN, IBAN, CARD))
+#: Everything that is masked or tokenised, tried in this order at each place in a text.
+ANY = "|".join((EMAIL, SSN, IBAN, CARD, PHONE))
 
 
 def luhn_valid(number: Column) -> Column:
@@ -64,9 +62,11 @@ def token(value: Column, secret: str) -> Column:
 def deidentify(text: Column, secret: str) -> Column:
     """Tokens for SSN, IBAN and card numbers; ``#`` for every character of e-mails and phones."""
 
-    def tokenise(m: Column) -> Column:
+    def hide(m: Column) -> Column:
+        direct = m.contains("@") | m.rlike(f"^(?:{PHONE})$")
         not_a_card = m.rlike(f"^(?:{CARD})$") & ~luhn_valid(m)
-        return F.when(not_a_card, m).otherwise(token(m, secret))
+        return (
+            F.when(direct, F.repeat(F.lit("#"), F.length(m))).when(not_a_card, m).otherwise(token(m, secret))
+        )
 
-    tokenised = replace_matches(text, SENSITIVE, tokenise)
-    return replace_matches(tokenised, DIRECT, lambda m: F.repeat(F.lit("#"), F.length(m)))
+    return replace_matches(text, ANY, hide)

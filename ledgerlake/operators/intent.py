@@ -50,10 +50,11 @@ DEFAULT_INTENT = "analytics"
 def keyword_hits(question: Column, words: Sequence[str]) -> Column:
     """How many of the words occur at the start of a word; stems match their longer forms."""
     lowered = F.lower(F.coalesce(question, F.lit("")))
-    marks = [lowered.rlike("(^|[^a-z0-9_])" + re.escape(w).replace("\\ ", " ")) for w in words]
     total = F.lit(0)
-    for mark in marks:
-        total = total + mark.cast("int")
+    for w in words:
+        # The plain search is far cheaper and settles almost every word.
+        starts_word = lowered.rlike("(^|[^a-z0-9_])" + re.escape(w).replace("\\ ", " "))
+        total = total + (lowered.contains(w) & starts_word).cast("int")
     return total
 
 

@@ -36,25 +36,40 @@ def _quoted_list(names: Column) -> Column:
     return F.concat(F.lit("['"), F.array_join(names, "', '"), F.lit("']"))
 
 
-def parsed(raw: Column) -> Column:
-    """Struct of the message fields (text), plus whether the payload is JSON and an object.
+def _stage(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns computed once per row.
 
-    Wrapping the payload in brackets makes trailing text after the first value an error.
+    A one-row generator keeps the optimizer from copying the expressions into every
+    filter and projection that uses them, which would parse a payload dozens of times.
     """
-    wrapped = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>", _JSON_OPTIONS)
-    is_json = F.is_valid_utf8(raw) & F.coalesce(F.size(wrapped) == 1, F.lit(False))
-    is_object = is_json & F.trim(F.get(wrapped, 0)).startswith("{") & F.rtrim(raw).rlike(r"\}\s*$")
-    fields = F.from_json(raw, schemas.MESSAGE, _JSON_OPTIONS)
-    return F.struct(
-        F.coalesce(is_json, F.lit(False)).alias("is_json"),
-        F.coalesce(is_object, F.lit(False)).alias("is_object"),
-        fields.alias("fields"),
-    )
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _without_newline(text: Column) -> Column:
+    """The format check lets one trailing newline through; the number does not carry it."""
+    return F.regexp_replace(text, r"\n$", "")
 
 
-def first_error(message: Column) -> Column:
-    """Reason of the first failed check of a :func:`parsed` struct, null for a sound message."""
-    field = {name: message["fields"][name] for name in schemas.MESSAGE.names}
+def check_messages(messages: DataFrame, raw: str = "data") -> DataFrame:
+    """``messages`` with ``message`` (fields as text, amount and time typed) and ``error``.
+
+    ``error`` is the reason of the first failed check, null for a sound message. Wrapping
+    the payload in brackets makes trailing text after the first value an error.
+    """
+    text = F.col(raw)
+    read = _stage(
+        messages,
+        _wrapped=F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _JSON_OPTIONS),
+        _fields=F.from_json(text, schemas.MESSAGE, _JSON_OPTIONS),
+    )
+    field = {name: F.col("_fields")[name] for name in schemas.MESSAGE.names}
+    typed = _stage(
+        read,
+        _amount=_without_newline(field["amount"]).try_cast(schemas.MONEY),
+        _event_time=event_timestamp(field["event_time"]),
+    )
+    is_json = F.coalesce(F.is_valid_utf8(text) & (F.size("_wrapped") == 1), F.lit(False))
+    is_object = F.trim(F.get("_wrapped", 0)).startswith("{") & text.rlike(r"\}\s*$")
     absent = F.filter(
         F.array(
             *[
@@ -64,50 +79,43 @@ def first_error(message: Column) -> Column:
         ),
         lambda name: name.isNotNull(),
     )
-    amount = F.trim(F.regexp_replace(field["amount"], r"\n$", "")).try_cast(schemas.MONEY)
+
+    def invalid(what: str, name: str) -> Column:
+        return F.concat(F.lit(f"invalid {what}: "), field[name])
+
     checks = (
-        (~message["is_json"], F.lit("unparseable payload")),
-        (~message["is_object"], F.lit("payload is not a JSON object")),
+        (~is_json, F.lit("unparseable payload")),
+        (~F.coalesce(is_object, F.lit(False)), F.lit("payload is not a JSON object")),
         (F.size(absent) > 0, F.concat(F.lit("missing required fields: "), _quoted_list(absent))),
-        (~field["txn_type"].isin(*schemas.TXN_TYPES), F.concat(F.lit("invalid txn_type: "), field["txn_type"])),
-        (~field["status"].isin(*schemas.TXN_STATUSES), F.concat(F.lit("invalid status: "), field["status"])),
-        (
-            ~field["amount"].rlike(schemas.AMOUNT_FORMAT) | amount.isNull(),
-            F.concat(F.lit("invalid amount format: "), field["amount"]),
-        ),
-        (
-            ~field["currency"].rlike(schemas.CURRENCY_FORMAT),
-            F.concat(F.lit("invalid currency: "), field["currency"]),
-        ),
+        (~field["txn_type"].isin(*schemas.TXN_TYPES), invalid("txn_type", "txn_type")),
+        (~field["status"].isin(*schemas.TXN_STATUSES), invalid("status", "status")),
         (
-            event_timestamp(field["event_time"]).isNull(),
-            F.concat(F.lit("invalid event_time: "), field["event_time"]),
+            ~field["amount"].rlike(schemas.AMOUNT_FORMAT) | F.col("_amount").isNull(),
+            invalid("amount format", "amount"),
         ),
+        (~field["currency"].rlike(schemas.CURRENCY_FORMAT), invalid("currency", "currency")),
+        (F.col("_event_time").isNull(), invalid("event_time", "event_time")),
     )
-    return F.coalesce(*[F.when(failed, reason) for failed, reason in checks])
-
-
-def check_messages(messages: DataFrame, raw: str = "data") -> DataFrame:
-    """``messages`` with ``message`` (parsed) and ``error`` (null when sound)."""
-    return messages.withColumn("message", parsed(F.col(raw))).withColumn(
-        "error", first_error(F.col("message"))
-    )
+    error = F.coalesce(*[F.when(failed, reason) for failed, reason in checks])
+    message = F.struct("_fields.*", F.col("_amount").alias("amount_value"), F.col("_event_time").alias("event_at"))
+    staged = _stage(typed, error=error)
+    return staged.withColumn("message", message).drop("_wrapped", "_fields", "_amount", "_event_time")
 
 
 def conform(checked: DataFrame, *keep: str) -> DataFrame:
     """Sound rows of :func:`check_messages` in silver types, with the columns in ``keep``."""
-    f = F.col("message.fields")
+    f = F.col("message")
     return checked.where(F.col("error").isNull()).select(
         *keep,
         f["transaction_id"].alias("transaction_id"),
         f["idempotency_key"].alias("idempotency_key"),
         f["account_id"].alias("account_id"),
         f["txn_type"].alias("txn_type"),
-        F.trim(F.regexp_replace(f["amount"], r"\n$", "")).cast(schemas.MONEY).alias("amount"),
+        f["amount_value"].alias("amount"),
         f["currency"].alias("currency"),
         f["counterparty_account"].alias("counterparty_account"),
         f["status"].alias("status"),
-        event_timestamp(f["event_time"]).alias("event_time"),
+        f["event_at"].alias("event_time"),
     )
 
 

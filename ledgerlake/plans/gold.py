@@ -107,6 +107,14 @@ def balance_of(account_balance_view: DataFrame, account_id: str) -> DataFrame:
     )
 
 
+def balances_of(account_balance_view: DataFrame, account_ids: DataFrame) -> DataFrame:
+    """Balances of the accounts listed in ``account_ids``."""
+    wanted = account_ids.select("account_id")
+    return account_balance_view.join(wanted, "account_id", "left_semi").select(
+        "account_id", "currency", "balance", "last_activity_at"
+    )
+
+
 def summary_of(account_summary_view: DataFrame, account_id: str) -> DataFrame:
     return account_summary_view.where(F.col("account_id") == account_id)
 
@@ -126,13 +134,18 @@ def newest_transactions(transaction: DataFrame, account_id: str, limit: int = 50
     )
 
 
-def recent_activity(transaction: DataFrame, account_id: str, as_of: datetime, days: int = 30) -> DataFrame:
-    """One account's transactions of the last ``days`` (1 to 365) days, newest first."""
+def activity_since(transaction: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
+    """Every account's transactions of the last ``days`` (1 to 365) days."""
     if not 1 <= days <= 365:
         raise ValueError("days must be 1 to 365")
     since = F.lit(as_of) - F.make_dt_interval(days=F.lit(days))
+    return transaction.where(F.col("event_time") >= since).select("account_id", *_READ_COLUMNS)
+
+
+def recent_activity(transaction: DataFrame, account_id: str, as_of: datetime, days: int = 30) -> DataFrame:
+    """One account's transactions of the last ``days`` days, newest first."""
     return (
-        transaction.where((F.col("account_id") == account_id) & (F.col("event_time") >= since))
+        activity_since(transaction.where(F.col("account_id") == account_id), as_of, days)
         .select(*_READ_COLUMNS)
         .orderBy(F.desc("event_time"), "transaction_id")
     )
