@@ -369,6 +369,65 @@ def streamed_bronze(b: Bank) -> DataFrame:
     return landed.select("message_id", "publish_time", "data", F.col("publish_date"))
 
 
+@report
+def message_lines(b: Bank) -> DataFrame:
+    """The feed written as JSON lines and read back untouched, then checked."""
+    path = scratch_dir(b.spark, "lines")
+    b.transaction_event.select("data").write.text(path)
+    return validate.check_messages(files.read_messages(b.spark, path)).select("data", "error")
+
+
+@report
+def streamed_lines(b: Bank) -> DataFrame:
+    """The same lines through the stream reader."""
+    root = scratch_dir(b.spark, "lines")
+    b.transaction_event.select("data").write.text(f"{root}/in")
+    checked = validate.check_messages(files.stream_messages(b.spark, f"{root}/in")).select("data", "error")
+    (
+        checked.writeStream.option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+        .start(f"{root}/out", format="parquet")
+        .awaitTermination()
+    )
+    return b.spark.read.parquet(f"{root}/out")
+
+
+@report
+def clustered_days(b: Bank) -> DataFrame:
+    """Transactions written in clustered day partitions; one week read back by pruning."""
+    path = scratch_dir(b.spark, "clustered")
+    files.write_clustered(b.transaction, path, "event_time", ["account_id", "txn_type"])
+    week = files.between_days(b.spark.read.parquet(path), "event_time", datetime(2024, 1, 8), datetime(2024, 1, 15))
+    return week.select("transaction_id", "account_id", "event_time", "event_date")
+
+
+@report
+def serving_table(b: Bank) -> DataFrame:
+    """The newest-first projection written in key order and read back."""
+    path = scratch_dir(b.spark, "serving")
+    files.write_key_sorted(gold.txn_by_account(b.transaction), path)
+    return b.spark.read.parquet(path).select("row_key", "transaction_id")
+
+
+@report
+def corpus_load(b: Bank) -> DataFrame:
+    """The corpus written as NDJSON, loaded with its declared schema, replacing a table."""
+    root = scratch_dir(b.spark, "corpus")
+    b.kb_raw.write.json(f"{root}/raw")
+    files.replace_table(files.load_corpus(b.spark, f"{root}/raw", schemas.KB_RAW), f"{root}/table")
+    return b.spark.read.parquet(f"{root}/table").select("doc_id", "title", "category", F.sha2("content", 256).alias("hash"))
+
+
+@report
+def appended_audit(b: Bank) -> DataFrame:
+    """Audit rows of decisions appended in two loads and read with the declared schema."""
+    path = scratch_dir(b.spark, "audit")
+    cut = F.lit(datetime(1998, 1, 1))
+    for load in (F.col("decided_at") < cut, F.col("decided_at") >= cut):
+        files.append_rows(loans.decision_audit(b.approval_decision.where(load)), path, schemas.LOAN_AUDIT_LOG)
+    return files.read_table(b.spark, path, schemas.LOAN_AUDIT_LOG)
+
+
 @report
 def freshness(b: Bank) -> DataFrame:
     return ingest.freshness(b.transaction)

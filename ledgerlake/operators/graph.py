@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake import schemas
+from ledgerlake.session import checkpointed
 
 
 def owns(account: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def edge_counts(account: DataFrame, transaction: DataFrame, loan_request: DataFr
 def deposits_by_owner_segment(customer: DataFrame, account: DataFrame, transaction: DataFrame) -> DataFrame:
     """(Customer)-OWNS->(Account)<-ON_ACCOUNT-(deposit), counted and summed by segment.
 
-    The deposit edges are summed per account before the pattern is matched.
+    The deposit edges are summed per account, then per owner, before the pattern is matched.
     """
     deposits = (
         on_account(transaction, "txn_type", "amount")
@@ -49,6 +50,8 @@ def deposits_by_owner_segment(customer: DataFrame, account: DataFrame, transacti
     )
     return (
         deposits.join(owns(account).select("src", "dst"), "dst")
+        .groupBy("src")
+        .agg(F.sum("_n").alias("_n"), F.sum("_amount").alias("_amount"))
         .join(customer.select(F.col("customer_id").alias("src"), "segment"), "src")
         .groupBy("segment")
         .agg(F.sum("_n").alias("txns"), F.sum("_amount").alias("total"))
@@ -74,12 +77,12 @@ def walk_counts(edges: DataFrame, hops: int) -> DataFrame:
     Counts travel back along the edges, one join and sum per hop; no chain is ever listed,
     so the work stays linear in the edges even around a hub. Each hop is checkpointed.
     """
-    pairs = edges.select("src", "dst").checkpoint()
-    out = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("walks_1")).checkpoint()
+    pairs = checkpointed(edges.select("src", "dst"))
+    out = checkpointed(pairs.groupBy("src").agg(F.count(F.lit(1)).alias("walks_1")))
     for hop in range(2, hops + 1):
         onward = out.select(F.col("src").alias("dst"), F.col(f"walks_{hop - 1}").alias("_n"))
         longer = pairs.join(onward, "dst").groupBy("src").agg(F.sum("_n").alias(f"walks_{hop}"))
-        out = out.join(longer, "src", "left").checkpoint()
+        out = checkpointed(out.join(longer, "src", "left"))
     zeros = [F.coalesce(f"walks_{h}", F.lit(0)).alias(f"walks_{h}") for h in range(1, hops + 1)]
     return out.select(F.col("src").alias("node"), *zeros)
 
@@ -89,16 +92,16 @@ def hops_from(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
 
     Each hop follows the edges of the newest nodes only and is checkpointed.
     """
-    reached = seeds.select("node").distinct().withColumn("hops", F.lit(0)).checkpoint()
+    reached = checkpointed(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     frontier = reached.select("node")
-    pairs = edges.select("src", "dst").checkpoint()
+    pairs = checkpointed(edges.select("src", "dst"))
     for hop in range(1, max_hops + 1):
         onward = (
             pairs.join(frontier.select(F.col("node").alias("src")), "src", "left_semi")
             .select(F.col("dst").alias("node"))
             .distinct()
         )
-        frontier = onward.join(reached, "node", "left_anti").checkpoint()
+        frontier = checkpointed(onward.join(reached, "node", "left_anti"))
         reached = reached.unionByName(frontier.withColumn("hops", F.lit(hop)))
     return reached
 

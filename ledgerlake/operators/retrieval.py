@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.hashing import fingerprint
 from ledgerlake.functions.text import tokens
 from ledgerlake.operators.ranking import top_n_per_key
-from ledgerlake.session import broadcast_if_small
+from ledgerlake.session import broadcast_if_small, checkpointed
 
 # ---- fixed values: BM25 and fusion constants ----
 K1 = 1.2
@@ -64,7 +64,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     wanted = query_tokens(queries)
     # Postings feed the statistics and the scores; they are far smaller than the corpus,
     # and the checkpoint survives lost executors.
-    found = postings(docs, wanted).checkpoint()
+    found = checkpointed(postings(docs, wanted))
     stats = found.where(F.col("tok") == "").agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")
     )
@@ -97,35 +97,45 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def _best(query: np.ndarray, distance: np.ndarray, name: np.ndarray, k: int):
+    """The ``k`` least (distance, name) of every query, from parallel arrays."""
+    order = np.lexsort((name, distance, query))
+    query, distance, name = query[order], distance[order], name[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    keep = place < k
+    return query[keep], distance[keep], name[keep]
+
+
 def _nearest_in_partition(query_ids: list[str], query_matrix: np.ndarray, k: int):
     """A mapInPandas function keeping each query's ``k`` nearest rows of one partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [
-            (np.empty(0), np.empty(0, dtype=object)) for _ in query_ids
-        ]
+        query, distance, name = np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=str)
+        limit = np.full(len(query_ids), np.inf)
         for batch in batches:
             if batch.empty:
                 continue
-            ids = batch["doc_id"].to_numpy(dtype=object)
+            ids = batch["doc_id"].to_numpy().astype(str)
             corpus = _unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64))
             for start in range(0, len(query_ids), 256):
                 block = query_matrix[start : start + 256]
                 distances = np.round(1.0 - corpus @ block.T, 10)
-                for offset in range(block.shape[0]):
-                    column = distances[:, offset]
-                    if len(column) > k:
-                        near = np.flatnonzero(column <= np.partition(column, k - 1)[k - 1])
-                    else:
-                        near = np.arange(len(column))
-                    seen, names = best[start + offset]
-                    seen = np.concatenate([seen, column[near]])
-                    names = np.concatenate([names, ids[near]])
-                    order = np.lexsort((names.astype(str), seen))[:k]
-                    best[start + offset] = (seen[order], names[order])
-        for query_id, (seen, names) in zip(query_ids, best, strict=True):
-            if len(seen):
-                yield pd.DataFrame({"query_id": query_id, "doc_id": names, "distance": seen})
+                reach = limit[start : start + 256]
+                if len(ids) > k:
+                    reach = np.minimum(reach, np.partition(distances, k - 1, axis=0)[k - 1])
+                # Ties at the limit stay in: the name decides among them.
+                rows, columns = np.nonzero(distances <= reach)
+                query = np.concatenate([query, columns + start])
+                distance = np.concatenate([distance, distances[rows, columns]])
+                name = np.concatenate([name, ids[rows]])
+            query, distance, name = _best(query, distance, name, k)
+            full, count = np.unique(query, return_counts=True)
+            last = np.cumsum(count) - 1
+            limit[full[count == k]] = distance[last[count == k]]
+        if len(query):
+            yield pd.DataFrame(
+                {"query_id": np.asarray(query_ids, dtype=object)[query], "doc_id": name, "distance": distance}
+            )
 
     return run
 
@@ -133,19 +143,19 @@ def _nearest_in_partition(query_ids: list[str], query_matrix: np.ndarray, k: int
 def nearest(query_vectors: DataFrame, vectors: DataFrame, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, doc_id, distance, rnk): the exact ``k`` nearest vectors by cosine distance.
 
-    ``query_vectors`` has query_id and embedding; ``vectors`` has doc_id and embedding.
-    Each task multiplies its share of the corpus with a block of queries and sends only
-    its own best ``k`` per query on. Blocks bound what the workers hold; every block is
-    searched, so no query is left out.
+    ``query_vectors`` has one row per query: query_id and embedding; ``vectors`` has doc_id
+    and embedding. Each task multiplies its share of the corpus with a block of queries
+    and sends only its own best ``k`` per query on. Blocks bound what the workers hold;
+    every block is searched, so no query is left out.
     """
     schema = "query_id string, doc_id string, distance double"
     corpus = vectors.select(F.col("doc_id").cast("string").alias("doc_id"), "embedding")
-    total = query_vectors.count()
-    blocks = max(1, -(-total // query_block))
+    queries = query_vectors.select("query_id", "embedding").dropDuplicates(["query_id"])
+    blocks = max(1, -(-queries.count() // query_block))
     out = None
     for block in range(blocks):
-        part = query_vectors.where(F.pmod(fingerprint(F.col("query_id")), F.lit(blocks)) == block)
-        rows = part.select("query_id", "embedding").toPandas()
+        part = queries.where(F.pmod(fingerprint(F.col("query_id")), F.lit(blocks)) == block)
+        rows = part.toPandas()
         if rows.empty:
             continue
         matrix = _unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64))

@@ -44,17 +44,27 @@ def log_rows(turns: DataFrame) -> DataFrame:
 def log_page(
     conversation_log: DataFrame, scores: DataFrame, as_of: datetime, hours: int, limit: int, offset: int
 ) -> DataFrame:
-    """One page of the log, newest first, with scores where a turn has them."""
-    turns = conversation_log.where(F.col("ts") >= _since(as_of, hours=hours))
+    """One page of the log, newest first, with scores where a turn has them.
+
+    A left join only adds rows, so the page comes from the first ``offset + limit`` turns;
+    just their scores are looked up.
+    """
+    newest = [F.desc("ts"), F.asc("conversation_id")]
+    turns = (
+        conversation_log.where(F.col("ts") >= _since(as_of, hours=hours)).orderBy(*newest).limit(offset + limit)
+    )
+    ids = F.broadcast(turns.select("conversation_id"))  # offset + limit rows at most
+    verdicts = scores.join(ids, "conversation_id", "left_semi").select(
+        "conversation_id", "overall", "groundedness", "safety"
+    )
 
     def shortened(name: str) -> Column:
         text = F.col(name)
         return F.when(F.length(text) > SHOWN_CHARS, F.concat(F.substring(text, 1, SHOWN_CHARS), F.lit("…"))).otherwise(text)
 
-    verdicts = scores.select("conversation_id", "overall", "groundedness", "safety")
     return (
         turns.join(verdicts, "conversation_id", "left")
-        .orderBy(F.desc("ts"), "conversation_id")
+        .orderBy(*newest)
         .offset(offset)
         .limit(limit)
         .withColumn("question", shortened("question"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlake import schemas
 from ledgerlake.operators.ranking import latest_per_key, next_versions
 from ledgerlake.operators.scorecard import AUTO_APPROVE_MAX, dti_ratio, score_loans
+from ledgerlake.plans.semantic import with_customer
 
 # ---- fixed values: loan status that follows each decision ----
 STATUS_AFTER = {
@@ -191,15 +192,13 @@ def approved_exposure(loan_status_view: DataFrame) -> DataFrame:
 
 def pending_by_segment(loan_request: DataFrame, account: DataFrame, customer: DataFrame) -> DataFrame:
     """Loans pending approval per customer segment, counted per account before the joins."""
-    from ledgerlake.plans.semantic import with_customer
-
     pending = (
         loan_request.where(F.col("status") == "PENDING_APPROVAL")
         .groupBy("account_id")
         .agg(F.count(F.lit(1)).alias("_loans"))
     )
     return (
-        with_customer(pending, account, customer)
+        with_customer(pending, account, customer, "_loans")
         .groupBy("segment")
         .agg(F.sum("_loans").alias("pending_loans"))
     )

@@ -72,11 +72,18 @@ def customer_360(
     )
 
 
-def with_customer(per_account: DataFrame, account: DataFrame, customer: DataFrame) -> DataFrame:
-    """Per-account rows bridged to their customer and segment."""
-    return per_account.join(account.select("account_id", "customer_id"), "account_id").join(
-        customer.select("customer_id", "segment"), "customer_id"
+def with_customer(per_account: DataFrame, account: DataFrame, customer: DataFrame, *measures: str) -> DataFrame:
+    """Per-account rows bridged to customers: the sum of each measure, per customer, with the segment.
+
+    Summing per customer before the last join keeps its keys single on both sides, also
+    when one customer owns a large share of the accounts.
+    """
+    per_customer = (
+        per_account.join(account.select("account_id", "customer_id"), "account_id")
+        .groupBy("customer_id")
+        .agg(F.count(F.lit(1)).alias("_accounts"), *[F.sum(m).alias(m) for m in measures])
     )
+    return per_customer.join(customer.select("customer_id", "segment"), "customer_id")
 
 
 def net_amount_by_segment(transaction: DataFrame, account: DataFrame, customer: DataFrame) -> DataFrame:
@@ -87,7 +94,7 @@ def net_amount_by_segment(transaction: DataFrame, account: DataFrame, customer:
         .agg(F.sum(net_delta(F.col("txn_type"), F.col("amount"))).alias("_net"))
     )
     return (
-        with_customer(per_account, account, customer)
+        with_customer(per_account, account, customer, "_net")
         .groupBy("segment")
         .agg(F.sum("_net").alias("net_transaction_amount"))
     )
@@ -100,7 +107,7 @@ def deposits_by_segment(transaction: DataFrame, account: DataFrame, customer: Da
         F.count("transaction_id").alias("_txns"),
     )
     return (
-        with_customer(per_account, account, customer)
+        with_customer(per_account, account, customer, "_deposits", "_txns")
         .groupBy("segment")
         .agg(F.sum("_deposits").alias("total_deposits"), F.sum("_txns").alias("txns"))
         .orderBy(F.desc("total_deposits"), "segment")

@@ -30,18 +30,31 @@ def build_session(app: str = "ledgerlake", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new, unused folder under the cluster's shared ``spark.checkpoint.dir``.
+def _shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
 
     Only a local session may fall back to the machine's own temporary folder; on a
     cluster such a folder would be invisible to the other executors.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        shared = tempfile.mkdtemp(prefix="ledgerlake-")
-    return os.path.join(shared, f"{purpose}-{uuid.uuid4().hex}")
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return tempfile.mkdtemp(prefix="ledgerlake-")
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A new, unused folder under the shared one."""
+    return os.path.join(_shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(_shared_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 def broadcast_if_small(df: DataFrame, row_bound: int = BROADCAST_ROW_BOUND) -> DataFrame:

@@ -615,6 +615,17 @@ STATEMENTS: dict[str, str] = {
     "streamed_dead_letters": "SELECT error, data AS payload, '1.0.0' AS pipeline_version FROM v_checked WHERE error IS NOT NULL",
     "streamed_bronze": f"""SELECT message_id, {_txt('publish_time')}, data,
         CAST(CAST(t_transaction_event.publish_time AS DATE) AS VARCHAR) AS publish_date FROM t_transaction_event""",
+    "message_lines": "SELECT data, error FROM v_checked",
+    "streamed_lines": "SELECT data, error FROM v_checked",
+    "clustered_days": f"""SELECT transaction_id, account_id, {_txt('event_time')}, CAST(CAST(t.event_time AS DATE) AS VARCHAR) AS event_date
+        FROM t_transaction t WHERE t.event_time >= TIMESTAMP '2024-01-08' AND t.event_time < TIMESTAMP '2024-01-15'""",
+    "serving_table": """
+        SELECT account_id || '#' || lpad(CAST(9999999999 - CAST(floor(epoch(event_time)) AS BIGINT) AS VARCHAR), 10, '0')
+               || '#' || left(transaction_id, 8) AS row_key, transaction_id FROM t_transaction
+        QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY event_time DESC, transaction_id) = 1""",
+    "corpus_load": "SELECT doc_id, title, category, sha256(content) AS hash FROM t_kb_raw",
+    "appended_audit": f"""SELECT 'aud-' || decision_id AS audit_id, loan_id, approver AS actor, 'DECISION_' || decision AS action,
+        rationale AS detail, {_txt('decided_at', 'event_time')} FROM t_approval_decision""",
     "freshness": """
         SELECT CAST(epoch(date_trunc('second', max(ingest_time))) - epoch(date_trunc('second', max(event_time))) AS BIGINT) AS newest_lag_seconds,
                CAST(max(lag) AS BIGINT) AS worst_lag_seconds, round(avg(lag), 3) AS avg_lag_seconds,
