@@ -27,7 +27,7 @@ from ledgerlake.operators import (
 )
 from ledgerlake.operators.running import row_numbers
 from ledgerlake.plans import evals, gold, loans, semantic, steward
-from ledgerlake.session import scratch_dir
+from ledgerlake.session import scratch_dir, spread
 from ledgerlake.sources import files
 from ledgerlake.sources.bank import Bank
 from ledgerlake.streaming import ingest
@@ -290,9 +290,13 @@ def fact_transaction(b: Bank) -> DataFrame:
 # ---- ingest ----
 
 
+def _messages(b: Bank) -> DataFrame:
+    return spread(b.transaction_event, "message_id")
+
+
 def _silver(b: Bank, ttl_seconds: int = 3600) -> DataFrame:
     """Batch silver rows of the message feed."""
-    sound = validate.conform(validate.check_messages(b.transaction_event), "message_id", "publish_time")
+    sound = validate.conform(validate.check_messages(_messages(b)), "message_id", "publish_time")
     once = dedup.first_arrivals(
         sound, "idempotency_key", [F.asc("publish_time"), F.asc("message_id")], ttl_seconds
     )
@@ -301,7 +305,7 @@ def _silver(b: Bank, ttl_seconds: int = 3600) -> DataFrame:
 
 @report
 def message_checks(b: Bank) -> DataFrame:
-    return validate.check_messages(b.transaction_event).select("message_id", "error")
+    return validate.check_messages(_messages(b)).select("message_id", "error")
 
 
 @report
@@ -317,7 +321,7 @@ def silver_with_redeliveries(b: Bank) -> DataFrame:
 
 @report
 def dead_letters(b: Bank) -> DataFrame:
-    checked = validate.check_messages(b.transaction_event)
+    checked = validate.check_messages(_messages(b))
     letters = validate.dead_letters(checked, failed_at=F.col("publish_time"))
     return letters.withColumn("envelope_error", F.get_json_object("envelope", "$.error")).drop("envelope")
 
@@ -435,7 +439,7 @@ def freshness(b: Bank) -> DataFrame:
 
 @report
 def dead_letter_backlog(b: Bank) -> DataFrame:
-    checked = validate.check_messages(b.transaction_event)
+    checked = validate.check_messages(_messages(b))
     return ingest.dead_letter_backlog(validate.dead_letters(checked, failed_at=F.col("publish_time")))
 
 
@@ -484,7 +488,7 @@ def loan_scores(b: Bank) -> DataFrame:
         "reasons",
         "principal_reasons",
         F.transform(
-            "factors",
+            F.col("factors"),
             lambda f: F.concat_ws(
                 ":", f["code"], f["label"], f["value"], f["points"].cast("string"), f["max_points"].cast("string"), f["impact"]
             ),

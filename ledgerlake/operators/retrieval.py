@@ -58,8 +58,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rnk): the best ``k`` scoring documents of every query.
 
     ``queries`` has query_id and query; ``docs`` has doc_id, title and content. Documents
-    sharing no token with a query get no row. Term scores are summed as decimals, so
-    equal documents tie exactly whatever order the tasks finish in.
+    sharing no token with a query get no row. Term scores are summed as whole billionths,
+    so equal documents tie exactly whatever order the tasks finish in.
     """
     wanted = query_tokens(queries)
     # Postings feed the statistics and the scores; they are far smaller than the corpus,
@@ -71,7 +71,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     n_docs, avgdl = stats.first()
     if not n_docs or not avgdl:
         return wanted.sparkSession.createDataFrame(
-            [], "query_id string, doc_id string, score decimal(28,10), rnk int"
+            [], "query_id string, doc_id string, score double, rnk int"
         )
     terms = found.where(F.col("tok") != "")
     document_frequency = terms.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
@@ -83,7 +83,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     scored = (
         terms.join(broadcast_if_small(weights), "tok")
         .groupBy("query_id", "doc_id")
-        .agg(F.sum(term_score.cast("decimal(18,10)")).alias("score"))
+        .agg((F.sum(F.round(term_score * 1e9).cast("long")) / 1e9).alias("score"))
     )
     best = top_n_per_key(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
     return best.withColumnRenamed("rn", "rnk")

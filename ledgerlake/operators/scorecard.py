@@ -29,66 +29,52 @@ def number_text(value: Column) -> Column:
 class Factor:
     code: str
     label: str
-    value: Column
     text: Column
     max_points: int
-    bands: tuple  # (test or None, points, note as a Column)
+    bands: tuple  # (test or None, points, note as text or Column), read top down
 
-    def _pick(self, index: int) -> Column:
+    def pick(self, index: int) -> Column:
         picked = None
         for band in reversed(self.bands):
             result = band[index] if isinstance(band[index], Column) else F.lit(band[index])
             picked = result if band[0] is None else F.when(band[0], result).otherwise(picked)
         return picked
 
-    def as_struct(self) -> Column:
-        points = self._pick(1)
-        return F.struct(
-            F.lit(self.code).alias("code"),
-            F.lit(self.label).alias("label"),
-            self.text.alias("value"),
-            points.alias("points"),
-            F.lit(self.max_points).alias("max_points"),
-            self._pick(2).alias("note"),
-            F.when(points > 0, "increases risk").otherwise("favorable").alias("impact"),
-        )
-
 
 def _noted(words: str, text: Column) -> Column:
     return F.concat(F.lit(f"{words} ("), text, F.lit(")"))
 
 
-def factors(credit_score: Column, dti_ratio: Column, overdraft_events: Column, amount: Column) -> Column:
-    """Array of the four factor structs, in scorecard order."""
-    score, dti = credit_score.cast("long"), dti_ratio.cast("double")
-    events, size = overdraft_events.cast("long"), amount.cast("double")
-    score_text, dti_text = score.cast("string"), number_text(dti)
-    events_text = events.cast("string")
+def _factors() -> tuple[Factor, ...]:
+    """The four factors over the columns ``score_loans`` prepares, in scorecard order."""
+    score, dti, events, size = (F.col(f"_{name}") for name in ("score", "dti", "events", "size"))
+    score_text, dti_text, events_text, size_text = (
+        F.col(f"_{name}_text") for name in ("score", "dti", "events", "size")
+    )
     # ---- fixed values: bands, points and notes of each factor ----
-    table = (
-        Factor("CREDIT", "Credit score", score, score_text, 40, (
+    return (
+        Factor("CREDIT", "Credit score", score_text, 40, (
             (score >= 760, 0, _noted("excellent credit", score_text)),
             (score >= 700, 10, _noted("good credit", score_text)),
             (score >= 640, 22, _noted("fair credit", score_text)),
             (None, 40, _noted("poor credit", score_text)),
         )),
-        Factor("DTI", "Debt-to-income", dti, dti_text, 30, (
+        Factor("DTI", "Debt-to-income", dti_text, 30, (
             (dti <= 0.28, 0, _noted("healthy DTI", dti_text)),
             (dti <= 0.43, 15, _noted("elevated DTI", dti_text)),
             (None, 30, _noted("high DTI", dti_text)),
         )),
-        Factor("OVERDRAFT", "Overdraft history", events, events_text, 20, (
+        Factor("OVERDRAFT", "Overdraft history", events_text, 20, (
             (events == 0, 0, "no overdraft history"),
             (events <= 2, 10, F.concat(events_text, F.lit(" overdraft event(s)"))),
             (None, 20, _noted("frequent overdrafts", events_text)),
         )),
-        Factor("LOAN_SIZE", "Loan amount", size, number_text(size), 10, (
+        Factor("LOAN_SIZE", "Loan amount", size_text, 10, (
             (size > 50_000, 10, "large loan amount"),
             (size > 20_000, 5, "moderate loan amount"),
             (None, 0, "modest loan amount"),
         )),
     )
-    return F.array(*[f.as_struct() for f in table])
 
 
 def dti_ratio(annual_income: Column, existing_debt: Column, amount: Column, term_months: Column) -> Column:
@@ -99,19 +85,6 @@ def dti_ratio(annual_income: Column, existing_debt: Column, amount: Column, term
     return F.round((debt + new_debt) / income, 3)
 
 
-def principal_reasons(factor_array: Column) -> Column:
-    """``code: note`` of the factors with points, highest first, ties in scorecard order."""
-    ranked = F.array_sort(
-        F.transform(
-            F.filter(factor_array, lambda f: f["points"] > 0),
-            lambda f, i: F.struct(
-                (-f["points"]).alias("least"), i.alias("place"), F.concat_ws(": ", f["code"], f["note"]).alias("text")
-            ),
-        )
-    )
-    return F.transform(F.slice(ranked, 1, MAX_PRINCIPAL_REASONS), lambda r: r["text"])
-
-
 def recommendation(risk_score: Column) -> Column:
     return (
         F.when(risk_score <= APPROVE_MAX, "APPROVE")
@@ -123,19 +96,67 @@ def recommendation(risk_score: Column) -> Column:
 def score_loans(loans: DataFrame) -> DataFrame:
     """Add factors, score, recommendation, reasons and principal reasons to each loan.
 
-    Needs ``credit_score``, ``dti_ratio``, ``overdraft_events`` and ``amount``.
+    Needs ``credit_score``, ``dti_ratio``, ``overdraft_events`` and ``amount``. The steps are
+    separate projections of plain expressions, so they compile into one loop.
     """
-    with_factors = loans.withColumn(
-        "factors",
-        factors(F.col("credit_score"), F.col("dti_ratio"), F.col("overdraft_events"), F.col("amount")),
+    score, dti = F.col("credit_score").cast("long"), F.col("dti_ratio").cast("double")
+    events, size = F.col("overdraft_events").cast("long"), F.col("amount").cast("double")
+    inputs = {
+        "_score": score,
+        "_score_text": score.cast("string"),
+        "_dti": dti,
+        "_dti_text": number_text(dti),
+        "_events": events,
+        "_events_text": events.cast("string"),
+        "_size": size,
+        "_size_text": number_text(size),
+    }
+    table = _factors()
+    picked = loans.withColumns(inputs).withColumns(
+        {f"_points{i}": f.pick(1) for i, f in enumerate(table)}
+        | {f"_note{i}": f.pick(2) for i, f in enumerate(table)}
     )
-    total = F.aggregate("factors", F.lit(0), lambda acc, f: acc + f["points"])
+    points = [F.col(f"_points{i}") for i in range(len(table))]
+    notes = [F.col(f"_note{i}") for i in range(len(table))]
+    factor_structs = [
+        F.struct(
+            F.lit(f.code).alias("code"),
+            F.lit(f.label).alias("label"),
+            f.text.alias("value"),
+            p.alias("points"),
+            F.lit(f.max_points).alias("max_points"),
+            note.alias("note"),
+            F.when(p > 0, "increases risk").otherwise("favorable").alias("impact"),
+        )
+        for f, p, note in zip(table, points, notes, strict=True)
+    ]
+    # Highest points first, ties in scorecard order; factors without points sort last as nulls.
+    ranked = F.sort_array(
+        F.array(
+            *[
+                F.when(
+                    p > 0,
+                    F.struct(p.alias("p"), F.lit(-i).alias("place"), F.concat(F.lit(f"{f.code}: "), note).alias("text")),
+                )
+                for i, (f, p, note) in enumerate(zip(table, points, notes, strict=True))
+            ]
+        ),
+        asc=False,
+    )
+    raising = sum(((p > 0).cast("int") for p in points), F.lit(0))
+    total = sum(points, F.lit(0))
     return (
-        with_factors.withColumn("risk_score", F.least(F.lit(100), F.greatest(F.lit(0), total)).cast("long"))
+        picked.withColumns(
+            {
+                "factors": F.array(*factor_structs),
+                "risk_score": F.least(F.lit(100), F.greatest(F.lit(0), total)).cast("long"),
+                "reasons": F.array(*notes),
+                "principal_reasons": F.slice(ranked, 1, F.least(raising, F.lit(MAX_PRINCIPAL_REASONS)))["text"],
+                "model_version": F.lit(RISK_MODEL_VERSION),
+            }
+        )
         .withColumn("recommendation", recommendation(F.col("risk_score")))
-        .withColumn("reasons", F.transform("factors", lambda f: f["note"]))
-        .withColumn("principal_reasons", principal_reasons(F.col("factors")))
-        .withColumn("model_version", F.lit(RISK_MODEL_VERSION))
+        .drop(*inputs, *[f"_points{i}" for i in range(len(table))], *[f"_note{i}" for i in range(len(table))])
     )
 
 

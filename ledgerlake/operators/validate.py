@@ -17,23 +17,18 @@ _ISO_TIME = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
     r"([T ][0-9]{2}(:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?)?([+-][0-9]{2}(:?[0-9]{2})?)?)?$"
 )
-_COMPACT_TIME = r"^([0-9]{4})([0-9]{2})([0-9]{2})(T([0-9]{2})([0-9]{2})([0-9]{2}))?$"
+_COMPACT_DAY = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
+_COMPACT_TIME = r"^([0-9]{4})([0-9]{2})([0-9]{2})T([0-9]{2})([0-9]{2})([0-9]{2})$"
 
 
 def event_timestamp(text: Column) -> Column:
     """Time of an ISO 8601 text (``Z`` allowed, compact form allowed), null when it is not one."""
     plain = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    dashed = F.regexp_replace(plain, _COMPACT_TIME, "$1-$2-$3")
-    clock = F.regexp_extract(plain, _COMPACT_TIME, 4)
-    spread = F.when(
-        clock != "",
-        F.concat(dashed, F.regexp_replace(clock, "^T([0-9]{2})([0-9]{2})([0-9]{2})$", "T$1:$2:$3")),
-    ).otherwise(dashed)
-    return F.when(spread.rlike(_ISO_TIME), F.try_to_timestamp(spread))
-
-
-def _quoted_list(names: Column) -> Column:
-    return F.concat(F.lit("['"), F.array_join(names, "', '"), F.lit("']"))
+    day = F.regexp_replace(plain, _COMPACT_DAY, "$1-$2-$3")
+    spread = F.regexp_replace(day, _COMPACT_TIME, "$1-$2-$3T$4:$5:$6")
+    return F.when(plain.rlike(_ISO_TIME), F.try_to_timestamp(plain)).when(
+        plain.rlike(_COMPACT_DAY) | plain.rlike(_COMPACT_TIME), F.try_to_timestamp(spread)
+    )
 
 
 def _stage(df: DataFrame, **columns: Column) -> DataFrame:
@@ -54,39 +49,40 @@ def check_messages(messages: DataFrame, raw: str = "data") -> DataFrame:
     """``messages`` with ``message`` (fields as text, amount and time typed) and ``error``.
 
     ``error`` is the reason of the first failed check, null for a sound message. Wrapping
-    the payload in brackets makes trailing text after the first value an error.
+    the payload in brackets makes trailing text after the first value an error. A sound
+    payload is parsed once; only others are parsed again to name their fault.
     """
     text = F.col(raw)
-    read = _stage(
-        messages,
-        _wrapped=F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _JSON_OPTIONS),
-        _fields=F.from_json(text, schemas.MESSAGE, _JSON_OPTIONS),
-    )
-    field = {name: F.col("_fields")[name] for name in schemas.MESSAGE.names}
+    wrapped = F.concat(F.lit("["), text, F.lit("]"))
+    one_object = f"array<{schemas.MESSAGE.simpleString()}>"
+    read = _stage(messages, _read=F.from_json(wrapped, one_object, _JSON_OPTIONS))
+    fields = F.get("_read", 0)
+    field = {name: fields[name] for name in schemas.MESSAGE.names}
     typed = _stage(
         read,
         _amount=_without_newline(field["amount"]).try_cast(schemas.MONEY),
         _event_time=event_timestamp(field["event_time"]),
     )
-    is_json = F.coalesce(F.is_valid_utf8(text) & (F.size("_wrapped") == 1), F.lit(False))
-    is_object = F.trim(F.get("_wrapped", 0)).startswith("{") & text.rlike(r"\}\s*$")
-    absent = F.filter(
-        F.array(
-            *[
-                F.when(F.coalesce(field[name], F.lit("")) == "", F.lit(name))
-                for name in schemas.REQUIRED_MESSAGE_FIELDS
-            ]
-        ),
-        lambda name: name.isNotNull(),
+    single_object = (F.size("_read") == 1) & fields.isNotNull()
+    single_value = F.size(F.from_json(wrapped, "array<string>", _JSON_OPTIONS)) == 1
+    is_json = F.is_valid_utf8(text) & F.when(single_object, True).otherwise(single_value)
+    outline = F.btrim(text, F.lit(" \t\r\n"))
+    is_object = outline.startswith("{") & outline.endswith("}")
+    absent = F.concat_ws(
+        "', '",
+        *[
+            F.when(F.coalesce(field[name], F.lit("")) == "", F.lit(name))
+            for name in schemas.REQUIRED_MESSAGE_FIELDS
+        ],
     )
 
     def invalid(what: str, name: str) -> Column:
         return F.concat(F.lit(f"invalid {what}: "), field[name])
 
     checks = (
-        (~is_json, F.lit("unparseable payload")),
-        (~F.coalesce(is_object, F.lit(False)), F.lit("payload is not a JSON object")),
-        (F.size(absent) > 0, F.concat(F.lit("missing required fields: "), _quoted_list(absent))),
+        (~F.coalesce(is_json, F.lit(False)), F.lit("unparseable payload")),
+        (~is_object, F.lit("payload is not a JSON object")),
+        (absent != "", F.concat(F.lit("missing required fields: ['"), absent, F.lit("']"))),
         (~field["txn_type"].isin(*schemas.TXN_TYPES), invalid("txn_type", "txn_type")),
         (~field["status"].isin(*schemas.TXN_STATUSES), invalid("status", "status")),
         (
@@ -97,9 +93,13 @@ def check_messages(messages: DataFrame, raw: str = "data") -> DataFrame:
         (F.col("_event_time").isNull(), invalid("event_time", "event_time")),
     )
     error = F.coalesce(*[F.when(failed, reason) for failed, reason in checks])
-    message = F.struct("_fields.*", F.col("_amount").alias("amount_value"), F.col("_event_time").alias("event_at"))
+    message = F.struct(
+        *[c.alias(name) for name, c in field.items()],
+        F.col("_amount").alias("amount_value"),
+        F.col("_event_time").alias("event_at"),
+    )
     staged = _stage(typed, error=error)
-    return staged.withColumn("message", message).drop("_wrapped", "_fields", "_amount", "_event_time")
+    return staged.withColumn("message", message).drop("_read", "_amount", "_event_time")
 
 
 def conform(checked: DataFrame, *keep: str) -> DataFrame:

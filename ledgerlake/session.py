@@ -65,3 +65,16 @@ def broadcast_if_small(df: DataFrame, row_bound: int = BROADCAST_ROW_BOUND) -> D
     """
     rows = df.limit(row_bound + 1).count()
     return F.broadcast(df) if rows <= row_bound else df
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan spread over the cores by ``key`` when it has fewer splits than cores.
+
+    For costly per-row work on small inputs, where one file would keep a single core busy.
+    A scan with splits enough comes back unchanged, so large tables are not shuffled. Give
+    it plain scans and projections only: counting the splits of a shuffled plan would run it.
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

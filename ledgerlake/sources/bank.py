@@ -5,8 +5,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlake.session import spread
 from ledgerlake.sources import banking_sql
 
+#: Schemas of the supplied tables; declared, so that no file is opened to infer them.
+BASE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+#: Tables whose rows take costly text work, and the key they are spread by when small.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
 
 class Bank:
     """Lazy banking tables: ``Bank(spark, folder).table("transaction")``.
@@ -25,7 +49,8 @@ class Bank:
         """A supplied parquet table."""
         key = f"base:{name}"
         if key not in self._tables:
-            self._tables[key] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            scan = self.spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+            self._tables[key] = spread(scan, TEXT_TABLES[name]) if name in TEXT_TABLES else scan
         return self._tables[key]
 
     def table(self, name: str) -> DataFrame:

@@ -163,7 +163,7 @@ TABLES: dict[str, str] = {
                concat('approver-', CAST(supp % 5 AS STRING)) AS approver,
                CAST(NULL AS STRING) AS rationale, decided_at
         FROM (
-          SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag, min(l_suppkey) AS supp,
+          SELECT l_orderkey, l_linenumber, chr(min(ascii(l_returnflag))) AS flag, min(l_suppkey) AS supp,
                  CAST(min(l_shipdate) AS TIMESTAMP) AS decided_at
           FROM {lineitem} GROUP BY l_orderkey, l_linenumber
         ) AS decided
@@ -194,7 +194,7 @@ TABLES: dict[str, str] = {
                CASE WHEN flag <> 'N' THEN concat('approver-', CAST(supp % 5 AS STRING)) END AS approver,
                decided_at
         FROM (
-          SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag, min(l_suppkey) AS supp,
+          SELECT l_orderkey, l_linenumber, chr(min(ascii(l_returnflag))) AS flag, min(l_suppkey) AS supp,
                  min(l_partkey) AS part, min(l_discount) AS discount,
                  CAST(min(l_shipdate) AS TIMESTAMP) AS decided_at
           FROM {lineitem} GROUP BY l_orderkey, l_linenumber

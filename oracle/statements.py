@@ -251,8 +251,8 @@ _TOKENS = f"list_filter(regexp_extract_all(lower({{text}}), '{_q(TOKEN_PATTERN)}
 
 _BM25 = """
   SELECT query_id, doc_id,
-         sum(CAST(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE)
-             / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS DECIMAL(18,10))) AS score
+         CAST(sum(CAST(round(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE)
+             / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) * 1e9::DOUBLE) AS BIGINT)) AS DOUBLE) / 1e9::DOUBLE AS score
   FROM v_query_token q
   JOIN (SELECT doc_id, tok, dl, count(*) AS tf FROM (
           SELECT doc_id, len(toks) AS dl, unnest(toks) AS tok FROM v_doc_tokens)
@@ -740,7 +740,7 @@ STATEMENTS: dict[str, str] = {
     "quarantined": f"""SELECT message_id, transaction_id, idempotency_key, amount, array_to_string({_failed_marks()}, '|') AS failed_rules
         FROM v_silver_all WHERE len({_failed_marks()}) > 0""",
     "quarantine_passed": f"SELECT message_id, transaction_id, amount FROM v_silver_all WHERE len({_failed_marks()}) = 0",
-    "sparse_search": "SELECT query_id, doc_id, round(CAST(score AS DOUBLE), 6) AS score, rnk FROM v_sparse",
+    "sparse_search": "SELECT query_id, doc_id, round(score, 6) AS score, rnk FROM v_sparse",
     "dense_search": "SELECT query_id, doc_id, round(distance, 6) AS distance, rnk FROM v_dense",
     "hybrid_search": f"""
         SELECT f.query_id, f.doc_id, d.title, d.category, round(f.rrf, 9) AS rrf, f.in_dense, f.in_sparse, {_retriever()}, f.rnk
