@@ -17,17 +17,15 @@ _ISO_TIME = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
     r"([T ][0-9]{2}(:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?)?([+-][0-9]{2}(:?[0-9]{2})?)?)?$"
 )
-_COMPACT_DAY = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
-_COMPACT_TIME = r"^([0-9]{4})([0-9]{2})([0-9]{2})T([0-9]{2})([0-9]{2})([0-9]{2})$"
+_COMPACT_TIME = r"^[0-9]{8}(T[0-9]{6}([+-][0-9]{2}:[0-9]{2})?)?$"
+_COMPACT_FORMAT = "yyyyMMdd['T'HHmmss[XXX]]"
 
 
 def event_timestamp(text: Column) -> Column:
     """Time of an ISO 8601 text (``Z`` allowed, compact form allowed), null when it is not one."""
     plain = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    day = F.regexp_replace(plain, _COMPACT_DAY, "$1-$2-$3")
-    spread = F.regexp_replace(day, _COMPACT_TIME, "$1-$2-$3T$4:$5:$6")
     return F.when(plain.rlike(_ISO_TIME), F.try_to_timestamp(plain)).when(
-        plain.rlike(_COMPACT_DAY) | plain.rlike(_COMPACT_TIME), F.try_to_timestamp(spread)
+        plain.rlike(_COMPACT_TIME), F.try_to_timestamp(plain, F.lit(_COMPACT_FORMAT))
     )
 
 
@@ -45,12 +43,17 @@ def _without_newline(text: Column) -> Column:
     return F.regexp_replace(text, r"\n$", "")
 
 
+#: Number of each check; a sound message has fault 0.
+UNPARSEABLE, NOT_AN_OBJECT, MISSING, BAD_TYPE, BAD_STATUS, BAD_AMOUNT, BAD_CURRENCY, BAD_TIME = range(1, 9)
+
+
 def check_messages(messages: DataFrame, raw: str = "data") -> DataFrame:
-    """``messages`` with ``message`` (fields as text, amount and time typed) and ``error``.
+    """``messages`` with ``message`` (fields as text, amount and time typed), ``fault`` and ``error``.
 
-    ``error`` is the reason of the first failed check, null for a sound message. Wrapping
-    the payload in brackets makes trailing text after the first value an error. A sound
-    payload is parsed once; only others are parsed again to name their fault.
+    ``fault`` is the number of the first failed check, 0 for a sound message, and ``error``
+    its reason, null for a sound message. Filter on ``fault``: the reason is then only put
+    together for the rows that show it. Wrapping the payload in brackets makes trailing
+    text after the first value an error.
     """
     text = F.col(raw)
     wrapped = F.concat(F.lit("["), text, F.lit("]"))
@@ -63,11 +66,42 @@ def check_messages(messages: DataFrame, raw: str = "data") -> DataFrame:
         _amount=_without_newline(field["amount"]).try_cast(schemas.MONEY),
         _event_time=event_timestamp(field["event_time"]),
     )
-    single_object = (F.size("_read") == 1) & fields.isNotNull()
-    single_value = F.size(F.from_json(wrapped, "array<string>", _JSON_OPTIONS)) == 1
-    is_json = F.is_valid_utf8(text) & F.when(single_object, True).otherwise(single_value)
+    checked = _stage(typed, fault=_fault(text, wrapped, field))
+    message = F.struct(
+        *[c.alias(name) for name, c in field.items()],
+        F.col("_amount").alias("amount_value"),
+        F.col("_event_time").alias("event_at"),
+    )
+    return checked.withColumns({"message": message, "error": _reason(F.col("fault"), field)}).drop(
+        "_read", "_amount", "_event_time"
+    )
+
+
+def _fault(text: Column, wrapped: Column, field: dict[str, Column]) -> Column:
+    """Number of the first failed check, 0 when all pass."""
     outline = F.btrim(text, F.lit(" \t\r\n"))
-    is_object = outline.startswith("{") & outline.endswith("}")
+    other = F.try_parse_json(wrapped)
+    single_value = (outline != "") & other.isNotNull() & F.try_variant_get(other, "$[1]", "variant").isNull()
+    single_object = (F.size("_read") == 1) & F.get("_read", 0).isNotNull()
+    is_json = F.is_valid_utf8(text) & (single_object | single_value)
+    some_absent = F.lit(False)
+    for name in schemas.REQUIRED_MESSAGE_FIELDS:
+        some_absent = some_absent | (F.coalesce(field[name], F.lit("")) == "")
+    checks = {
+        UNPARSEABLE: ~F.coalesce(is_json, F.lit(False)),
+        NOT_AN_OBJECT: ~(outline.startswith("{") & outline.endswith("}")),
+        MISSING: some_absent,
+        BAD_TYPE: ~field["txn_type"].isin(*schemas.TXN_TYPES),
+        BAD_STATUS: ~field["status"].isin(*schemas.TXN_STATUSES),
+        BAD_AMOUNT: ~field["amount"].rlike(schemas.AMOUNT_FORMAT) | F.col("_amount").isNull(),
+        BAD_CURRENCY: ~field["currency"].rlike(schemas.CURRENCY_FORMAT),
+        BAD_TIME: F.col("_event_time").isNull(),
+    }
+    return F.coalesce(*[F.when(failed, F.lit(number)) for number, failed in checks.items()], F.lit(0))
+
+
+def _reason(fault: Column, field: dict[str, Column]) -> Column:
+    """Reason of a fault, null for 0."""
     absent = F.concat_ws(
         "', '",
         *[
@@ -75,37 +109,23 @@ def check_messages(messages: DataFrame, raw: str = "data") -> DataFrame:
             for name in schemas.REQUIRED_MESSAGE_FIELDS
         ],
     )
-
-    def invalid(what: str, name: str) -> Column:
-        return F.concat(F.lit(f"invalid {what}: "), field[name])
-
-    checks = (
-        (~F.coalesce(is_json, F.lit(False)), F.lit("unparseable payload")),
-        (~is_object, F.lit("payload is not a JSON object")),
-        (absent != "", F.concat(F.lit("missing required fields: ['"), absent, F.lit("']"))),
-        (~field["txn_type"].isin(*schemas.TXN_TYPES), invalid("txn_type", "txn_type")),
-        (~field["status"].isin(*schemas.TXN_STATUSES), invalid("status", "status")),
-        (
-            ~field["amount"].rlike(schemas.AMOUNT_FORMAT) | F.col("_amount").isNull(),
-            invalid("amount format", "amount"),
-        ),
-        (~field["currency"].rlike(schemas.CURRENCY_FORMAT), invalid("currency", "currency")),
-        (F.col("_event_time").isNull(), invalid("event_time", "event_time")),
-    )
-    error = F.coalesce(*[F.when(failed, reason) for failed, reason in checks])
-    message = F.struct(
-        *[c.alias(name) for name, c in field.items()],
-        F.col("_amount").alias("amount_value"),
-        F.col("_event_time").alias("event_at"),
-    )
-    staged = _stage(typed, error=error)
-    return staged.withColumn("message", message).drop("_read", "_amount", "_event_time")
+    reasons = {
+        UNPARSEABLE: F.lit("unparseable payload"),
+        NOT_AN_OBJECT: F.lit("payload is not a JSON object"),
+        MISSING: F.concat(F.lit("missing required fields: ['"), absent, F.lit("']")),
+        BAD_TYPE: F.concat(F.lit("invalid txn_type: "), field["txn_type"]),
+        BAD_STATUS: F.concat(F.lit("invalid status: "), field["status"]),
+        BAD_AMOUNT: F.concat(F.lit("invalid amount format: "), field["amount"]),
+        BAD_CURRENCY: F.concat(F.lit("invalid currency: "), field["currency"]),
+        BAD_TIME: F.concat(F.lit("invalid event_time: "), field["event_time"]),
+    }
+    return F.coalesce(*[F.when(fault == number, reason) for number, reason in reasons.items()])
 
 
 def conform(checked: DataFrame, *keep: str) -> DataFrame:
     """Sound rows of :func:`check_messages` in silver types, with the columns in ``keep``."""
     f = F.col("message")
-    return checked.where(F.col("error").isNull()).select(
+    return checked.where(F.col("fault") == 0).select(
         *keep,
         f["transaction_id"].alias("transaction_id"),
         f["idempotency_key"].alias("idempotency_key"),
@@ -141,7 +161,7 @@ def dead_letters(checked: DataFrame, raw: str = "data", failed_at: Column | None
         "failed_at": at,
         "pipeline_version": F.lit(schemas.PIPELINE_VERSION),
     }
-    rejected = checked.where(F.col("error").isNotNull()).select(
+    rejected = checked.where(F.col("fault") > 0).select(
         *[c.alias(name) for name, c in columns.items()]
     )
     return rejected.withColumn("envelope", F.to_json(F.struct(*columns)))

@@ -37,7 +37,7 @@ def checked_stream(
     """
     checked = check_messages(messages)
     key = F.when(
-        F.col("error").isNull(), F.concat(F.lit("k:"), F.col("message.idempotency_key"))
+        F.col("fault") == 0, F.concat(F.lit("k:"), F.col("message.idempotency_key"))
     ).otherwise(F.concat(F.lit("m:"), F.col("message_id")))
     return dedup_stream(checked.withColumn("_dedup_key", key), "_dedup_key", arrival, ttl_seconds).drop("_dedup_key")
 
