@@ -170,15 +170,29 @@ def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
 
 # ---- over scan results ----
 
+# ---- fixed values: wording of scores, findings and remediation orders ----
+PASS, FAIL = "PASS", "FAIL"
+SCORE_TEXT = "%.1f%% (%s)"
+FINDING_LABEL = "Remediate %s: %s on %s failed"
+NOT_QUANTIFIED = "rule failed but no rows quantified — review the scan"
+SMALL_RADIUS = "small blast radius (%s rows) — low-risk remediation"
+LARGE_RADIUS = "large blast radius (%s rows) — review carefully before approving"
+SMALL_RATIO = 0.05
+WHOLE_TABLE = "the table"
+ORDER_TEXT = (
+    "Quarantine the %d failing row(s) on %s, request an upstream backfill from the owning team, "
+    "then re-run %s to verify. (dimension: %s)"
+)
+
 
 def score(results: DataFrame, run_time: Column) -> DataFrame:
     """Share of rules passed per scan, PASS or FAIL, and the text published with the run time."""
     share = F.avg(F.col("passed").cast("double")) * 100
-    outcome = F.when(F.bool_and("passed"), "PASS").otherwise("FAIL")
+    outcome = F.when(F.bool_and("passed"), PASS).otherwise(FAIL)
     return (
         results.groupBy("scan")
         .agg(share.alias("score"), outcome.alias("outcome"))
-        .withColumn("published", F.format_string("%.1f%% (%s)", "score", "outcome"))
+        .withColumn("published", F.format_string(SCORE_TEXT, "score", "outcome"))
         .withColumn("last_run", run_time)
     )
 
@@ -188,7 +202,7 @@ def findings(results: DataFrame) -> DataFrame:
     return results.where(~F.col("passed")).withColumns(
         {
             "finding_id": F.concat(F.col("scan"), F.lit("#"), F.col("rule").cast("string")),
-            "label": F.format_string("Remediate %s: %s on %s failed", "scan", "dimension", "column"),
+            "label": F.format_string(FINDING_LABEL, "scan", "dimension", "column"),
         }
     )
 
@@ -204,13 +218,9 @@ def assess(found: DataFrame) -> DataFrame:
         {
             "fail_ratio": ratio,
             "confidence": F.round(F.greatest(F.lit(0.0), 1 - ratio * 2), 2),
-            "reason": F.when(ratio == 0, "rule failed but no rows quantified — review the scan")
-            .when(ratio < 0.05, F.concat(F.lit("small blast radius ("), share, F.lit(" rows) — low-risk remediation")))
-            .otherwise(
-                F.concat(
-                    F.lit("large blast radius ("), share, F.lit(" rows) — review carefully before approving")
-                )
-            ),
+            "reason": F.when(ratio == 0, NOT_QUANTIFIED)
+            .when(ratio < SMALL_RATIO, F.format_string(SMALL_RADIUS, share))
+            .otherwise(F.format_string(LARGE_RADIUS, share)),
         }
     )
 
@@ -221,10 +231,9 @@ def propose(found: DataFrame) -> DataFrame:
     return found.withColumn(
         "proposal",
         F.format_string(
-            "Quarantine the %d failing row(s) on %s, request an upstream backfill from the owning team, "
-            "then re-run %s to verify. (dimension: %s)",
+            ORDER_TEXT,
             bad,
-            F.when(F.coalesce("column", F.lit("")) == "", "the table").otherwise(F.col("column")),
+            F.when(F.coalesce("column", F.lit("")) == "", WHOLE_TABLE).otherwise(F.col("column")),
             "scan",
             "dimension",
         ),

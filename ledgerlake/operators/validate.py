@@ -109,6 +109,7 @@ def _reason(fault: Column, field: dict[str, Column]) -> Column:
             for name in schemas.REQUIRED_MESSAGE_FIELDS
         ],
     )
+    # ---- fixed values: wording of each reason ----
     reasons = {
         UNPARSEABLE: F.lit("unparseable payload"),
         NOT_AN_OBJECT: F.lit("payload is not a JSON object"),

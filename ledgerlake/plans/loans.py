@@ -48,13 +48,20 @@ def loan_status(loan_request: DataFrame, risk_assessment: DataFrame, approval_de
 
 # ---- submission ----
 
+# ---- fixed values: limits of a submission, wording of automatic decisions ----
+MIN_TERM_MONTHS = 6
+MAX_TERM_MONTHS = 360
+AUTO_APPROVER = "auto-policy"
+AUTO_APPROVED_TEXT = "auto-approved low risk "
+AUTO_DECLINED_TEXT = "auto-declined by policy"
+
 
 def check_submissions(submissions: DataFrame) -> DataFrame:
     """Add ``errors``: the submission rules a row breaks, empty when it may proceed."""
     rules = (
         ("customer_name must not be empty", F.coalesce(F.col("customer_name"), F.lit("")) != ""),
         ("amount must be greater than 0", F.col("amount") > 0),
-        ("term_months must be 6 to 360", F.col("term_months").between(6, 360)),
+        ("term_months must be 6 to 360", F.col("term_months").between(MIN_TERM_MONTHS, MAX_TERM_MONTHS)),
     )
     return submissions.withColumn("errors", _broken(rules))
 
@@ -113,10 +120,10 @@ def route(scored: DataFrame) -> DataFrame:
     return scored.withColumns(
         {
             "decision": F.when(approve, "APPROVE").when(decline, "REJECT"),
-            "approver": F.when(approve | decline, "auto-policy"),
+            "approver": F.when(approve | decline, AUTO_APPROVER),
             "rationale": F.when(
-                approve, F.concat(F.lit("auto-approved low risk "), F.col("risk_score").cast("string"))
-            ).when(decline, "auto-declined by policy"),
+                approve, F.concat(F.lit(AUTO_APPROVED_TEXT), F.col("risk_score").cast("string"))
+            ).when(decline, AUTO_DECLINED_TEXT),
         }
     )
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ledgerlake.operators.ranking import latest_per_key
 
 
+# ---- fixed values: wording of the run summary ----
+SUMMARY_TEXT = "%d failing rule(s); %d remediation order(s) approved, %d deferred/rejected."
+
+
 def steward_status(steward_run: DataFrame, steward_decision: DataFrame) -> DataFrame:
     """Every run with its latest step."""
     last = latest_per_key(steward_decision, ["run_id"], [F.desc("step_index")]).select(
@@ -22,7 +26,7 @@ def steward_status(steward_run: DataFrame, steward_decision: DataFrame) -> DataF
 
 
 def run_summary(steward_decision: DataFrame) -> DataFrame:
-    """Rules, applied orders, deferred ones and a sentence, per run."""
+    """Rules, applied orders, deferred ones and a sentence, per run with decisions."""
     counts = steward_decision.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("rules"), F.count_if(F.col("resolution") == "applied").alias("applied")
     )
@@ -30,7 +34,7 @@ def run_summary(steward_decision: DataFrame) -> DataFrame:
     return counts.withColumn("deferred", deferred).withColumn(
         "summary",
         F.format_string(
-            "%d failing rule(s); %d remediation order(s) approved, %d deferred/rejected.",
+            SUMMARY_TEXT,
             "rules",
             "applied",
             "deferred",

@@ -33,6 +33,7 @@ def _struct(*cols: tuple) -> T.StructType:
 
 _S, _L, _D, _TS, _B = T.StringType(), T.LongType(), T.DoubleType(), T.TimestampType(), T.BooleanType()
 
+# ---- fixed values: columns and types of the tables ----
 MESSAGE = T.StructType(
     [T.StructField(f, _S) for f in (*REQUIRED_MESSAGE_FIELDS, "counterparty_account")]
 )
@@ -184,6 +185,7 @@ AGENT_ACTION_LOG = _struct(
     ("outcome", _S, True),
 )
 
+# ---- fixed values: classification, perimeter, join model and contracts ----
 #: Classification of protected columns: (table, column) -> tag.
 COLUMN_TAGS = {
     ("customer", "full_name"): "PII_DIRECT",

@@ -15,12 +15,6 @@ from ledgerlake.operators import intent
 from ledgerlake.schemas import RELATIONSHIPS
 from ledgerlake.sources import banking_sql
 
-_BALANCE = """CASE WHEN {t}txn_type = 'DEPOSIT' THEN {t}amount
-                   WHEN {t}txn_type IN ('WITHDRAWAL', 'FEE', 'TRANSFER') THEN -{t}amount ELSE 0 END"""
-_NET = """CASE WHEN {t}txn_type = 'DEPOSIT' THEN {t}amount
-               WHEN {t}txn_type IN ('WITHDRAWAL', 'FEE') THEN -{t}amount ELSE 0 END"""
-
-
 def _txt(column: str, name: str | None = None) -> str:
     return f"CAST({column} AS VARCHAR) AS {name or column.split('.')[-1]}"
 
@@ -399,44 +393,51 @@ def _regression(metric: str, tolerance: str, worse: str) -> str:
 
 
 VIEWS: dict[str, str] = {
-    "account_balance": f"""
-        SELECT a.account_id, a.customer_id, a.currency, sum({_BALANCE.format(t='t.')}) AS balance,
-               max(t.event_time) AS last_activity_at
-        FROM t_account a LEFT JOIN t_transaction t ON a.account_id = t.account_id AND t.status = 'POSTED'
-        GROUP BY a.account_id, a.customer_id, a.currency""",
+    # Signs of the two money rules; a type without a row counts as nothing.
+    "balance_sign": "SELECT * FROM (VALUES ('DEPOSIT', 1), ('WITHDRAWAL', -1), ('FEE', -1), ('TRANSFER', -1)) AS s(txn_type, sign)",
+    "net_sign": "SELECT * FROM (VALUES ('DEPOSIT', 1), ('WITHDRAWAL', -1), ('FEE', -1)) AS s(txn_type, sign)",
+    "posted_delta": """
+        SELECT account_id, event_time, coalesce(sign, 0) * amount AS delta
+        FROM t_transaction LEFT JOIN v_balance_sign USING (txn_type) WHERE status = 'POSTED'""",
+    "net_delta": """
+        SELECT transaction_id, account_id, txn_type, status, event_time, amount, coalesce(sign, 0) * amount AS delta
+        FROM t_transaction LEFT JOIN v_net_sign USING (txn_type)""",
+    "account_balance": """
+        SELECT account_id, customer_id, currency,
+               coalesce((SELECT sum(delta) FROM v_posted_delta d WHERE d.account_id = acc.account_id), 0) AS balance,
+               (SELECT max(event_time) FROM v_posted_delta d WHERE d.account_id = acc.account_id) AS last_activity_at
+        FROM t_account acc""",
     "account_summary": """
-        SELECT a.account_id, a.customer_id, a.account_type, a.currency, a.status,
-               count(*) FILTER (WHERE t.txn_type = 'DEPOSIT') AS deposit_count,
-               count(*) FILTER (WHERE t.txn_type = 'WITHDRAWAL') AS withdrawal_count,
-               count(*) FILTER (WHERE t.txn_type = 'FEE') AS fee_count,
-               sum(CASE WHEN t.txn_type = 'DEPOSIT' THEN t.amount ELSE 0 END)
-                 - sum(CASE WHEN t.txn_type IN ('WITHDRAWAL', 'FEE') THEN t.amount ELSE 0 END) AS net_balance,
-               max(t.event_time) AS last_activity_at
-        FROM t_account a LEFT JOIN t_transaction t USING (account_id) GROUP BY 1, 2, 3, 4, 5""",
-    "running": f"""
-        SELECT account_id, event_time,
-               sum({_BALANCE.format(t='')}) OVER (PARTITION BY account_id ORDER BY event_time) AS running
-        FROM t_transaction WHERE status = 'POSTED'""",
+        SELECT account_id, customer_id, account_type, currency, status,
+               coalesce(by_type['DEPOSIT'], 0) AS deposit_count, coalesce(by_type['WITHDRAWAL'], 0) AS withdrawal_count,
+               coalesce(by_type['FEE'], 0) AS fee_count, coalesce(net, 0) AS net_balance, last_activity_at
+        FROM t_account LEFT JOIN (
+          SELECT account_id, histogram(txn_type) AS by_type, sum(delta) AS net, max(event_time) AS last_activity_at
+          FROM v_net_delta GROUP BY account_id) USING (account_id)""",
+    "running": """
+        SELECT account_id, event_time, sum(delta) OVER (PARTITION BY account_id ORDER BY event_time) AS running
+        FROM v_posted_delta""",
     "overdraft_history": """
-        SELECT account_id, count(*) FILTER (WHERE running < 0) AS overdraft_events, min(running) AS lowest_balance,
-               count(*) FILTER (WHERE running < 0) / nullif(count(*), 0) AS overdraft_ratio
+        SELECT account_id, sum((running < 0)::INT)::BIGINT AS overdraft_events, min(running) AS lowest_balance,
+               avg((running < 0)::INT) AS overdraft_ratio
         FROM v_running GROUP BY account_id""",
-    "customer_360": f"""
-        SELECT c.customer_id, c.segment, c.created_at AS customer_since, coalesce(account_count, 0) AS account_count,
-               coalesce(transaction_count, 0) AS transaction_count, coalesce(net, 0) AS net_transaction_amount,
-               coalesce(overdraft_events, 0) AS overdraft_events, lowest_balance,
-               coalesce(loan_count, 0) AS loan_count, coalesce(total_loan_amount, 0) AS total_loan_amount
-        FROM t_bank_customer c
-        LEFT JOIN (SELECT customer_id, count(*) AS account_count FROM t_account GROUP BY 1) USING (customer_id)
-        LEFT JOIN (SELECT a.customer_id, count(*) AS transaction_count, sum({_NET.format(t='t.')}) AS net
-                   FROM t_transaction t JOIN t_account a USING (account_id) GROUP BY 1) USING (customer_id)
-        LEFT JOIN (SELECT a.customer_id, sum(overdraft_events) AS overdraft_events, min(lowest_balance) AS lowest_balance
-                   FROM v_overdraft_history o JOIN t_account a USING (account_id) GROUP BY 1) USING (customer_id)
-        LEFT JOIN (SELECT a.customer_id, count(*) AS loan_count, sum(l.amount) AS total_loan_amount
-                   FROM t_loan_request l JOIN t_account a USING (account_id) GROUP BY 1) USING (customer_id)""",
+    "customer_360": """
+        SELECT customer_id, segment, created_at AS customer_since,
+               (SELECT count(*) FROM t_account a WHERE a.customer_id = cu.customer_id) AS account_count,
+               (SELECT count(*) FROM v_owned_delta d WHERE d.customer_id = cu.customer_id) AS transaction_count,
+               coalesce((SELECT sum(delta) FROM v_owned_delta d WHERE d.customer_id = cu.customer_id), 0) AS net_transaction_amount,
+               coalesce((SELECT sum(overdraft_events) FROM v_owned_overdraft o WHERE o.customer_id = cu.customer_id), 0) AS overdraft_events,
+               (SELECT min(lowest_balance) FROM v_owned_overdraft o WHERE o.customer_id = cu.customer_id) AS lowest_balance,
+               (SELECT count(*) FROM v_owned_loan l WHERE l.customer_id = cu.customer_id) AS loan_count,
+               coalesce((SELECT sum(amount) FROM v_owned_loan l WHERE l.customer_id = cu.customer_id), 0) AS total_loan_amount
+        FROM t_bank_customer cu""",
+    "owned_delta": "SELECT customer_id, delta FROM v_net_delta JOIN t_account USING (account_id)",
+    "owned_overdraft": "SELECT customer_id, overdraft_events, lowest_balance FROM v_overdraft_history JOIN t_account USING (account_id)",
+    "owned_loan": "SELECT customer_id, l.amount FROM t_loan_request l JOIN t_account USING (account_id)",
     "bridge": """
-        SELECT t.*, c.customer_id, c.segment FROM t_transaction t JOIN t_account a ON t.account_id = a.account_id
-        JOIN t_bank_customer c ON a.customer_id = c.customer_id""",
+        SELECT n.*, customer_id, segment FROM v_net_delta n
+        JOIN (SELECT account_id, customer_id FROM t_account) USING (account_id)
+        JOIN (SELECT customer_id, segment FROM t_bank_customer) USING (customer_id)""",
     "checked": _CHECKED,
     "silver": f"""
         SELECT {_SILVER_COLUMNS} FROM v_checked WHERE error IS NULL
@@ -445,15 +446,15 @@ VIEWS: dict[str, str] = {
         SELECT *, count(*) OVER (PARTITION BY idempotency_key) AS copies_of_idempotency_key
         FROM (SELECT {_SILVER_COLUMNS} FROM v_checked WHERE error IS NULL)""",
     "deidentified": _DEIDENTIFIED,
+    "last_risk": """
+        SELECT loan_id, unnest(arg_max(struct_pack(risk_score, recommendation, reasons, factors), version))
+        FROM t_risk_assessment GROUP BY loan_id""",
+    "last_decision": """
+        SELECT loan_id, unnest(arg_max(struct_pack(final_decision := decision, counteroffer_amount, approver, decided_at), version))
+        FROM t_approval_decision GROUP BY loan_id""",
     "loan_status": """
-        SELECT r.loan_id, r.customer_name, r.amount, r.term_months, r.status, r.submitted_at, r.updated_at,
-               lr.risk_score, lr.recommendation, lr.reasons, lr.factors,
-               ld.decision AS final_decision, ld.counteroffer_amount, ld.approver, ld.decided_at
-        FROM t_loan_request r
-        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY loan_id ORDER BY version DESC) AS rn
-                   FROM t_risk_assessment) lr ON r.loan_id = lr.loan_id AND lr.rn = 1
-        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY loan_id ORDER BY version DESC) AS rn
-                   FROM t_approval_decision) ld ON r.loan_id = ld.loan_id AND ld.rn = 1""",
+        SELECT * EXCLUDE (account_id) FROM t_loan_request
+        LEFT JOIN v_last_risk USING (loan_id) LEFT JOIN v_last_decision USING (loan_id)""",
     "scored": _SCORED.format(events="o.overdraft_events", source="v_overdraft_history"),
     "scored_proxy": _SCORED.format(
         events="CASE WHEN o.net_balance < 0 THEN o.withdrawal_count ELSE 0 END", source="v_account_summary"
@@ -548,10 +549,10 @@ STATEMENTS: dict[str, str] = {
                {_int('transaction_count', 'transaction_count')}, {_dbl('net_transaction_amount', 'net_transaction_amount')},
                {_int('overdraft_events', 'overdraft_events')}, {_dbl('lowest_balance', 'lowest_balance')},
                {_int('loan_count', 'loan_count')}, {_dbl('total_loan_amount', 'total_loan_amount')} FROM v_customer_360""",
-    "net_amount_by_segment": f"""SELECT segment, {_dbl(f"sum({_NET.format(t='')})", 'net_transaction_amount')}
+    "net_amount_by_segment": f"""SELECT segment, {_dbl("sum(delta)", 'net_transaction_amount')}
         FROM v_bridge WHERE status = 'POSTED' GROUP BY segment""",
     "deposits_by_segment": f"""
-        SELECT segment, {_dbl("sum(CASE WHEN txn_type = 'DEPOSIT' THEN amount ELSE 0 END)", 'total_deposits')},
+        SELECT segment, {_dbl("coalesce(sum(amount) FILTER (WHERE txn_type = 'DEPOSIT'), 0)", 'total_deposits')},
                {_int('count(transaction_id)', 'txns')} FROM v_bridge GROUP BY segment""",
     "daily_volume": f"""SELECT CAST(CAST(event_time AS DATE) AS VARCHAR) AS day, txn_type, {_int('count(*)', 'txns')},
         {_dbl('sum(amount)', 'total')} FROM t_transaction GROUP BY 1, 2""",
@@ -688,10 +689,12 @@ STATEMENTS: dict[str, str] = {
         JOIN t_account a ON l.account_id = a.account_id JOIN t_bank_customer c ON a.customer_id = c.customer_id
         WHERE l.status = 'PENDING_APPROVAL' GROUP BY 1""",
     "steward_status": f"""
-        SELECT r.run_id, r.goal, r.status, {_txt('r.started_at')}, {_txt('r.updated_at')}, s.step_index AS last_step,
-               s.task AS last_task, s.eval_score AS last_score, s.resolution AS last_resolution, s.approver AS last_approver
-        FROM t_steward_run r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step_index DESC) AS rn
-                                        FROM t_steward_decision) s ON r.run_id = s.run_id AND s.rn = 1""",
+        SELECT run_id, goal, status, {_txt('started_at')}, {_txt('updated_at')}, last_step, last_task, last_score,
+               last_resolution, last_approver
+        FROM t_steward_run LEFT JOIN (
+          SELECT run_id, unnest(arg_max(struct_pack(last_step := step_index, last_task := task, last_score := eval_score,
+                                                    last_resolution := resolution, last_approver := approver), step_index))
+          FROM t_steward_decision GROUP BY run_id) USING (run_id)""",
     "steward_summary": """
         SELECT *, rules - applied AS deferred,
                printf('%d failing rule(s); %d remediation order(s) approved, %d deferred/rejected.', rules, applied, rules - applied) AS summary
@@ -851,8 +854,7 @@ STATEMENTS: dict[str, str] = {
         SELECT 'approval_recommendation_accuracy' AS metric, {_int('count(*)', 'n')},
                round(avg((got = expected)::INT), 3) AS accuracy, round(avg((got = expected)::INT), 3) >= 0.8::DOUBLE AS passed
         FROM (SELECT loan_id, {_RECOMMEND} AS got FROM v_scored)
-        JOIN (SELECT loan_id, recommendation AS expected FROM t_risk_assessment
-              QUALIFY row_number() OVER (PARTITION BY loan_id ORDER BY version DESC) = 1) USING (loan_id)""",
+        JOIN (SELECT loan_id, recommendation AS expected FROM v_last_risk) USING (loan_id)""",
     "consequential_actions": f"""SELECT {_txt('t.ts')}, agent_id, owner, tool, authorized, hitl_approver, model_version
         FROM t_agent_action_log t WHERE consequential AND t.ts >= {_EVENT_DAY} - INTERVAL 7 DAY""",
     "unauthorized_calls": f"SELECT agent_id, tool, {_int('count(*)', 'calls')} FROM t_agent_action_log WHERE NOT authorized GROUP BY 1, 2",
