@@ -345,14 +345,24 @@ def _event_stream(b: Bank) -> DataFrame:
     return b.spark.sql(banking_sql.for_spark("transaction_event"), event_rows=rows)
 
 
-@report
-def streamed_silver(b: Bank) -> DataFrame:
-    """Silver written by the streaming ingest; which delivery of a key came first is left open."""
+def _drained(b: Bank) -> str:
+    """Folder of the tables the streaming ingest wrote from the whole feed."""
     root = scratch_dir(b.spark, "ingest")
     ingest.run_ingest(
-        _event_stream(b), f"{root}/silver", f"{root}/dlq", f"{root}/state", source_system="event-feed"
+        _event_stream(b),
+        f"{root}/silver",
+        f"{root}/dlq",
+        f"{root}/state",
+        source_system="event-feed",
+        state_partitions=b.spark.sparkContext.defaultParallelism,
     ).awaitTermination()
-    silver = b.spark.read.parquet(f"{root}/silver")
+    return root
+
+
+@report
+def streamed_silver(b: Bank) -> DataFrame:
+    """Silver written by the streaming ingest; which delivery of a key came first is left open."""
+    silver = b.spark.read.parquet(f"{_drained(b)}/silver")
     return silver.select(
         "idempotency_key", "account_id", "txn_type", "amount", "currency", "status", "event_time", "source_system"
     )
@@ -360,9 +370,7 @@ def streamed_silver(b: Bank) -> DataFrame:
 
 @report
 def streamed_dead_letters(b: Bank) -> DataFrame:
-    root = scratch_dir(b.spark, "ingest")
-    ingest.run_ingest(_event_stream(b), f"{root}/silver", f"{root}/dlq", f"{root}/state").awaitTermination()
-    return b.spark.read.parquet(f"{root}/dlq").select("error", "payload", "pipeline_version")
+    return b.spark.read.parquet(f"{_drained(b)}/dlq").select("error", "payload", "pipeline_version")
 
 
 @report

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ RRF_K = 60
 QUERY_BLOCK = 2048
 
 
+# Workers get this module's functions with the task; they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 # ---- sparse ----
 
 

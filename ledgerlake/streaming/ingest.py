@@ -78,9 +78,13 @@ def run_ingest(
     secret: str | None = None,
     rate: float = 0.1,
     continuous: str | None = None,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Start the validating query: drains the source and stops, or runs every ``continuous`` interval.
 
+    ``state_partitions`` spreads the de-duplication state; it is fixed for the life of the
+    checkpoint, so size it for the stream, not for one batch. Unset, the session's number
+    of shuffle partitions holds.
     A batch is written under its own number with overwrite, so a replay after a failure
     replaces what the failed attempt left.
     """
@@ -100,7 +104,14 @@ def run_ingest(
         .option("checkpointLocation", checkpoint)
     )
     trigger = {"processingTime": continuous} if continuous else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    conf = messages.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    try:
+        if state_partitions:
+            conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+        return writer.trigger(**trigger).start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
 
 
 # ---- health of the feed ----
