@@ -17,19 +17,30 @@ from ledgerlake.operators.validate import check_messages, conform, dead_letters,
 DEDUP_TTL_SECONDS = 3600
 
 
-def dedup_stream(rows: DataFrame, key: str, arrival: str, ttl_seconds: int = DEDUP_TTL_SECONDS) -> DataFrame:
+def dedup_stream(
+    rows: DataFrame, key: str, arrival: str, ttl_seconds: int = DEDUP_TTL_SECONDS, salts: int = 0
+) -> DataFrame:
     """First row per key within ``ttl_seconds`` of arrival time; 0 turns it off.
 
     The watermark runs on arrival, not on event time: late events keep their place, and
     state is dropped once a key's window has passed.
+
+    With ``salts``, duplicates are first removed per (key, input task modulo ``salts``), so
+    a key that fills a third of the feed is spread over that many state partitions and
+    reaches the second step as a handful of rows. It costs a second shuffle and state; the
+    salt depends on the task only, so a rerun task sends its rows to the same places.
     """
     if ttl_seconds == 0:
         return rows
-    return rows.withWatermark(arrival, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark([key])
+    marked = rows.withWatermark(arrival, f"{ttl_seconds} seconds")
+    if salts:
+        salted = marked.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        marked = salted.dropDuplicatesWithinWatermark([key, "_salt"]).drop("_salt")
+    return marked.dropDuplicatesWithinWatermark([key])
 
 
 def checked_stream(
-    messages: DataFrame, arrival: str = "publish_time", ttl_seconds: int = DEDUP_TTL_SECONDS
+    messages: DataFrame, arrival: str = "publish_time", ttl_seconds: int = DEDUP_TTL_SECONDS, salts: int = 0
 ) -> DataFrame:
     """Checked messages with redeliveries of sound ones removed.
 
@@ -39,7 +50,7 @@ def checked_stream(
     key = F.when(
         F.col("fault") == 0, F.concat(F.lit("k:"), F.col("message.idempotency_key"))
     ).otherwise(F.concat(F.lit("m:"), F.col("message_id")))
-    return dedup_stream(checked.withColumn("_dedup_key", key), "_dedup_key", arrival, ttl_seconds).drop("_dedup_key")
+    return dedup_stream(checked.withColumn("_dedup_key", key), "_dedup_key", arrival, ttl_seconds, salts).drop("_dedup_key")
 
 
 def silver_rows(
@@ -79,12 +90,14 @@ def run_ingest(
     rate: float = 0.1,
     continuous: str | None = None,
     state_partitions: int | None = None,
+    salts: int = 16,
 ) -> StreamingQuery:
     """Start the validating query: drains the source and stops, or runs every ``continuous`` interval.
 
     ``state_partitions`` spreads the de-duplication state; it is fixed for the life of the
     checkpoint, so size it for the stream, not for one batch. Unset, the session's number
-    of shuffle partitions holds.
+    of shuffle partitions holds. ``salts`` splits busy keys, see :func:`dedup_stream`; 0
+    saves the second state where no key is redelivered that often.
     A batch is written under its own number with overwrite, so a replay after a failure
     replaces what the failed attempt left.
     """
@@ -99,7 +112,7 @@ def run_ingest(
             batch.unpersist()
 
     writer = (
-        checked_stream(messages, ttl_seconds=ttl_seconds)
+        checked_stream(messages, ttl_seconds=ttl_seconds, salts=salts)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
     )

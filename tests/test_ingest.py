@@ -204,6 +204,20 @@ def test_stream_dedups_across_batches_and_restarts(spark):
     assert spark.read.parquet(f"{root}/dlq").count() == 1
 
 
+@pytest.mark.parametrize("salts", [0, 16])
+def test_stream_dedup_of_a_hot_key(spark, salts):
+    """A third of the feed is one key, spread over several files and two runs."""
+    root = scratch_dir(spark, "test")
+    rows = [(i, 1000 + i, message(idempotency_key="hot-0001" if i % 3 == 0 else f"key-{i:05d}")) for i in range(300)]
+    for start in range(0, 200, 40):
+        feed(spark, f"{root}/in", "a", rows[start : start + 40])
+    run(spark, root, salts=salts)
+    feed(spark, f"{root}/in", "b", rows[200:])
+    run(spark, root, salts=salts)
+    keys = [r.idempotency_key for r in spark.read.parquet(f"{root}/silver").collect()]
+    assert len(keys) == len(set(keys)) == 201
+
+
 def test_stream_dedup_off(spark):
     root = scratch_dir(spark, "test")
     feed(spark, f"{root}/in", "a", [(1, 1000, message()), (2, 1001, message())])
