@@ -86,8 +86,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     )
     saturation = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
     term_score = F.col("idf") * (F.col("tf") * (K1 + 1)) / saturation
+    # Postings move by document once; the far more numerous (query, document) terms then
+    # add up in place. A document has at most one posting per query token.
     scored = (
-        terms.join(broadcast_if_small(weights), "tok")
+        terms.repartition("doc_id")
+        .join(broadcast_if_small(weights), "tok")
         .groupBy("query_id", "doc_id")
         .agg((F.sum(F.round(term_score * 1e9).cast("long")) / 1e9).alias("score"))
     )
