@@ -28,8 +28,8 @@ BASE_SCHEMAS = {
     "labels": "doc_id bigint, quality int, toxic int",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
-#: Tables whose rows take costly text work, and the key they are spread by when small.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+#: Tables whose rows take costly work (texts, scorecards), and the key they are spread by when small.
+SPREAD_TABLES = {"documents": "doc_id", "pages": "page_id", "orders": "o_orderkey"}
 
 
 class Bank:
@@ -50,7 +50,7 @@ class Bank:
         key = f"base:{name}"
         if key not in self._tables:
             scan = self.spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
-            self._tables[key] = spread(scan, TEXT_TABLES[name]) if name in TEXT_TABLES else scan
+            self._tables[key] = spread(scan, SPREAD_TABLES[name]) if name in SPREAD_TABLES else scan
         return self._tables[key]
 
     def table(self, name: str) -> DataFrame:
