@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,13 +39,13 @@ def build_session(app: str = "ledgerlake", master: str | None = None, **conf: st
 def _shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to the machine's own temporary folder; on a
-    cluster such a folder would be invisible to the other executors.
+    Only a session whose tasks run inside the driver may fall back to the machine's own
+    temporary folder; on a cluster such a folder would be invisible to the executors.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     return tempfile.mkdtemp(prefix="ledgerlake-")
 
@@ -62,6 +63,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back.
+
+    Cuts the lineage as a checkpoint does, but the copy is columnar and compressed, and
+    later reads take only the columns they need.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, row_bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
     """``df`` with a broadcast hint when it has at most ``row_bound`` rows, else unchanged.
 
