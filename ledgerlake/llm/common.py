@@ -73,3 +73,26 @@ def running_index(rows: DataFrame, group: list[str], lead: list[str], spread: li
     return joined.withColumn("_index", F.col("_start") + F.col("_row") - 1).drop(
         *[f"_s{i}" for i in range(len(parts))], "_slice", "_row", "_start"
     )
+
+
+#: Bits of the filter that :func:`narrowed` broadcasts: 2 MB however many keys there are.
+FILTER_BITS = 1 << 24
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``name`` is in ``keys``: a semi-join that shuffles few rows when few match.
+
+    The keys are hashed into a bitmap of a fixed number of bits, and only that is broadcast; rows
+    that hit no set bit are dropped inside the scan. What passes by chance goes in the exact
+    semi-join that follows, so the result is the same however full the bitmap is.
+    """
+    spot = F.pmod(F.xxhash64(name), F.lit(bits))
+    bitmaps = keys.groupBy(F.bitmap_bucket_number(spot).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("_bits")
+    )
+    at = F.bitmap_bit_position(F.pmod(F.xxhash64(rows[name]), F.lit(bits)))
+    byte = F.conv(F.hex(F.substring(bitmaps["_bits"], (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+    bucket = F.bitmap_bucket_number(F.pmod(F.xxhash64(rows[name]), F.lit(bits)))
+    passed = rows.join(F.broadcast(bitmaps), (bucket == bitmaps["_bucket"]) & is_set, "left_semi")
+    return passed.join(keys.select(name).distinct(), name, "left_semi")
