@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import line_dedup, mixing, near_dedup, packing, quality_rules, sharding
+from ledgerlake.llm import line_dedup, lm, mixing, near_dedup, packing, quality_rules, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, folder, "documents")))
 
 
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every document."""
+    return lm.report(_table(spark, folder, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of every document, and those that fuzzy line dedup removes."""
     return line_dedup.report(_table(spark, folder, "documents"))
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op4_mixing": op4_mixing,
         "op6_packing": op6_packing,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_line_dedup": op8_line_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_quality_rules": op10_quality_rules,

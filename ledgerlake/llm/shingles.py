@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 
 import numpy as np
@@ -30,18 +31,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_STRETCH = 1 << 22  # bytes whose words are listed at once
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words, in order; long texts are split a stretch at a time."""
+    found, at = [], 0
+    while at < len(text):
+        cut = len(text)
+        if cut - at > _STRETCH:
+            blank = _BLANK.search(text, at + _STRETCH)
+            cut = blank.start() if blank else cut
+        words = text[at:cut].split()
+        found.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)))
+        at = cut
+    return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+
+
 def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes of a text with A-Z lower-cased.
 
     Texts of fewer than ``width`` words have one shingle, the whole sequence; texts without
     words have none.
     """
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    take = min(width, len(words))
-    rolled = np.full(len(words) - take + 1, take, dtype=np.uint64)
+    hashes = word_hashes(text.lower())
+    if not len(hashes):
+        return hashes
+    take = min(width, len(hashes))
+    rolled = np.full(len(hashes) - take + 1, take, dtype=np.uint64)
     for i in range(take):
         rolled = rolled * _MIX[2] + hashes[i : i + len(rolled)]
         rolled ^= rolled >> np.uint64(29)
