@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import line_dedup, lm, mixing, near_dedup, packing, quality_rules, sharding
+from ledgerlake.llm import line_dedup, lm, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,16 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(ids, ["doc_id"], sharding.lookup_table(list(sharding.SHARDS)))
 
 
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_classifier.report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op3_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best partners of every fiftieth vector."""
+    return topk.report(_table(spark, folder, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """The mix of all documents to their sources' targets."""
     return mixing.report(_table(spark, folder, "documents"))
@@ -53,6 +63,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op3_topk_search": op3_topk_search,
         "op4_mixing": op4_mixing,
         "op6_packing": op6_packing,
         "op7_lm_scoring": op7_lm_scoring,

@@ -82,5 +82,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM counted"""
 
 
+TOPK = """
+WITH whole AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+  GROUP BY vec_id),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+  FROM whole q JOIN whole r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5"""
+
+
 def all_statements() -> dict[str, str]:
-    return {"op1_sharding": _sharding(), "op4_mixing": MIXING, "op10_quality_rules": QUALITY}
+    return {"op1_sharding": _sharding(), "op3_topk_search": TOPK, "op4_mixing": MIXING, "op10_quality_rules": QUALITY}
