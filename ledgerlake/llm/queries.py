@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import line_dedup, lm, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, topk
+from ledgerlake.llm import line_dedup, lm, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, topk, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(_table(spark, folder, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's address."""
+    return url_filter.judged(_table(spark, folder, "pages"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Batches of all documents' pieces."""
     return packing.pack(packing.pieces(_table(spark, folder, "documents")))
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": op2_quality_classifier,
         "op3_topk_search": op3_topk_search,
         "op4_mixing": op4_mixing,
+        "op5_url_filter": op5_url_filter,
         "op6_packing": op6_packing,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_line_dedup": op8_line_dedup,
