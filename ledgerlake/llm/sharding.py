@@ -68,9 +68,9 @@ def place(rows: DataFrame, keys: list[str], table: list[str]) -> DataFrame:
     """
     spark: SparkSession = rows.sparkSession
     owners = spark.createDataFrame([(i, s) for i, s in enumerate(table)], "_slot int, _shard string")
-    slotted = rows.withColumn("_at", slot_of(*[F.col(k) for k in keys], size=len(table)))
+    slotted = rows.select(F.struct(*rows.columns).alias("_row"), slot_of(*[F.col(k) for k in keys], size=len(table)).alias("_at"))
     joined = slotted.join(F.broadcast(owners), F.col("_at") == F.col("_slot"))
-    kept = [c for c in rows.columns if c.lower() not in ("slot", "shard")]
+    kept = [F.col("_row").getField(c).alias(c) for c in rows.columns if c.lower() not in ("slot", "shard")]
     return joined.select(*kept, F.col("_at").alias("slot"), F.col("_shard").alias("shard"))
 
 
