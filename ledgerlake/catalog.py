@@ -27,7 +27,7 @@ from ledgerlake.operators import (
 )
 from ledgerlake.operators.running import row_numbers
 from ledgerlake.plans import evals, gold, loans, semantic, steward
-from ledgerlake.session import scratch_dir, spread
+from ledgerlake.session import scratch_dir
 from ledgerlake.sources import files
 from ledgerlake.sources.bank import Bank
 from ledgerlake.streaming import ingest
@@ -291,16 +291,15 @@ def fact_transaction(b: Bank) -> DataFrame:
 
 
 def _messages(b: Bank) -> DataFrame:
-    return spread(b.transaction_event, "message_id")
+    return b.transaction_event
 
 
-def _silver(b: Bank, ttl_seconds: int = 3600) -> DataFrame:
+def _silver(b: Bank, once: bool = True) -> DataFrame:
     """Batch silver rows of the message feed."""
     sound = validate.conform(validate.check_messages(_messages(b)), "message_id", "publish_time")
-    once = dedup.first_arrivals(
-        sound, "idempotency_key", [F.asc("publish_time"), F.asc("message_id")], ttl_seconds
-    )
-    return validate.stamp_lineage(once, "event-feed", F.col("publish_time")).drop("publish_time")
+    if once:
+        sound = dedup.first_arrivals(sound, "idempotency_key", [F.asc("publish_time"), F.asc("message_id")])
+    return validate.stamp_lineage(sound, "event-feed", F.col("publish_time")).drop("publish_time")
 
 
 @report
@@ -316,7 +315,7 @@ def silver_batch(b: Bank) -> DataFrame:
 @report
 def silver_with_redeliveries(b: Bank) -> DataFrame:
     """With de-duplication off every sound delivery passes."""
-    return _silver(b, ttl_seconds=0).select("message_id", "transaction_id", "idempotency_key")
+    return _silver(b, once=False).select("message_id", "transaction_id", "idempotency_key")
 
 
 @report
@@ -352,20 +351,18 @@ def _drained(b: Bank) -> str:
         _event_stream(b),
         f"{root}/silver",
         f"{root}/dlq",
+        f"{root}/keys",
         f"{root}/state",
         source_system="event-feed",
-        state_partitions=b.spark.sparkContext.defaultParallelism,
     ).awaitTermination()
     return root
 
 
 @report
 def streamed_silver(b: Bank) -> DataFrame:
-    """Silver written by the streaming ingest; which delivery of a key came first is left open."""
+    """Silver as the streaming ingest writes it, all columns but the time of the run."""
     silver = b.spark.read.parquet(f"{_drained(b)}/silver")
-    return silver.select(
-        "idempotency_key", "account_id", "txn_type", "amount", "currency", "status", "event_time", "source_system"
-    )
+    return silver.drop("batch", "event_date", "ingest_time")
 
 
 @report
@@ -596,7 +593,7 @@ def findings_history(b: Bank) -> DataFrame:
 
 
 def _scan(b: Bank) -> DataFrame:
-    return rules.scan(_silver(b, ttl_seconds=0), "silver-txn-quality", "silver.transaction", SILVER_RULES)
+    return rules.scan(_silver(b, once=False), "silver-txn-quality", "silver.transaction", SILVER_RULES)
 
 
 @report
@@ -694,13 +691,13 @@ def recertification(b: Bank) -> DataFrame:
 
 @report
 def quarantined(b: Bank) -> DataFrame:
-    _, failing = rules.quarantine(_silver(b, ttl_seconds=0), SILVER_RULES)
+    _, failing = rules.quarantine(_silver(b, once=False), SILVER_RULES)
     return failing.select("message_id", "transaction_id", "idempotency_key", "amount", "failed_rules")
 
 
 @report
 def quarantine_passed(b: Bank) -> DataFrame:
-    sound, _ = rules.quarantine(_silver(b, ttl_seconds=0), SILVER_RULES)
+    sound, _ = rules.quarantine(_silver(b, once=False), SILVER_RULES)
     return sound.select("message_id", "transaction_id", "amount")
 
 
@@ -723,7 +720,7 @@ def dense_search(b: Bank) -> DataFrame:
 
 @report
 def hybrid_search(b: Bank) -> DataFrame:
-    found = retrieval.hybrid_search(b.kb_query, b.kb_query_vector, _chunks(b))
+    found = retrieval.hybrid_search(b.kb_query, b.kb_query_vector, b.kb_raw, b.kb_vector)
     return found.select(
         "query_id", "doc_id", "title", "category", F.round("rrf", 9).alias("rrf"), "in_dense", "in_sparse", "retriever", "rnk"
     )

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def fingerprint(text: Column) -> Column:
-    """The first 32 bits of the text's SHA-256, as a non-negative number."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
+    """The first 60 bits of the text's SHA-256, as a non-negative number."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
 def sampled(key: Column, rate: float) -> Column:

@@ -12,7 +12,6 @@ from ledgerlake.functions.text import strip
 # ---- fixed values: chunk sizes in characters ----
 MIN_CHARS = 120
 MAX_CHARS = 4000
-TITLE_CHARS = 300
 
 _HEADING = r"(?md)^(#{2,3})\s+(.+)$"
 
@@ -101,7 +100,7 @@ def chunk_markdown(documents: DataFrame) -> DataFrame:
     trail = F.concat_ws(" — ", "title", "piece.heading")
     return exploded.select(
         F.concat("path", F.lit("#"), F.col("n").cast("string")).alias("doc_id"),
-        F.substring(trail, 1, TITLE_CHARS).alias("title"),
+        trail.alias("title"),
         "category",
         F.col("path").alias("source_path"),
         F.concat(F.lit("["), "path", F.lit("] "), trail, F.lit("\n\n"), F.col("piece.text")).alias("content"),

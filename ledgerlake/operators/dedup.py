@@ -12,11 +12,9 @@ from ledgerlake.operators.validate import check_messages, conform
 
 
 def first_arrivals(
-    rows: DataFrame, key: str, arrival: Sequence[Column], ttl_seconds: int = 3600
+    rows: DataFrame, key: str, arrival: Sequence[Column]
 ) -> DataFrame:
-    """The first row of every key in arrival order; all rows when ``ttl_seconds`` is 0."""
-    if ttl_seconds == 0:
-        return rows
+    """The first row of every key in arrival order: once per key, however long ago that was."""
     return latest_per_key(rows, [key], arrival)
 
 

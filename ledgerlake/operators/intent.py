@@ -75,14 +75,15 @@ TERM_TYPES = ("glossary-term", "glossary-category")
 
 
 def catalog_search(
-    entries: DataFrame, words: str, environment: str, prefix: str = "ledger", matches: int = 20, shown: int = 8
+    entries: DataFrame, words: str, environment: str, prefix: str = "ledger",
+    matches: int | None = None, shown: int | None = None,
 ) -> DataFrame:
     """Entries matching ``words``, as the catalogue page lists them.
 
     ``entries`` has display_name, resource, entry_name, entry_type, governed and relevance
     (lower is better). Own assets of the environment and glossary terms are kept, once per
     (display_name, entry_type); of the ``matches`` most relevant, governed entries come
-    first, terms next, then the rest.
+    first, terms next, then the rest, ``shown`` of them. Unset, neither limit applies.
     """
     is_term = F.col("entry_type").isin(*TERM_TYPES)
     own = F.col("resource").rlike(f"{prefix}[_-]") | F.col("entry_name").rlike(f"{prefix}[_-]")
@@ -90,10 +91,6 @@ def catalog_search(
     hits = entries.where(F.lower("display_name").contains(words.lower()) & (is_term | (own & here)))
     once = latest_per_key(hits, ["display_name", "entry_type"], [F.asc("relevance"), F.asc("entry_name")])
     group = F.when(F.col("governed"), 0).when(is_term, 1).otherwise(2)
-    return (
-        once.orderBy("relevance", "entry_name")
-        .limit(matches)
-        .withColumn("display_group", group)
-        .orderBy("display_group", "relevance", "entry_name")
-        .limit(shown)
-    )
+    found = once if matches is None else once.orderBy("relevance", "entry_name").limit(matches)
+    listed = found.withColumn("display_group", group).orderBy("display_group", "relevance", "entry_name")
+    return listed if shown is None else listed.limit(shown)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,15 +13,16 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.hashing import fingerprint
 from ledgerlake.functions.text import tokens
 from ledgerlake.operators.ranking import top_n_per_key
-from ledgerlake.session import broadcast_if_small, checkpointed
+from ledgerlake.session import checkpointed
 
 # ---- fixed values: BM25 and fusion constants ----
 K1 = 1.2
 B = 0.75
 RRF_K = 60
 
-#: Query vectors sent to the workers at a time; more queries take more passes.
+#: Query and corpus vectors that one task holds.
 QUERY_BLOCK = 2048
+CORPUS_BLOCK = 16_384
 
 
 # Workers get this module's functions with the task; they need no copy of the package.
@@ -54,7 +54,7 @@ def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
     kept = vocabulary.select("tok").unionByName(vocabulary.sparkSession.range(1).select(F.lit("").alias("tok")))
     return (
-        exploded.join(broadcast_if_small(kept.distinct()), "tok", "left_semi")
+        exploded.join(kept.distinct(), "tok", "left_semi")
         .groupBy("doc_id", "tok")
         .agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     )
@@ -67,7 +67,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     sharing no token with a query get no row. Term scores are summed as whole billionths,
     so equal documents tie exactly whatever order the tasks finish in.
     """
-    wanted = query_tokens(queries)
+    wanted = checkpointed(query_tokens(queries))  # read for the vocabulary and for the weights
     # Postings feed the statistics and the scores; they are far smaller than the corpus,
     # and the checkpoint survives lost executors.
     found = checkpointed(postings(docs, wanted))
@@ -90,7 +90,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     # add up in place. A document has at most one posting per query token.
     scored = (
         terms.repartition("doc_id")
-        .join(broadcast_if_small(weights), "tok")
+        .join(weights, "tok")
         .groupBy("query_id", "doc_id")
         .agg((F.sum(F.round(term_score * 1e9).cast("long")) / 1e9).alias("score"))
     )
@@ -115,63 +115,50 @@ def _best(query: np.ndarray, distance: np.ndarray, name: np.ndarray, k: int):
     return query[keep], distance[keep], name[keep]
 
 
-def _nearest_in_partition(query_ids: list[str], query_matrix: np.ndarray, k: int):
-    """A mapInPandas function keeping each query's ``k`` nearest rows of one partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query, distance, name = np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=str)
-        limit = np.full(len(query_ids), np.inf)
-        for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["doc_id"].to_numpy().astype(str)
-            corpus = _unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64))
-            for start in range(0, len(query_ids), 256):
-                block = query_matrix[start : start + 256]
-                distances = np.round(1.0 - corpus @ block.T, 10)
-                reach = limit[start : start + 256]
-                if len(ids) > k:
-                    reach = np.minimum(reach, np.partition(distances, k - 1, axis=0)[k - 1])
-                # Ties at the limit stay in: the name decides among them.
-                rows, columns = np.nonzero(distances <= reach)
-                query = np.concatenate([query, columns + start])
-                distance = np.concatenate([distance, distances[rows, columns]])
-                name = np.concatenate([name, ids[rows]])
-            query, distance, name = _best(query, distance, name, k)
-            full, count = np.unique(query, return_counts=True)
-            last = np.cumsum(count) - 1
-            limit[full[count == k]] = distance[last[count == k]]
-        if len(query):
-            yield pd.DataFrame(
-                {"query_id": np.asarray(query_ids, dtype=object)[query], "doc_id": name, "distance": distance}
-            )
+def _nearest_in_block(k: int):
+    """A cogrouped function: each query's ``k`` nearest rows of one block of the corpus."""
+
+    def run(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if corpus.empty or queries.empty:
+            return pd.DataFrame({"query_id": np.empty(0, dtype=object), "doc_id": np.empty(0, dtype=object), "distance": np.empty(0)})
+        ids, asked = corpus["doc_id"].to_numpy().astype(str), queries["query_id"].to_numpy().astype(str)
+        rows = _unit(np.stack(corpus["embedding"].to_numpy()).astype(np.float64))
+        wanted = _unit(np.stack(queries["embedding"].to_numpy()).astype(np.float64))
+        found = []
+        for start in range(0, len(asked), 256):
+            distances = np.round(1.0 - rows @ wanted[start : start + 256].T, 10)
+            # Ties at the limit stay in: the name decides among them.
+            reach = np.partition(distances, k - 1, axis=0)[k - 1] if len(ids) > k else np.inf
+            at, query = np.nonzero(distances <= reach)
+            query, distance, name = _best(query + start, distances[at, query], ids[at], k)
+            found.append(pd.DataFrame({"query_id": asked[query], "doc_id": name, "distance": distance}))
+        return pd.concat(found)
 
     return run
 
 
-def nearest(query_vectors: DataFrame, vectors: DataFrame, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(
+    query_vectors: DataFrame, vectors: DataFrame, k: int, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK
+) -> DataFrame:
     """(query_id, doc_id, distance, rnk): the exact ``k`` nearest vectors by cosine distance.
 
     ``query_vectors`` has one row per query: query_id and embedding; ``vectors`` has doc_id
-    and embedding. Each task multiplies its share of the corpus with a block of queries
-    and sends only its own best ``k`` per query on. Blocks bound what the workers hold;
-    every block is searched, so no query is left out.
+    and embedding. Both are dealt into blocks by hash and every block of queries meets every
+    block of the corpus in a task of its own, which sends its best ``k`` per query on. A task
+    holds two blocks and the driver only their number, however many queries there are.
     """
-    schema = "query_id string, doc_id string, distance double"
-    corpus = vectors.select(F.col("doc_id").cast("string").alias("doc_id"), "embedding")
     queries = query_vectors.select("query_id", "embedding").dropDuplicates(["query_id"])
-    blocks = max(1, -(-queries.count() // query_block))
-    out = None
-    for block in range(blocks):
-        part = queries.where(F.pmod(fingerprint(F.col("query_id")), F.lit(blocks)) == block)
-        rows = part.toPandas()
-        if rows.empty:
-            continue
-        matrix = _unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
-        near = corpus.mapInPandas(_nearest_in_partition(rows["query_id"].tolist(), matrix, k), schema)
-        out = near if out is None else out.unionByName(near)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], schema)
+    groups = max(1, -(-queries.count() // query_block))
+    blocks = max(1, -(-vectors.count() // corpus_block))
+    dealt = vectors.select(F.col("doc_id").cast("string").alias("doc_id"), "embedding").withColumn(
+        "block", F.pmod(fingerprint(F.col("doc_id")), F.lit(blocks))
+    )
+    asked = queries.withColumn("group", F.pmod(fingerprint(F.col("query_id")), F.lit(groups)))
+    left = dealt.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    out = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(
+        _nearest_in_block(k), "query_id string, doc_id string, distance double"
+    )
     best = top_n_per_key(out, ["query_id"], [F.asc("distance"), F.asc("doc_id")], k)
     return best.withColumnRenamed("rn", "rnk")
 
@@ -204,14 +191,17 @@ def retriever(in_dense: Column, in_sparse: Column) -> Column:
 
 
 def hybrid_search(
-    queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, k_each: int = 8, k: int = 8
+    queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, k_each: int = 8, k: int = 8
 ) -> DataFrame:
     """Fused candidates of every query with the chunk's own columns.
 
-    ``chunks`` has doc_id, title, category, content and embedding (null until embedded).
-    A query without token overlap still gets its dense results, and the other way round.
+    ``chunks`` has doc_id, title, category and content; ``vectors`` has doc_id and embedding of
+    those embedded so far. The two meet in the fused rows only: BM25 reads no vector, and
+    vectors without a chunk are left out before the search. A query without token overlap still
+    gets its dense results, and the other way round.
     """
-    dense = nearest(query_vectors, chunks.where(F.col("embedding").isNotNull()), k_each)
+    embedded = vectors.where(F.col("embedding").isNotNull()).join(chunks.select("doc_id"), "doc_id", "left_semi")
+    dense = nearest(query_vectors, embedded, k_each)
     sparse = bm25(queries, chunks, k_each)
     fused = fuse(dense, sparse, k)
     return fused.join(chunks.select("doc_id", "title", "category", "content"), "doc_id")

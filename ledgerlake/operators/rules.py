@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.operators.ranking import top_n_per_key
-from ledgerlake.session import broadcast_if_small
+from ledgerlake.session import written
 
 
 @dataclass(frozen=True)
@@ -147,19 +147,23 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
 
 
 def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
-    """Split into (sound rows, failing rows); failing rows list the columns at fault."""
+    """Split into (sound rows, failing rows); failing rows list the columns at fault.
+
+    The rows are written once, so what derives them runs once for the counts and both parts.
+    """
     marks = [
         F.when(r.applies() & ~r.passes(), F.lit(f"{r.column}:{r.kind}")) for r in rules if r.kind != "unique"
     ]
-    checked = df
+    checked = df = written(df, "checked")
     for i, rule in enumerate(r for r in rules if r.kind == "unique"):
         repeated = (
-            df.groupBy(rule.column)
+            df.groupBy(F.col(rule.column).alias(f"_key{i}"))
             .agg(F.count(F.lit(1)).alias("_n"))
             .where(F.col("_n") > 1)
-            .select(rule.column, F.lit(True).alias(f"_dup{i}"))
+            .select(f"_key{i}", F.lit(True).alias(f"_dup{i}"))
         )
-        checked = checked.join(broadcast_if_small(repeated), rule.column, "left")
+        # Null keys repeat like any other, as in the scan.
+        checked = checked.join(repeated, F.col(rule.column).eqNullSafe(F.col(f"_key{i}")), "left")
         marks.append(F.when(F.col(f"_dup{i}"), F.lit(f"{rule.column}:unique")))
     marked = checked.withColumn("failed_rules", F.filter(F.array(*marks), lambda m: m.isNotNull())).select(
         *df.columns, "failed_rules"

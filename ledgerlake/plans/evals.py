@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import numbers
 
-# ---- fixed values: limits, tolerances and thresholds of the evaluation ----
-QUESTION_CHARS = 4000
-ANSWER_CHARS = 8000
-SHOWN_CHARS = 600
+# ---- fixed values: tolerances and thresholds of the evaluation ----
 SUCCESS_THRESHOLD = 0.7
 TOLERANCE = {"grounding_accuracy": 0.10, "tool_utilization": 0.10, "hallucination_rate": 0.05}
 INVERTED = ("hallucination_rate",)
@@ -30,37 +27,37 @@ def _since(as_of: datetime, **span: int) -> Column:
 # ---- conversation log ----
 
 
-def log_rows(turns: DataFrame) -> DataFrame:
-    """Turns cut to the log's column widths; turns without a question are not logged."""
-    return turns.where(F.trim(F.coalesce("question", F.lit(""))) != "").withColumns(
-        {
-            "question": F.substring("question", 1, QUESTION_CHARS),
-            "answer": F.substring(F.coalesce("answer", F.lit("")), 1, ANSWER_CHARS),
-            "context": F.substring("context", 1, ANSWER_CHARS),
-        }
-    )
+def log_rows(turns: DataFrame, widths: Mapping[str, int] | None = None) -> DataFrame:
+    """Turns as they are logged, whole; turns without a question are not logged.
+
+    ``widths`` cuts the named columns for a log whose columns are that narrow.
+    """
+    logged = turns.where(F.trim(F.coalesce("question", F.lit(""))) != "").withColumn("answer", F.coalesce("answer", F.lit("")))
+    return logged.withColumns({c: F.substring(c, 1, n) for c, n in (widths or {}).items()})
 
 
 def log_page(
-    conversation_log: DataFrame, scores: DataFrame, as_of: datetime, hours: int, limit: int, offset: int
+    conversation_log: DataFrame, scores: DataFrame, as_of: datetime, hours: int, limit: int, offset: int,
+    shown: int | None = None,
 ) -> DataFrame:
     """One page of the log, newest first, with scores where a turn has them.
 
     A left join only adds rows, so the page comes from the first ``offset + limit`` turns;
-    just their scores are looked up.
+    just their scores are looked up. ``shown`` cuts longer texts, marked with an ellipsis.
     """
     newest = [F.desc("ts"), F.asc("conversation_id")]
     turns = (
         conversation_log.where(F.col("ts") >= _since(as_of, hours=hours)).orderBy(*newest).limit(offset + limit)
     )
-    ids = F.broadcast(turns.select("conversation_id"))  # offset + limit rows at most
-    verdicts = scores.join(ids, "conversation_id", "left_semi").select(
+    verdicts = scores.join(turns.select("conversation_id"), "conversation_id", "left_semi").select(
         "conversation_id", "overall", "groundedness", "safety"
     )
 
     def shortened(name: str) -> Column:
         text = F.col(name)
-        return F.when(F.length(text) > SHOWN_CHARS, F.concat(F.substring(text, 1, SHOWN_CHARS), F.lit("…"))).otherwise(text)
+        if shown is None:
+            return text
+        return F.when(F.length(text) > shown, F.concat(F.substring(text, 1, shown), F.lit("…"))).otherwise(text)
 
     return (
         turns.join(verdicts, "conversation_id", "left")

@@ -162,10 +162,11 @@ def audit_trail(loan_audit_log: DataFrame, loan_id: str) -> DataFrame:
     return loan_audit_log.where(F.col("loan_id") == loan_id).orderBy("event_time", "audit_id")
 
 
-def list_loans(loan_status_view: DataFrame, status: str | None = None, limit: int = 200) -> DataFrame:
-    """The newest loans, of one status if given."""
+def list_loans(loan_status_view: DataFrame, status: str | None = None, limit: int | None = None) -> DataFrame:
+    """Loans, newest first, of one status if given; ``limit`` keeps the newest."""
     chosen = loan_status_view if status is None else loan_status_view.where(F.col("status") == status)
-    return chosen.orderBy(F.desc("submitted_at"), "loan_id").limit(limit)
+    ordered = chosen.orderBy(F.desc("submitted_at"), "loan_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def get_loan(loan_status_view: DataFrame, loan_id: str) -> DataFrame:

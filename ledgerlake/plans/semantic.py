@@ -225,12 +225,11 @@ def _choose(codes: tuple[str, ...], account_id) -> Column:
 def seeded_customers(accounts: DataFrame, as_of: datetime) -> DataFrame:
     """One synthetic customer per ledger account."""
     account_id, now = F.col("account_id"), F.lit(as_of)
-    head = F.substring(account_id, 1, 8)
     return accounts.select(
         F.concat(F.lit("cust-"), account_id).alias("customer_id"),
         F.sha2(account_id, 256).alias("customer_natural_key"),
-        F.concat(F.lit("Customer "), F.upper(head)).alias("full_name"),
-        F.concat(F.lit("user_"), head, F.lit("@example.com")).alias("email"),
+        F.concat(F.lit("Customer "), F.upper(account_id)).alias("full_name"),
+        F.concat(F.lit("user_"), account_id, F.lit("@example.com")).alias("email"),
         _choose(SEED_SEGMENTS, account_id).alias("segment"),
         (now - F.make_dt_interval(days=F.lit(400))).alias("created_at"),
         now.alias("ingest_time"),
@@ -241,7 +240,7 @@ def seeded_customers(accounts: DataFrame, as_of: datetime) -> DataFrame:
 def seeded_accounts(accounts: DataFrame, as_of: datetime) -> DataFrame:
     """The account record of every ledger account."""
     account_id, now = F.col("account_id"), F.lit(as_of)
-    number = F.pmod(fingerprint(account_id), F.lit(9_000_000_000)) + 1_000_000_000
+    number = fingerprint(account_id) + F.lit(10**18)  # always 19 digits
     return accounts.select(
         "account_id",
         number.cast("string").alias("account_number"),

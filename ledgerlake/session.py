@@ -1,4 +1,4 @@
-"""Session settings, the shared scratch folder, and size-checked broadcasts."""
+"""Session settings and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows a side may have before :func:`broadcast_if_small` stops hinting a broadcast.
-BROADCAST_ROW_BOUND = 200_000
 
 
 def build_session(app: str = "ledgerlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,11 +19,6 @@ def build_session(app: str = "ledgerlake", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # Streaming state beyond the heap of an executor.
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
     )
     if master:
         builder = builder.master(master)
@@ -72,26 +63,3 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, row_bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """``df`` with a broadcast hint when it has at most ``row_bound`` rows, else unchanged.
-
-    The check reads at most ``row_bound + 1`` rows. Beyond the bound the caller's join is
-    an ordinary shuffled one, where adaptive execution splits skewed partitions.
-    """
-    rows = df.limit(row_bound + 1).count()
-    return F.broadcast(df) if rows <= row_bound else df
-
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """A scan spread over the cores by ``key`` when it has fewer splits than cores.
-
-    For costly per-row work on small inputs, where one file would keep a single core busy.
-    A scan with splits enough comes back unchanged, so large tables are not shuffled. Give
-    it plain scans and projections only: counting the splits of a shuffled plan would run it.
-    """
-    if scan.isStreaming:
-        return scan
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.session import spread
 from ledgerlake.sources import banking_sql
 
 #: Schemas of the supplied tables; declared, so that no file is opened to infer them.
@@ -28,8 +27,6 @@ BASE_SCHEMAS = {
     "labels": "doc_id bigint, quality int, toxic int",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
-#: Tables whose rows take costly work (texts, scorecards), and the key they are spread by when small.
-SPREAD_TABLES = {"documents": "doc_id", "pages": "page_id", "orders": "o_orderkey"}
 
 
 class Bank:
@@ -50,7 +47,7 @@ class Bank:
         key = f"base:{name}"
         if key not in self._tables:
             scan = self.spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
-            self._tables[key] = spread(scan, SPREAD_TABLES[name]) if name in SPREAD_TABLES else scan
+            self._tables[key] = scan
         return self._tables[key]
 
     def table(self, name: str) -> DataFrame:

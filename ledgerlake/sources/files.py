@@ -18,8 +18,17 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_messages(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """The same messages as a stream over a folder of JSON-lines files."""
-    return spark.readStream.options(**options).text(path).select(F.col("value").alias("data"))
+    """The same messages as a stream over a folder of JSON-lines files, ready for the ingest.
+
+    A line is published when its file was written; equal lines of a file are one message. Options
+    such as ``maxFilesPerTrigger`` bound what one batch takes.
+    """
+    lines = spark.readStream.options(**options).text(path).select("value", "_metadata")
+    return lines.select(
+        F.sha2(F.concat_ws("\n", "_metadata.file_path", "value"), 256).alias("message_id"),
+        F.col("_metadata.file_modification_time").alias("publish_time"),
+        F.col("value").alias("data"),
+    )
 
 
 def stream_topic(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:

@@ -6,65 +6,35 @@ other validates, de-duplicates and writes silver rows and dead letters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlake import schemas
+from ledgerlake.operators.dedup import first_arrivals
 from ledgerlake.operators.deident import deidentify_column
 from ledgerlake.operators.validate import check_messages, conform, dead_letters, stamp_lineage
 
 DEDUP_TTL_SECONDS = 3600
 
 
-def dedup_stream(
-    rows: DataFrame, key: str, arrival: str, ttl_seconds: int = DEDUP_TTL_SECONDS, salts: int = 0
-) -> DataFrame:
-    """First row per key within ``ttl_seconds`` of arrival time; 0 turns it off.
-
-    The watermark runs on arrival, not on event time: late events keep their place, and
-    state is dropped once a key's window has passed.
+def unseen(rows: DataFrame, kept: DataFrame, arrived: datetime, ttl_seconds: int = DEDUP_TTL_SECONDS) -> DataFrame:
+    """Of sound rows that arrived together, the first of each key that was not kept within the TTL.
 
-    With ``salts``, duplicates are first removed per (key, input task modulo ``salts``), so
-    a key that fills a third of the feed is spread over that many state partitions and
-    reaches the second step as a handful of rows. It costs a second shuffle and state; the
-    salt depends on the task only, so a rerun task sends its rows to the same places.
+    ``kept`` has the keys of earlier batches and the time each arrived: arrival is the clock of
+    the ingest, never the time in the message, so a late or out-of-order message is judged like
+    any other. Among deliveries of one batch the first by (publish_time, message_id) stays. The
+    window takes one row per key and map task, so a key of any size is thinned before it is shuffled.
+    A TTL of 0 keeps every row.
     """
     if ttl_seconds == 0:
         return rows
-    marked = rows.withWatermark(arrival, f"{ttl_seconds} seconds")
-    if salts:
-        salted = marked.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-        marked = salted.dropDuplicatesWithinWatermark([key, "_salt"]).drop("_salt")
-    return marked.dropDuplicatesWithinWatermark([key])
-
-
-def checked_stream(
-    messages: DataFrame, arrival: str = "publish_time", ttl_seconds: int = DEDUP_TTL_SECONDS, salts: int = 0
-) -> DataFrame:
-    """Checked messages with redeliveries of sound ones removed.
-
-    Rejected messages keep a key of their own, so every one of them reaches the dead letters.
-    """
-    checked = check_messages(messages)
-    key = F.when(
-        F.col("fault") == 0, F.concat(F.lit("k:"), F.col("message.idempotency_key"))
-    ).otherwise(F.concat(F.lit("m:"), F.col("message_id")))
-    return dedup_stream(checked.withColumn("_dedup_key", key), "_dedup_key", arrival, ttl_seconds, salts).drop("_dedup_key")
-
-
-def silver_rows(
-    checked: DataFrame,
-    source_system: str = "synthetic-generator",
-    secret: str | None = None,
-    rate: float = 0.1,
-    ingest_time: Column | None = None,
-) -> DataFrame:
-    """Silver transactions of checked messages; counterparties are de-identified when a secret is set."""
-    rows = conform(checked)
-    if secret is not None:
-        rows = deidentify_column(rows, "counterparty_account", "idempotency_key", secret, rate)
-    return stamp_lineage(rows, source_system, ingest_time).select(*schemas.TRANSACTION.names)
+    first = first_arrivals(rows, "idempotency_key", [F.asc("publish_time"), F.asc("message_id")])
+    recent = kept.where(F.col("arrived") > F.lit(arrived - timedelta(seconds=ttl_seconds)))
+    return first.join(recent.select("idempotency_key"), "idempotency_key", "left_anti")
 
 
 def land_bronze(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -79,52 +49,63 @@ def land_bronze(messages: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
+_KEYS = "idempotency_key string, arrived timestamp, hour int, batch long"
+
+
+def _kept_keys(spark: SparkSession, path: str, batch_id: int, since: datetime) -> DataFrame:
+    """Keys that batches before ``batch_id`` kept from the hour of ``since`` on; older folders are not read."""
+    keys = spark.read.schema(_KEYS).parquet(path)
+    return keys.where((F.col("hour") >= int(since.timestamp() // 3600)) & (F.col("batch") < batch_id))
+
+
 def run_ingest(
     messages: DataFrame,
     silver_path: str,
     dlq_path: str,
+    keys_path: str,
     checkpoint: str,
     ttl_seconds: int = DEDUP_TTL_SECONDS,
     source_system: str = "synthetic-generator",
     secret: str | None = None,
     rate: float = 0.1,
     continuous: str | None = None,
-    state_partitions: int | None = None,
-    salts: int = 16,
+    clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
 ) -> StreamingQuery:
     """Start the validating query: drains the source and stops, or runs every ``continuous`` interval.
 
-    ``state_partitions`` spreads the de-duplication state; it is fixed for the life of the
-    checkpoint, so size it for the stream, not for one batch. Unset, the session's number
-    of shuffle partitions holds. ``salts`` splits busy keys, see :func:`dedup_stream`; 0
-    saves the second state where no key is redelivered that often.
-    A batch is written under its own number with overwrite, so a replay after a failure
-    replaces what the failed attempt left.
+    Rejected messages go to the dead letters, all of them, before anything is de-duplicated. Of
+    sound ones :func:`unseen` rows become silver; their keys are written under ``keys_path`` by hour
+    of arrival, and a batch reads the hours within its TTL only. How much a batch takes is the
+    source's matter (``maxFilesPerTrigger`` and the like). Everything a batch writes goes under its own
+    number with overwrite and it never reads its own keys, so a replay after a failure replaces
+    what the failed attempt left.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            silver = silver_rows(batch, source_system, secret, rate).withColumn("event_date", F.to_date("event_time"))
-            silver.write.mode("overwrite").partitionBy("event_date").parquet(f"{silver_path}/batch={batch_id}")
-            dead_letters(batch).write.mode("overwrite").parquet(f"{dlq_path}/batch={batch_id}")
-        finally:
-            batch.unpersist()
-
-    writer = (
-        checked_stream(messages, ttl_seconds=ttl_seconds, salts=salts)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-    )
+        spark, arrived = batch.sparkSession, clock()
+        checked = check_messages(batch)
+        dead_letters(checked).write.mode("overwrite").parquet(f"{dlq_path}/batch={batch_id}")
+        sound = conform(checked, "message_id", "publish_time")
+        hour = int(arrived.timestamp() // 3600)
+        if not ttl_seconds:
+            kept = sound
+        else:
+            none = spark.createDataFrame([], "idempotency_key string, arrived timestamp")
+            none.write.mode("overwrite").parquet(f"{keys_path}/hour=0/batch=-1")
+            since = arrived - timedelta(seconds=ttl_seconds)
+            kept = unseen(sound, _kept_keys(spark, keys_path, batch_id, since), arrived, ttl_seconds)
+        if secret is not None:
+            kept = deidentify_column(kept, "counterparty_account", "idempotency_key", secret, rate)
+        target = f"{silver_path}/batch={batch_id}"
+        silver = stamp_lineage(kept, source_system).select(*schemas.TRANSACTION.names)
+        silver.withColumn("event_date", F.to_date("event_time")).write.mode("overwrite").partitionBy("event_date").parquet(target)
+        if ttl_seconds:
+            names = spark.read.schema(schemas.TRANSACTION).parquet(target).select("idempotency_key")
+            names.withColumn("arrived", F.lit(arrived)).write.mode("overwrite").parquet(f"{keys_path}/hour={hour}/batch={batch_id}")
+
+    writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": continuous} if continuous else {"availableNow": True}
-    conf = messages.sparkSession.conf
-    before = conf.get("spark.sql.shuffle.partitions")
-    try:
-        if state_partitions:
-            conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-        return writer.trigger(**trigger).start()
-    finally:
-        conf.set("spark.sql.shuffle.partitions", before)
+    return writer.trigger(**trigger).start()
 
 
 # ---- health of the feed ----

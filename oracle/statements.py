@@ -536,7 +536,7 @@ STATEMENTS: dict[str, str] = {
         FROM v_account_balance WHERE account_id IN (SELECT account_id FROM t_loan_request)""",
     "txn_by_account": f"""
         SELECT account_id || '#' || lpad(CAST(9999999999 - CAST(floor(epoch(t.event_time)) AS BIGINT) AS VARCHAR), 10, '0')
-               || '#' || left(transaction_id, 8) AS row_key, account_id, {_READ} FROM t_transaction t
+               || '#' || transaction_id AS row_key, account_id, {_READ} FROM t_transaction t
         QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY t.event_time DESC, transaction_id) = 1""",
     "balance_projection": f"""
         SELECT account_id AS row_key, {_dbl('balance', 'balance')}, currency,
@@ -579,17 +579,17 @@ STATEMENTS: dict[str, str] = {
     "ledger_accounts": "SELECT account_id, min(currency) AS currency FROM t_transaction GROUP BY 1",
     "seeded_customers": f"""
         SELECT 'cust-' || account_id AS customer_id, sha256(account_id) AS customer_natural_key,
-               'Customer ' || upper(left(account_id, 8)) AS full_name,
-               'user_' || left(account_id, 8) || '@example.com' AS email,
-               ['RETAIL', 'PREMIER', 'STUDENT', 'BUSINESS'][1 + ('0x' || left(sha256(account_id), 8))::BIGINT % 4] AS segment,
+               'Customer ' || upper(account_id) AS full_name,
+               'user_' || account_id || '@example.com' AS email,
+               ['RETAIL', 'PREMIER', 'STUDENT', 'BUSINESS'][1 + ('0x' || left(sha256(account_id), 15))::BIGINT % 4] AS segment,
                CAST({_EVENT_DAY} - INTERVAL 400 DAY AS VARCHAR) AS created_at, CAST({_EVENT_DAY} AS VARCHAR) AS ingest_time,
                'seed-1.0.0' AS pipeline_version
         FROM (SELECT DISTINCT account_id FROM t_transaction)
         WHERE 'cust-' || account_id NOT IN (SELECT customer_id FROM t_bank_customer)""",
     "seeded_accounts": f"""
-        SELECT account_id, CAST(('0x' || left(sha256(account_id), 8))::BIGINT % 9000000000 + 1000000000 AS VARCHAR) AS account_number,
+        SELECT account_id, CAST(('0x' || left(sha256(account_id), 15))::BIGINT + 1000000000000000000 AS VARCHAR) AS account_number,
                'cust-' || account_id AS customer_id,
-               ['CHECKING', 'SAVINGS'][1 + ('0x' || left(sha256(account_id), 8))::BIGINT % 2] AS account_type,
+               ['CHECKING', 'SAVINGS'][1 + ('0x' || left(sha256(account_id), 15))::BIGINT % 2] AS account_type,
                currency, 'ACTIVE' AS status, CAST({_EVENT_DAY} - INTERVAL 365 DAY AS VARCHAR) AS opened_at,
                CAST({_EVENT_DAY} AS VARCHAR) AS ingest_time, 'seed-1.0.0' AS pipeline_version
         FROM (SELECT account_id, min(currency) AS currency FROM t_transaction GROUP BY 1)
@@ -611,8 +611,7 @@ STATEMENTS: dict[str, str] = {
     "reconciled": """SELECT * EXCLUDE (ingest_time, source_system, pipeline_version), ingest_time AS publish_time FROM v_silver
         WHERE idempotency_key NOT IN (SELECT idempotency_key FROM t_transaction
                                       WHERE event_time < TIMESTAMP '2024-01-16 00:00:00')""",
-    "streamed_silver": """SELECT idempotency_key, account_id, txn_type, amount, currency, status, event_time, source_system
-        FROM v_silver""",
+    "streamed_silver": "SELECT * EXCLUDE (ingest_time, message_id) FROM v_silver",
     "streamed_dead_letters": "SELECT error, data AS payload, '1.0.0' AS pipeline_version FROM v_checked WHERE error IS NOT NULL",
     "streamed_bronze": f"""SELECT message_id, {_txt('publish_time')}, data,
         CAST(CAST(t_transaction_event.publish_time AS DATE) AS VARCHAR) AS publish_date FROM t_transaction_event""",
@@ -622,7 +621,7 @@ STATEMENTS: dict[str, str] = {
         FROM t_transaction t WHERE t.event_time >= TIMESTAMP '2024-01-08' AND t.event_time < TIMESTAMP '2024-01-15'""",
     "serving_table": """
         SELECT account_id || '#' || lpad(CAST(9999999999 - CAST(floor(epoch(event_time)) AS BIGINT) AS VARCHAR), 10, '0')
-               || '#' || left(transaction_id, 8) AS row_key, transaction_id FROM t_transaction
+               || '#' || transaction_id AS row_key, transaction_id FROM t_transaction
         QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY event_time DESC, transaction_id) = 1""",
     "corpus_load": "SELECT doc_id, title, category, sha256(content) AS hash FROM t_kb_raw",
     "appended_audit": f"""SELECT 'aud-' || decision_id AS audit_id, loan_id, approver AS actor, 'DECISION_' || decision AS action,
@@ -643,7 +642,7 @@ STATEMENTS: dict[str, str] = {
         ) GROUP BY 1, 2""",
     "deidentified_documents": "SELECT doc_id, content FROM v_deidentified",
     "deidentified_sample": """
-        SELECT doc_id, sha256(CASE WHEN ('0x' || left(sha256(doc_id), 8))::BIGINT % 1000000 < 500000
+        SELECT doc_id, sha256(CASE WHEN ('0x' || left(sha256(doc_id), 15))::BIGINT % 1000000 < 500000
                                    THEN content ELSE original END) AS content_hash FROM v_deidentified""",
     "loan_status": f"""SELECT * REPLACE ({_dbl('amount', 'amount')}, {_txt('submitted_at')}, {_txt('updated_at')},
         {_dbl('counteroffer_amount', 'counteroffer_amount')}, {_txt('decided_at')}) FROM v_loan_status""",
@@ -679,7 +678,7 @@ STATEMENTS: dict[str, str] = {
     "audit_trail": f"""SELECT * REPLACE ({_txt('event_time')}),
         row_number() OVER (PARTITION BY loan_id ORDER BY t.event_time, audit_id) AS step FROM t_loan_audit_log t""",
     "newest_loans": f"""SELECT loan_id, status, {_txt('submitted_at')}, risk_score FROM (SELECT * FROM v_loan_status
-        WHERE status = 'PENDING_APPROVAL' ORDER BY submitted_at DESC, loan_id LIMIT 200)""",
+        WHERE status = 'PENDING_APPROVAL')""",
     "outcome_breakdown": f"""SELECT coalesce(final_decision, status) AS outcome, {_int('count(*)', 'loans')},
         {_dbl('sum(amount)', 'amount')} FROM v_loan_status GROUP BY 1""",
     "average_risk": f"""SELECT status, {_int('count(*)', 'loans')}, round(avg(risk_score), 1) AS avg_risk FROM v_loan_status GROUP BY 1""",
@@ -763,7 +762,7 @@ STATEMENTS: dict[str, str] = {
               ON d.query_id = r.query_id)) USING (query_id)""",
     "document_chunks": """
         SELECT path || '#' || (row_number() OVER (PARTITION BY path ORDER BY i, j) - 1) AS doc_id,
-               left(CASE WHEN heading IS NULL THEN title ELSE title || ' — ' || heading END, 300) AS title,
+               CASE WHEN heading IS NULL THEN title ELSE title || ' — ' || heading END AS title,
                'page' AS category, path AS source_path,
                '[' || path || '] ' || CASE WHEN heading IS NULL THEN title ELSE title || ' — ' || heading END
                  || chr(10) || chr(10) || piece AS content
@@ -789,8 +788,7 @@ STATEMENTS: dict[str, str] = {
                 SELECT *, row_number() OVER (PARTITION BY display_name, entry_type ORDER BY relevance, entry_name) AS rn
                 FROM t_catalog_entry WHERE contains(lower(display_name), 'red')
                   AND (entry_type IN ('glossary-term', 'glossary-category') OR contains(resource, 'prod') OR contains(entry_name, 'prod')))
-              WHERE rn = 1 ORDER BY relevance, entry_name LIMIT 20)
-        ORDER BY display_group, relevance, entry_name LIMIT 8""",
+              WHERE rn = 1)""",
     "edge_counts": f"""
         SELECT label, {_int('count(*)', 'edges')}, {_int('count(DISTINCT dst)', 'targets')} FROM (
           SELECT 'OWNS' AS label, account_id AS dst FROM t_account
@@ -803,12 +801,11 @@ STATEMENTS: dict[str, str] = {
     "transfer_walks": f"""SELECT a.src AS node, a.n AS walks_1, {_int('coalesce(b.n, 0)', 'walks_2')}, {_int('coalesce(c.n, 0)', 'walks_3')}
         FROM v_hop1 a LEFT JOIN v_hop2 b USING (src) LEFT JOIN v_hop3 c USING (src)""",
     "hops_from_savings": f"SELECT node, {_int('min(hops)', 'hops')} FROM v_reach3 GROUP BY node",
-    "logged_turns": """SELECT conversation_id, left(question, 4000) AS question, left(coalesce(answer, ''), 8000) AS answer, latency_ms
+    "logged_turns": """SELECT conversation_id, question, coalesce(answer, '') AS answer, latency_ms
         FROM t_conversation_log WHERE trim(coalesce(question, '')) <> ''""",
     "log_page": f"""
         SELECT conversation_id, {_txt('ts')}, persona,
-               CASE WHEN length(question) > 600 THEN left(question, 600) || '…' ELSE question END AS question,
-               CASE WHEN length(answer) > 600 THEN left(answer, 600) || '…' ELSE answer END AS answer, overall, groundedness, safety
+               question, answer, overall, groundedness, safety
         FROM (SELECT l.*, s.overall, s.groundedness, s.safety FROM t_conversation_log l LEFT JOIN v_scores s USING (conversation_id)
               WHERE l.ts >= {_LOG_DAY} - INTERVAL 168 HOUR ORDER BY l.ts DESC, conversation_id LIMIT 20 OFFSET 10)""",
     "log_total": f"SELECT {_int('count(*)', 'total')} FROM t_conversation_log WHERE ts >= {_LOG_DAY} - INTERVAL 168 HOUR",

@@ -32,16 +32,17 @@ def test_unscored_turns(spark):
     assert [r.conversation_id for r in evals.unscored_turns(log(spark, rows), scores, NOW, limit=1).collect()] == ["a"]
 
 
-def test_log_rows_are_cut(spark):
+def test_log_rows_are_whole(spark):
     df = spark.createDataFrame([("q" * 5000, "a" * 9000, None), ("  ", "a", None)], "question string, answer string, context string")
-    rows = evals.log_rows(df).collect()
-    assert [(len(r.question), len(r.answer)) for r in rows] == [(4000, 8000)]
+    for widths, expected in ((None, (5000, 9000)), ({"question": 4000}, (4000, 9000))):
+        rows = evals.log_rows(df, widths).collect()
+        assert [(len(r.question), len(r.answer)) for r in rows] == [expected]
 
 
 def test_log_page(spark):
     rows = [(f"c{i}", i, "q" * 700, "a") for i in range(10)]
     scores = spark.createDataFrame([("c4", 0.5, 3.0, 1.0)], "conversation_id string, overall double, groundedness double, safety double")
-    page = evals.log_page(log(spark, rows), scores, NOW, 168, limit=3, offset=3).orderBy(F.desc("ts")).collect()
+    page = evals.log_page(log(spark, rows), scores, NOW, 168, limit=3, offset=3, shown=600).orderBy(F.desc("ts")).collect()
     assert [(r.conversation_id, r.overall) for r in page] == [("c3", None), ("c4", 0.5), ("c5", None)]
     assert page[0].question == "q" * 600 + "…"
 

@@ -1,5 +1,5 @@
 import json
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +8,7 @@ from ledgerlake import schemas
 from ledgerlake.operators import dedup, deident
 from ledgerlake.operators.validate import check_messages, conform, dead_letters, event_timestamp, stamp_lineage
 from ledgerlake.session import scratch_dir
+from ledgerlake.sources import files
 from ledgerlake.streaming import ingest
 
 SOUND = {
@@ -117,11 +118,6 @@ def test_first_arrival_wins(spark):
     assert sorted(map(tuple, out.collect())) == [("k1", 0), ("k2", 3)]
 
 
-def test_dedup_off_passes_everything(spark):
-    out = dedup.first_arrivals(keyed(spark, ["k1", "k1"]), "idempotency_key", [F.asc("arrival")], ttl_seconds=0)
-    assert out.count() == 2
-
-
 def test_upsert_inserts_only_missing_rows(spark):
     target = spark.createDataFrame([("a", 1)], "id string, v int")
     source = spark.createDataFrame([("a", 2), ("b", 3)], "id string, v int")
@@ -187,7 +183,7 @@ def source(spark, folder):
 
 def run(spark, root, **options):
     query = ingest.run_ingest(
-        source(spark, f"{root}/in"), f"{root}/silver", f"{root}/dlq", f"{root}/state", **options
+        source(spark, f"{root}/in"), f"{root}/silver", f"{root}/dlq", f"{root}/keys", f"{root}/state", **options
     )
     query.awaitTermination()
 
@@ -204,20 +200,58 @@ def test_stream_dedups_across_batches_and_restarts(spark):
     assert spark.read.parquet(f"{root}/dlq").count() == 1
 
 
-@pytest.mark.parametrize("salts", [0, 16])
-def test_stream_dedup_of_a_hot_key(spark, salts):
+def test_stream_dedup_of_a_hot_key(spark):
     """A third of the feed is one key, spread over several files and two runs."""
     root = scratch_dir(spark, "test")
     rows = [(i, 1000 + i, message(idempotency_key="hot-0001" if i % 3 == 0 else f"key-{i:05d}")) for i in range(300)]
     for start in range(0, 200, 40):
         feed(spark, f"{root}/in", "a", rows[start : start + 40])
-    run(spark, root, salts=salts)
+    run(spark, root)
     feed(spark, f"{root}/in", "b", rows[200:])
-    run(spark, root, salts=salts)
+    run(spark, root)
     keys = [r.idempotency_key for r in spark.read.parquet(f"{root}/silver").collect()]
     assert len(keys) == len(set(keys)) == 201
 
 
+def test_late_messages_are_kept(spark):
+    """Sound and rejected messages published hours before earlier batches reach their tables once."""
+    root = scratch_dir(spark, "test")
+    hour = 3600
+    for name, at, key in (("a", 12 * hour, "key-000a"), ("b", 12 * hour + 60, "key-000b"), ("c", 9 * hour, "key-000c")):
+        feed(spark, f"{root}/in", name, [(ord(name), at, message(idempotency_key=key)), (ord(name) + 100, at, f"bad {name}")])
+    feed(spark, f"{root}/in", "d", [(9, hour, message(idempotency_key="key-000a")), (10, hour, "bad a")])
+    run(spark, root)
+    keys = sorted(r.idempotency_key for r in spark.read.parquet(f"{root}/silver").collect())
+    assert keys == ["key-000a", "key-000b", "key-000c"]
+    assert sorted(r.payload for r in spark.read.parquet(f"{root}/dlq").collect()) == ["bad a", "bad a", "bad b", "bad c"]
+
+
+def test_first_of_a_batch_stays(spark):
+    root = scratch_dir(spark, "test")
+    rows = [(3, 1002, message(transaction_id="late")), (2, 1001, message(transaction_id="second")), (1, 1001, message(transaction_id="first"))]
+    feed(spark, f"{root}/in", "a", rows)
+    run(spark, root)
+    assert [r.transaction_id for r in spark.read.parquet(f"{root}/silver").collect()] == ["first"]
+
+
+def test_redelivery_after_the_ttl_passes(spark):
+    """Arrival is the ingest's clock; the time in the messages does not matter."""
+    root = scratch_dir(spark, "test")
+    now = datetime(2024, 5, 1, 12, 30, tzinfo=timezone.utc)
+    for i, seconds in enumerate((0, 3599, 3601, 3700)):
+        feed(spark, f"{root}/in", "a", [(i, 1000, message())])
+        run(spark, root, clock=lambda at=now + timedelta(seconds=seconds): at)
+    assert spark.read.parquet(f"{root}/silver").count() == 2
+
+
+def test_lines_of_files_feed_the_ingest(spark):
+    root = scratch_dir(spark, "test")
+    spark.createDataFrame([(message(),), (message(idempotency_key="key-0002"),), ("garbage",)], "value string").write.text(f"{root}/in")
+    lines = files.stream_messages(spark, f"{root}/in", maxFilesPerTrigger="1")
+    ingest.run_ingest(lines, f"{root}/silver", f"{root}/dlq", f"{root}/keys", f"{root}/state").awaitTermination()
+    assert spark.read.parquet(f"{root}/silver").count() == 2 and spark.read.parquet(f"{root}/dlq").count() == 1
+
+
 def test_stream_dedup_off(spark):
     root = scratch_dir(spark, "test")
     feed(spark, f"{root}/in", "a", [(1, 1000, message()), (2, 1001, message())])
@@ -238,7 +272,7 @@ def test_replayed_batch_is_written_once(spark):
     feed(spark, f"{root}/in", "a", [(1, 1000, message()), (2, 1001, "garbage")])
     run(spark, root)
     query = ingest.run_ingest(
-        source(spark, f"{root}/in"), f"{root}/silver", f"{root}/dlq", f"{root}/other-state"
+        source(spark, f"{root}/in"), f"{root}/silver", f"{root}/dlq", f"{root}/keys", f"{root}/other-state"
     )
     query.awaitTermination()
     assert spark.read.parquet(f"{root}/silver").count() == 1
