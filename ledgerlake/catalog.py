@@ -666,14 +666,42 @@ def contract_conformance(b: Bank) -> DataFrame:
     return out
 
 
+def _contract_scans(b: Bank) -> DataFrame:
+    tables = {
+        "deposit-transactions": b.transaction,
+        "customer-master": b.bank_customer,
+        "loan-master": _loan_status(b),
+        "overdraft-history": _overdrafts(b),
+        "bank-knowledge-base": b.kb_raw,
+    }
+    scans = [rules.scan(df, name, name, rules.CONTRACT_RULES[name]) for name, df in tables.items()]
+    out = scans[0]
+    for more in scans[1:]:
+        out = out.unionByName(more)
+    return out.drop("failing_rows_query")
+
+
+@report
+def contract_quality(b: Bank) -> DataFrame:
+    """Quality rules, allowed values and platform rules of every contract's table."""
+    return _contract_scans(b)
+
+
 @report
 def answerable_assets(b: Bank) -> DataFrame:
     integrity = referential_integrity(b)
-    results = integrity.unionByName(_scan(b).select(*integrity.columns))
+    results = integrity.unionByName(_scan(b).select(*integrity.columns)).unionByName(
+        _contract_scans(b).select(*integrity.columns)
+    )
     assets = b.spark.createDataFrame(
         [
             ("transaction", "silver-txn-quality"),
             ("transaction", "txn-account"),
+            ("transaction", "deposit-transactions"),
+            ("customer", "customer-master"),
+            ("loan", "loan-master"),
+            ("overdraft", "overdraft-history"),
+            ("knowledge", "bank-knowledge-base"),
             ("account", "account-customer"),
             ("knowledge", "chunk-vector"),
             ("loan", "risk-loan"),

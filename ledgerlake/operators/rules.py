@@ -63,6 +63,37 @@ class Rule:
         return f"SELECT * FROM {table} WHERE {scope}NOT COALESCE({self.condition()}, FALSE)"
 
 
+# ---- fixed values: quality rules of the contracts, allowed values of their columns, platform rules ----
+CONTRACT_RULES = {
+    "deposit-transactions": (
+        Rule("amount", "VALIDITY", "non_null"),
+        Rule("txn_type", "VALIDITY", "set", values=("DEPOSIT", "WITHDRAWAL", "TRANSFER", "FEE")),
+        Rule("idempotency_key", "UNIQUENESS", "unique"),
+        Rule("transaction_id", "UNIQUENESS", "unique", severity="blocking"),
+        Rule("amount", "COMPLETENESS", "non_null", where="status = 'POSTED'"),
+    ),
+    "customer-master": (
+        Rule("customer_id", "UNIQUENESS", "unique"),
+        Rule("customer_natural_key", "VALIDITY", "non_null"),
+        Rule("segment", "COMPLETENESS", "non_null"),
+    ),
+    "loan-master": (
+        Rule("loan_id", "UNIQUENESS", "unique"),
+        Rule("risk_score", "VALIDITY", "range", low=0, high=1000, where="risk_score IS NOT NULL"),
+        Rule("recommendation", "VALIDITY", "set", values=("APPROVE", "DECLINE", "REVIEW"), where="recommendation IS NOT NULL"),
+        Rule("final_decision", "VALIDITY", "set", values=("APPROVE", "DECLINE", "REVIEW"), where="final_decision IS NOT NULL"),
+    ),
+    "overdraft-history": (
+        Rule("account_id", "UNIQUENESS", "unique"),
+        Rule("overdraft_events", "VALIDITY", "non_null"),
+    ),
+    "bank-knowledge-base": (
+        Rule("doc_id", "UNIQUENESS", "unique"),
+        Rule("content", "VALIDITY", "non_null"),
+    ),
+}
+
+
 def scan(df: DataFrame, scan_name: str, table: str, rules: Sequence[Rule]) -> DataFrame:
     """One result row per rule: evaluated and passed counts, passed flag, query of failing rows."""
     indexed = list(enumerate(rules))

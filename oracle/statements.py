@@ -239,6 +239,45 @@ def _contracts() -> str:
     )
 
 
+def _contract_quality() -> str:
+    """Every rule stated here once more, as (contract, rule, dimension, column, severity, rows, sound)."""
+    known = "{c} IN ('APPROVE', 'DECLINE', 'REVIEW')"
+    rows = [
+        ("deposit-transactions", 0, "VALIDITY", "amount", "warn", "TRUE", "amount IS NOT NULL"),
+        ("deposit-transactions", 1, "VALIDITY", "txn_type", "warn", "TRUE", "txn_type IN ('DEPOSIT', 'FEE', 'TRANSFER', 'WITHDRAWAL')"),
+        ("deposit-transactions", 2, "UNIQUENESS", "idempotency_key", "warn", "TRUE", None),
+        ("deposit-transactions", 3, "UNIQUENESS", "transaction_id", "blocking", "TRUE", None),
+        ("deposit-transactions", 4, "COMPLETENESS", "amount", "warn", "status = 'POSTED'", "amount IS NOT NULL"),
+        ("customer-master", 0, "UNIQUENESS", "customer_id", "warn", "TRUE", None),
+        ("customer-master", 1, "VALIDITY", "customer_natural_key", "warn", "TRUE", "customer_natural_key IS NOT NULL"),
+        ("customer-master", 2, "COMPLETENESS", "segment", "warn", "TRUE", "segment IS NOT NULL"),
+        ("loan-master", 0, "UNIQUENESS", "loan_id", "warn", "TRUE", None),
+        ("loan-master", 1, "VALIDITY", "risk_score", "warn", "risk_score IS NOT NULL", "risk_score BETWEEN 0 AND 1000"),
+        ("loan-master", 2, "VALIDITY", "recommendation", "warn", "recommendation IS NOT NULL", known.format(c="recommendation")),
+        ("loan-master", 3, "VALIDITY", "final_decision", "warn", "final_decision IS NOT NULL", known.format(c="final_decision")),
+        ("overdraft-history", 0, "UNIQUENESS", "account_id", "warn", "TRUE", None),
+        ("overdraft-history", 1, "VALIDITY", "overdraft_events", "warn", "TRUE", "overdraft_events IS NOT NULL"),
+        ("bank-knowledge-base", 0, "UNIQUENESS", "doc_id", "warn", "TRUE", None),
+        ("bank-knowledge-base", 1, "VALIDITY", "content", "warn", "TRUE", "content IS NOT NULL"),
+    ]
+    tables = {
+        "deposit-transactions": "t_transaction", "customer-master": "t_bank_customer", "loan-master": "v_loan_status",
+        "overdraft-history": "v_overdraft_history", "bank-knowledge-base": "t_kb_raw",
+    }
+    out = []
+    for contract, number, dimension, column, severity, where, sound in rows:
+        table = tables[contract]
+        if sound is None:
+            table = f"(SELECT *, count(*) OVER (PARTITION BY {column}) AS copies FROM {table})"
+            sound = "copies = 1"
+        evaluated, passed = f"count(*) FILTER (WHERE {where})", f"count(*) FILTER (WHERE ({where}) AND coalesce({sound}, FALSE))"
+        out.append(f"""
+          SELECT '{contract}' AS scan, {_int(str(number), 'rule')}, '{dimension}' AS dimension, '{column}' AS "column",
+                 '{severity}' AS severity, {_int(evaluated, 'evaluated')}, {_int(passed, 'passed_count')}, {evaluated} = {passed} AS passed
+          FROM {table}""")
+    return " UNION ALL ".join(out)
+
+
 # ---- retrieval ----
 
 _TOKENS = f"list_filter(regexp_extract_all(lower({{text}}), '{_q(TOKEN_PATTERN)}'), lambda t: length(t) > 1)"
@@ -725,13 +764,17 @@ STATEMENTS: dict[str, str] = {
         _profile(c) for c in ("txn_type", "status", "account_id", "counterparty_account", "amount", "transaction_id")
     ),
     "contract_conformance": _contracts(),
+    "contract_quality": _contract_quality(),
     "answerable_assets": f"""
         SELECT asset, NOT coalesce(bool_or(NOT coalesce(passed, TRUE) AND severity = 'blocking'), FALSE) AS answerable,
                coalesce(string_agg(DISTINCT CASE WHEN NOT passed AND severity <> 'blocking' THEN dimension || ' on ' || "column" END,
                  '|' ORDER BY CASE WHEN NOT passed AND severity <> 'blocking' THEN dimension || ' on ' || "column" END), '') AS caveats
         FROM (VALUES ('transaction', 'silver-txn-quality'), ('transaction', 'txn-account'), ('account', 'account-customer'),
+                     ('transaction', 'deposit-transactions'), ('customer', 'customer-master'), ('loan', 'loan-master'),
+                     ('overdraft', 'overdraft-history'), ('knowledge', 'bank-knowledge-base'),
                      ('knowledge', 'chunk-vector'), ('loan', 'risk-loan'), ('unscanned', 'no-such-scan')) AS a(asset, scan)
-        LEFT JOIN (SELECT {_SCAN_COLUMNS} FROM v_integrity UNION ALL SELECT {_SCAN_COLUMNS} FROM v_scan) r ON a.scan = r.scan
+        LEFT JOIN (SELECT {_SCAN_COLUMNS} FROM v_integrity UNION ALL SELECT {_SCAN_COLUMNS} FROM v_scan
+                   UNION ALL SELECT {_SCAN_COLUMNS} FROM ({_contract_quality()})) r ON a.scan = r.scan
         GROUP BY asset""",
     "recertification": """
         SELECT agent_id, owner, risk_tier, CAST(last_recertified AS VARCHAR) AS last_recertified, CAST(due AS VARCHAR) AS recert_due,
