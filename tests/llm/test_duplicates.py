@@ -121,7 +121,7 @@ def normal(line):
 
 
 def simhash(line):
-    w = line.split(" ")
+    w = set(line.split(" "))
     hashes = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in w]
     out = 0
     for j in range(20):
@@ -141,7 +141,7 @@ def brute_removed(rows):
                 places[normal(line)].append((i, at))
     lines = sorted(places)
     parent = {n: n for n in range(len(lines))}
-    long = [n for n, x in enumerate(lines) if len(x.split(" ")) >= 5]
+    long = [n for n, x in enumerate(lines) if len(set(x.split(" "))) >= 5]
     hashes = np.array([simhash(lines[n]) for n in long], dtype=np.uint64)
     for a, n in enumerate(long):
         near = np.flatnonzero(np.bitwise_count(hashes[a + 1 :] ^ hashes[a]) <= 3)
