@@ -28,13 +28,14 @@ def repeat_words(listed: Column, window: int = WINDOW) -> Column:
     Windows are compared by a 64-bit hash chained over their words. Sorted by hash, equal windows
     are neighbours; the stretches they cover are then added up in order of position.
     """
-    hashes = F.when(
-        F.size(listed) >= window,
-        F.transform(
-            F.sequence(F.lit(0), F.size(listed) - window),
-            lambda i: F.xxhash64(*[listed[i + k] for k in range(window)]),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    def hashed(listed: Column) -> Column:
+        return F.when(
+            F.size(listed) >= window,
+            F.transform(
+                F.sequence(F.lit(0), F.size(listed) - window),
+                lambda i: F.xxhash64(*[listed[i + k] for k in range(window)]),
+            ),
+        ).otherwise(F.array().cast("array<bigint>"))
 
     def covered(pairs: Column) -> Column:
         again = F.filter(
@@ -54,7 +55,8 @@ def repeat_words(listed: Column, window: int = WINDOW) -> Column:
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("int").alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(pairs, covered))
 
-    return let(hashes, counted)
+    # The words are bound, so that no optimizer rule can put their split inside the loops.
+    return let(let(listed, hashed), counted)
 
 
 def measures(docs: DataFrame, host: str = "source") -> DataFrame:
