@@ -569,6 +569,8 @@ STATEMENTS: dict[str, str] = {
           SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY event_time DESC, transaction_id) AS rn
           FROM t_transaction) WHERE rn <= 5""",
     "recent_activity": f"SELECT account_id, {_READ} FROM t_transaction WHERE t_transaction.event_time >= {_EVENT_DAY} - INTERVAL 7 DAY",
+    "newest_of_account": f"""SELECT {_READ} FROM t_transaction WHERE account_id = (SELECT min(account_id) FROM t_transaction)
+        ORDER BY t_transaction.event_time DESC, transaction_id LIMIT 50""",
     "most_recently_active": f"""SELECT account_id, {_txt('last_activity_at')} FROM (SELECT * FROM v_account_balance
         ORDER BY last_activity_at DESC NULLS LAST, account_id LIMIT 5)""",
     "balance_lookup": f"""SELECT account_id, currency, {_dbl('balance', 'balance')}, {_txt('last_activity_at')}
@@ -763,6 +765,10 @@ STATEMENTS: dict[str, str] = {
     "column_profile": " UNION ALL ".join(
         _profile(c) for c in ("txn_type", "status", "account_id", "counterparty_account", "amount", "transaction_id")
     ),
+    "quick_column_profile": " UNION ALL ".join(
+        f'SELECT "column", rows, nulls, min_value, max_value FROM ({_profile(c)})'
+        for c in ("txn_type", "status", "account_id", "counterparty_account")
+    ),
     "contract_conformance": _contracts(),
     "contract_quality": _contract_quality(),
     "answerable_assets": f"""
