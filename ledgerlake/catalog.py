@@ -933,7 +933,7 @@ def _canary_turns(b: Bank) -> DataFrame:
             "answer",
             F.when(F.col("channel") != "kb", F.col("channel")).alias("expected_tool"),
             (F.col("persona") == "customer").alias("expected_grounded"),
-            F.lower(F.substring("question", 1, 2)).alias("account_id"),
+            "account_id",
         )
     )
 
@@ -948,6 +948,12 @@ def canary_metrics(b: Bank) -> DataFrame:
     return evals.run_metrics(_canary_turns(b), "channel")
 
 
+@report
+def evaluation_gate(b: Bank) -> DataFrame:
+    """Every metric of every channel against its floor or ceiling."""
+    return evals.evaluation_gate(evals.run_metrics(_canary_turns(b), "channel"), "channel")
+
+
 @report
 def canary_regressions(b: Bank) -> DataFrame:
     """Analyst turns of each channel against its customer turns."""

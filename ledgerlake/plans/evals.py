@@ -179,6 +179,21 @@ def run_metrics(scored_turns: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def evaluation_gate(metrics: DataFrame, key: str) -> DataFrame:
+    """(key, metric, value, bound, passed): metrics of each run against floors, hallucination against its ceiling.
+
+    A metric that a run lacks does not pass.
+    """
+    limits = {**{m: (f, False) for m, f in ACCURACY_FLOORS.items()}, "hallucination_rate": (HALLUCINATION_CEILING, True)}
+    cells = [
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(limit).alias("bound"), F.lit(most).alias("_most"))
+        for m, (limit, most) in limits.items()
+        if m in metrics.columns
+    ]
+    held = F.when(F.col("_most"), F.col("value") <= F.col("bound")).otherwise(F.col("value") >= F.col("bound"))
+    return metrics.select(key, F.inline(F.array(*cells))).withColumn("passed", F.coalesce(held, F.lit(False))).drop("_most")
+
+
 def regressions(current: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
     """Metrics of each run that moved past their tolerance against the run's baseline.
 

@@ -220,6 +220,8 @@ TABLES: dict[str, str] = {
                (q.conv_id * 7919 + q.turn * 104729) % 5000 AS latency_ms,
                'assistant-v1' AS model_requested,
                CASE WHEN q.turn = 0 THEN 'assistant-v1' END AS model_served,
+               CASE WHEN q.conv_id % 2 = 1 THEN concat('acct-', CAST(q.conv_id AS STRING))
+                    ELSE lower(regexp_extract(a.text, '[A-Za-z]+', 0)) END AS account_id,
                q.conv_id AS conv_id, q.turn AS turn
         FROM {conversations} q
         LEFT JOIN {conversations} a

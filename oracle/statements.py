@@ -397,7 +397,7 @@ _TURNS = """
                regexp_matches(a, 'can''t|cannot|unable|not able|don''t have') AS refused FROM (
     SELECT conversation_id, persona, channel, lower(coalesce(answer, '')) AS a,
            CASE WHEN channel <> 'kb' THEN channel END AS tool, persona = 'customer' AS wanted,
-           lower(substr(question, 1, 2)) AS acct
+           lower(coalesce(account_id, '')) AS acct
     FROM t_conversation_log))
 """
 _METRICS = """count(*) AS n, round(avg(grounded::INT), 3) AS grounding_accuracy,
@@ -880,6 +880,13 @@ STATEMENTS: dict[str, str] = {
                 FROM t_conversation_log WHERE answer IS NOT NULL))""",
     "turn_scores": "SELECT conversation_id, tool_ok, grounded, hallucinated FROM v_turns",
     "canary_metrics": f"SELECT channel, {_METRICS} FROM v_turns GROUP BY channel",
+    "evaluation_gate": " UNION ALL ".join(
+        f"""SELECT channel, '{metric}' AS metric, {metric} AS value, {limit}::DOUBLE AS bound, {metric} {sign} {limit}::DOUBLE AS passed
+            FROM (SELECT channel, {_METRICS} FROM v_turns GROUP BY channel)"""
+        for metric, sign, limit in (
+            ("grounding_accuracy", ">=", "0.9"), ("tool_utilization", ">=", "0.9"), ("hallucination_rate", "<=", "0.05"),
+        )
+    ),
     "canary_regressions": " UNION ALL ".join(
         (
             _regression("grounding_accuracy", "0.1", "{d} < -0.10::DOUBLE"),
