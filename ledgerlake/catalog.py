@@ -153,6 +153,21 @@ def serving_retention(b: Bank) -> DataFrame:
     )
 
 
+@report
+def bronze_retention(b: Bank) -> DataFrame:
+    """Raw messages within 400 days of publishing."""
+    dated = _messages(b).withColumn("publish_date", F.to_date("publish_time"))
+    return files.retained(dated, "publish_date", date(2025, 2, 20), "bronze").select("message_id", "publish_date")
+
+
+@report
+def dead_letter_retention(b: Bank) -> DataFrame:
+    """Rejected messages within 7 days of their failure."""
+    letters = validate.dead_letters(validate.check_messages(_messages(b)), failed_at=F.col("publish_time"))
+    dated = letters.withColumn("failed_date", F.to_date("failed_at"))
+    return files.retained(dated, "failed_date", date(2024, 1, 27), "dead_letter").select("payload", "failed_date")
+
+
 # ---- semantic layer ----
 
 

@@ -585,6 +585,12 @@ STATEMENTS: dict[str, str] = {
     "serving_retention": """
         SELECT transaction_id, account_id, CAST(CAST(event_time AS DATE) AS VARCHAR) AS event_date FROM t_transaction
         WHERE CAST(event_time AS DATE) >= DATE '2024-01-16'""",
+    "bronze_retention": """
+        SELECT message_id, CAST(CAST(publish_time AS DATE) AS VARCHAR) AS publish_date FROM t_transaction_event
+        WHERE CAST(publish_time AS DATE) >= DATE '2024-01-17'""",
+    "dead_letter_retention": """
+        SELECT data AS payload, CAST(CAST(publish_time AS DATE) AS VARCHAR) AS failed_date FROM v_checked
+        WHERE error IS NOT NULL AND CAST(publish_time AS DATE) >= DATE '2024-01-20'""",
     "customer_360": f"""
         SELECT customer_id, segment, {_txt('customer_since')}, {_int('account_count', 'account_count')},
                {_int('transaction_count', 'transaction_count')}, {_dbl('net_transaction_amount', 'net_transaction_amount')},
