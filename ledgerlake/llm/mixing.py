@@ -80,14 +80,20 @@ def plan(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the plan takes it; columns as given."""
-    number = Window.partitionBy("doc_id").orderBy("source", "size")
-    copies = plan(docs, **options).withColumn("_nth", F.row_number().over(number)).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("_nth").alias("_no"), "copies"
+    # Rows alike in id, source and size are matched by their place among them.
+    alike = ["doc_id", "source", "size"]
+    place = F.row_number().over(Window.partitionBy(*alike).orderBy("copies"))
+    copies = plan(docs, **options).withColumn("_nth", place).where("copies > 0").select(
+        *[F.col(c).alias(f"_{c}") for c in alike], F.col("_nth").alias("_no"), "copies"
     )
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    # Rows that repeat an id are matched by their place among them.
-    numbered = rows.withColumn("_nth", F.row_number().over(number)).select("_row", "doc_id", "_nth")
-    taken = numbered.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_no")))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_hash")
+    )
+    numbered = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*alike).orderBy("_hash")))
+    same = F.col("_nth") == F.col("_no")
+    for c in alike:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    taken = numbered.join(copies, same)
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
 
 
