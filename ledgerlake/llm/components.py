@@ -36,10 +36,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         fresh = written(step, "links")
         # Settled once every node has a single parent and no parent has one itself.
-        tops = fresh.select(F.col("lo").alias("hi")).distinct()
-        settled = fresh.join(tops, "hi", "left_semi").isEmpty() and (
-            fresh.groupBy("hi").count().where("count > 1").isEmpty()
+        roles = fresh.select(F.col("hi").alias("node"), F.lit(1).alias("parents"), F.lit(0).alias("children")).unionByName(
+            fresh.select(F.col("lo").alias("node"), F.lit(0).alias("parents"), F.lit(1).alias("children"))
         )
+        summed = roles.groupBy("node").agg(F.sum("parents").alias("parents"), F.max("children").alias("children"))
+        settled = summed.where("parents > 1 or parents = 1 and children = 1").isEmpty()
         links = fresh
         if settled:
             break
@@ -48,3 +49,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     )
+
+
+def merged_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after more edges (a, b), whose new nodes join it.
+
+    Only the components that the edges touch are a graph again, so earlier rounds are not redone.
+    """
+    side = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    left = edges.join(side, F.col("a") == F.col("_n"), "left").select(F.coalesce("_c", "a").alias("a"), "b")
+    both = left.join(side, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_c", "b").alias("b"))
+    roots = connected_components(both)
+    moved = labels.join(roots.select(F.col("node").alias("_n"), F.col("component").alias("_r")), F.col("component") == F.col("_n"), "left")
+    fresh = roots.join(labels.select("node"), "node", "left_anti")
+    return moved.select("node", F.coalesce("_r", "component").alias("component")).unionByName(fresh)

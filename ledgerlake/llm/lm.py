@@ -256,6 +256,31 @@ def log10_cost(strings: np.ndarray, counts: np.ndarray, weights: np.ndarray, ref
     return out
 
 
+class _Costs:
+    """:func:`log10_cost` that remembers up to ``MEMORY`` strings."""
+
+    MEMORY = 1 << 21
+
+    def __init__(self, *model: np.ndarray) -> None:
+        self.model = model
+        self.strings, self.cost = np.empty(0, dtype=np.int64), np.empty(0)
+
+    def of(self, strings: np.ndarray) -> np.ndarray:
+        out = np.empty(len(strings))
+        at = np.searchsorted(self.strings, strings)
+        is_known = at < len(self.strings)
+        is_known[is_known] = self.strings[at[is_known]] == strings[is_known]
+        out[is_known] = self.cost[at[is_known]]
+        fresh = strings[~is_known]
+        out[~is_known] = cost = log10_cost(fresh, *self.model)
+        if len(self.strings) + len(fresh) > self.MEMORY:
+            self.strings, self.cost = np.empty(0, dtype=np.int64), np.empty(0)
+        together, costs = np.concatenate([self.strings, fresh]), np.concatenate([self.cost, cost])
+        order = np.argsort(together, kind="stable")
+        self.strings, self.cost = together[order], costs[order]
+        return out
+
+
 # ---- the model ----
 
 
@@ -314,6 +339,7 @@ def train(texts: DataFrame) -> Model:
 def _score(counts, weights, refined, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = frequent.value
+        costs = _Costs(counts.value, weights, refined)
         for batch in batches:
             texts = [t.lower() for t in texts_of(batch.column("text"))]
             score = np.zeros(len(texts))
@@ -324,7 +350,7 @@ def _score(counts, weights, refined, frequent):
                 if not buffer:
                     return
                 codes, unique = pd.factorize(np.concatenate([p for _, p in buffer]))
-                cost = log10_cost(unique, counts.value, weights, refined)[codes]
+                cost = costs.of(unique)[codes]
                 starts = np.concatenate([[0], np.cumsum([len(p) for _, p in buffer])[:-1]])
                 np.add.at(score, [i for i, _ in buffer], np.add.reduceat(cost, starts))
 

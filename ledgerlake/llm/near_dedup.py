@@ -4,9 +4,9 @@ Every distinct shingle set gets ``TREES`` orders of ``DEPTH`` min-hashes. In an
 agree on a prefix lie next to each other: sets are candidates where they share the prefix of
 length ``LEAST_DEPTH``, and a region with more than ``CROWD`` sets is split by longer prefixes until
 it has fewer. Inside a region every set is compared on whole signatures with every other, and its
-best partners of other components are confirmed on full shingle sets. Rounds follow with more
-partners per set, over the regions that still hold several components, until no pair is left
-untried whose signatures could mean a similarity of ``SIMILARITY``.
+best partners are confirmed on full shingle sets. A second round takes more partners per set from
+regions that still hold several components. Where partners are left untried after it, the whole
+region is compared on full sets, so no pair of a region is left out and none is listed.
 
 Two sets of similarity 0.75 share a region of depth 3, 4 or 5 in one of 24 orders with probability
 0.999998, 0.9999 or 0.998. The longest prefix is ``DEPTH``: sets that agree on that many min-hashes
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import narrowed
-from ledgerlake.llm.components import connected_components
+from ledgerlake.llm.components import merged_components
 from ledgerlake.llm.shingles import fingerprint, overlap, shingle_set, texts_of
 from ledgerlake.session import written
 
@@ -40,8 +40,8 @@ CROWD = 1024
 VALUES = TREES * DEPTH
 #: Share of equal signature values below which a pair is not confirmed on full sets.
 LEAST_ESTIMATE = 0.645
-#: Partners per set that the rounds confirm; the last one takes all of a region.
-PARTNERS = (1, 4, 32, CROWD)
+#: Best partners per set that each round confirms; what they leave is settled region by region.
+PARTNERS = (1, 4)
 
 _FACTORS = np.random.default_rng(20240501).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROOM = 2048  # shingles worked on at once
@@ -202,6 +202,54 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_confirm, "a long, b long")
 
 
+def _links_in(node: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between components of a region, by exact overlaps, until every linked pair is joined."""
+    sizes = np.array([len(s) for s in sets])
+    numbers, places = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    at = np.unique(component, return_inverse=True)[1]
+    largest = np.bincount(at).argmax()
+    links = []
+    for i in np.flatnonzero(at != largest):  # every pair of components has a set outside the largest
+        mine = np.zeros(len(numbers), dtype=np.int64)
+        mine[places[starts[i] : starts[i] + sizes[i]]] = 1
+        both = np.add.reduceat(mine[places], starts)
+        for j in np.flatnonzero((100 * both >= SIMILARITY * (sizes + sizes[i] - both)) & (at != at[i])):
+            if at[j] != at[i]:
+                links.append((int(node[i]), int(node[j])))
+                at[at == at[j]] = at[i]
+    return links
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of whole regions, from rows sorted by region."""
+
+    def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        links = _links_in(
+            np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+        )
+        if links:
+            a, b = zip(*links)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("region", "node", "component", "shingles")]):
+            if held and held[0][0] != row[0]:
+                yield from emit(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from emit(held)
+
+
+def _open(members: DataFrame, component: DataFrame) -> DataFrame:
+    """Rows of the regions that hold several components."""
+    rows = members.join(component, "node")
+    mixed = rows.groupBy("region").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
+    return rows.join(mixed.select("region"), "region", "left_semi")
+
+
 def classes(docs: DataFrame, crowd: int = CROWD, partners: tuple[int, ...] = PARTNERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; others are ignored).
 
@@ -221,12 +269,9 @@ def classes(docs: DataFrame, crowd: int = CROWD, partners: tuple[int, ...] = PAR
     )
     members = written(regions(nodes, crowd), "members")
     component = nodes.select("node", F.col("node").alias("component"))
-    links = sets = tried = None
+    sets = tried = unsettled = None
     for most in partners:
-        rows = members.join(component, "node")
-        if links is not None:
-            open_ = rows.groupBy("region").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
-            rows = rows.join(open_.select("region"), "region", "left_semi")
+        rows = members.join(component, "node") if tried is None else _open(members, component)
         described = rows.join(nodes.select("node", "n_shingles", "signature"), "node")
         sorted_ = described.repartition("region").sortWithinPartitions("region").select(
             "region", "node", "n_shingles", "component", "signature"
@@ -236,30 +281,26 @@ def classes(docs: DataFrame, crowd: int = CROWD, partners: tuple[int, ...] = PAR
         )
         best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("equal"), "b"))
         found = written(found.withColumn("_place", best), "partners")
+        unsettled = found.where(F.col("more") | (F.col("_place") > most)).select(F.col("a").alias("node")).distinct()
         pairs = found.where(F.col("_place") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            if found.where(F.col("more") | (F.col("_place") > most)).isEmpty():
-                break
-            continue
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if sets is None:  # every later pair is among these sets, as its signatures are as close
             needed = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
             ids = written(nodes.join(needed, "node", "left_semi").select("doc_id"), "needed")
             texts = narrowed(docs.select("doc_id", "text"), ids, "doc_id")
-            sets = written(
-                texts.mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")),
-                "sets",
-            )
+            hashed = texts.mapInArrow(_sets, "node long, shingles binary").join(needed, "node", "left_semi")
+            sets = written(hashed.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
         fresh = written(_confirmed(pairs, sets), "confirmed")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = fresh if links is None else links.unionByName(fresh)
-        joined = connected_components(links)
-        component = nodes.select("node").join(joined, "node", "left").select(
-            "node", F.coalesce("component", "node").alias("component")
-        )
-        if found.where(F.col("more") | (F.col("_place") > most)).isEmpty():
-            break
+        component = written(merged_components(component, fresh), "components")
+    unsettled = written(unsettled, "unsettled")
+    if not unsettled.isEmpty():
+        # A region of which some set has untried partners is compared whole, on the sets themselves.
+        rows = _open(members, component)
+        at = rows.join(unsettled, "node", "left_semi").select("region").distinct()
+        whole = rows.join(at, "region", "left_semi").join(sets, "node").select("region", "node", "component", "shingles")
+        settled = whole.repartition("region").sortWithinPartitions("region").mapInArrow(_settle, "a long, b long")
+        component = written(merged_components(component, written(settled, "settled")), "components")
     named = nodes.join(component, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = component.join(named, "component").select(F.col("node").alias("_node"), "component_id")
     usable = F.when(F.col("doc_id").isNotNull(), F.col("node"))
@@ -281,6 +322,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     judged = classes(docs)
     gone = judged.where("doc_id <> component_id").select("doc_id").distinct()
     rows = docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    marked = rows.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text").withColumn("_n", number)
+    # Rows without an id all stay; they are spread by text, so that they are not one group.
+    apart = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    number = F.row_number().over(Window.partitionBy("doc_id", "_apart").orderBy(F.xxhash64("text")))
+    marked = rows.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", apart.alias("_apart")).withColumn("_n", number)
     return marked.where("_n = 1 or doc_id is null").select("_row.*")

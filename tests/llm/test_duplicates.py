@@ -10,7 +10,7 @@ import xxhash
 
 from ledgerlake.llm import line_dedup, near_dedup, shingles
 from ledgerlake.llm.common import narrowed
-from ledgerlake.llm.components import connected_components
+from ledgerlake.llm.components import connected_components, merged_components
 from tests.llm.conftest import find, lower, union, words
 
 
@@ -24,7 +24,12 @@ def test_components(spark):
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     want = {n: find(parent, n) for e in edges if e[0] != e[1] for n in e}
     assert got == want
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    none = spark.createDataFrame([], "a long, b long")
+    assert connected_components(none).count() == 0
+    half = connected_components(spark.createDataFrame(edges[::2], "a long, b long"))
+    for known, more in ((half, edges[1::2]), (connected_components(none), edges)):
+        got = dict(tuple(r) for r in merged_components(known, spark.createDataFrame(more, "a long, b long")).collect())
+        assert got == want
 
 
 def test_narrowed_is_a_semi_join(spark):
@@ -146,7 +151,7 @@ def brute_removed(rows):
     for a, n in enumerate(long):
         near = np.flatnonzero(np.bitwise_count(hashes[a + 1 :] ^ hashes[a]) <= 3)
         for b in near + a + 1:
-            x, y = lines[n], lines[long[b]]
+            x, y = lines[n].split(" "), lines[long[b]].split(" ")
             if edit_distance(x, y) <= int(round(max(len(x), len(y)) * 0.1, 6)):
                 union(parent, n, long[b])
     groups = defaultdict(list)
