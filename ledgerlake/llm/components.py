@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.session import written
+from ledgerlake.session import scratch_dir
+
+LINKS_PER_FILE = 500_000
+
+
+def _kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to a folder of its own in the shared one, and that folder."""
+    path = scratch_dir(df.sparkSession, "links")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _discard(df: DataFrame, path: str) -> None:
+    """Delete a folder that :func:`_kept` wrote."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -17,9 +33,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Rounds grow with the logarithm of a component's length. Each is written to the shared folder.
     Loops and repeated edges are ignored; an empty list gives an empty table.
     """
-    links = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links"
+    links, path = _kept(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     )
+    # Links never grow in number, so their files are sized once; few links need not be many files.
+    files = links.count() // LINKS_PER_FILE + 1
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")).select(
@@ -34,14 +52,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(small.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        fresh = written(step, "links")
+        fresh, fresh_path = _kept(step.coalesce(files))
         # Settled once every node has a single parent and no parent has one itself.
         roles = fresh.select(F.col("hi").alias("node"), F.lit(1).alias("parents"), F.lit(0).alias("children")).unionByName(
             fresh.select(F.col("lo").alias("node"), F.lit(0).alias("parents"), F.lit(1).alias("children"))
         )
         summed = roles.groupBy("node").agg(F.sum("parents").alias("parents"), F.max("children").alias("children"))
         settled = summed.where("parents > 1 or parents = 1 and children = 1").isEmpty()
-        links = fresh
+        _discard(links, path)  # the round before is not read again
+        links, path = fresh, fresh_path
         if settled:
             break
     else:
