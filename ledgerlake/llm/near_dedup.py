@@ -9,8 +9,11 @@ regions that still hold several components. Where partners are left untried afte
 region is compared on full sets, so no pair of a region is left out and none is listed.
 
 Two sets of similarity 0.75 share a region of depth 3, 4 or 5 in one of 24 orders with probability
-0.999998, 0.9999 or 0.998. The longest prefix is ``DEPTH``: sets that agree on that many min-hashes
-in a still larger region are nearly equal; they are dealt over several regions that share one set.
+0.999998, 0.9999 or 0.998. The longest prefix is ``DEPTH``; a still larger region is dealt over several
+that share one set. Splits and deals part some pairs, so a region of the least prefix that was split
+and still holds several components after the rounds, as with pages of one template, is compared on
+full sets in pairs of blocks: no pair of a crowd is left out. That work grows with the square of the
+sets outside its largest component.
 Signatures drop a pair of similarity 0.75 with probability 0.001.
 """
 
@@ -91,16 +94,20 @@ def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def regions(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(region, node): the sets of every region with two or more; a region has at most ``crowd`` + 1."""
+def regions(nodes: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(region, node) of the sets of every region with two or more, and those of the crowds.
+
+    A region has about ``crowd`` sets at most: a larger one is a crowd, and is split by longer prefixes and dealt at the last.
+    """
     paths = written(nodes.select("node", "signature").mapInArrow(_climb, "node long, region long, deep long"), "paths")
     counts = paths.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     at = written(paths.join(counts, "region"), "regions")
     settled = [at.where(F.col("_n") <= crowd).select("region", "node")]
+    crowds = at.where(F.col("_n") > crowd).select("region", "node")
     for depth in range(LEAST_DEPTH + 1, DEPTH + 1):
         crowded = at.where(F.col("_n") > crowd).drop("_n")
         if crowded.isEmpty():
-            return _all(settled)
+            return _all(settled), crowds
         prefix = F.shiftrightunsigned(F.col("deep"), 16 * (DEPTH - depth))
         longer = crowded.withColumn("region", F.xxhash64("region", prefix))
         counts = longer.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -112,7 +119,7 @@ def regions(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     settled.append(dealt.select(F.xxhash64("region", "_deal").alias("region"), "node"))
     every = hubs.select("region", "hub", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_deal"))
     settled.append(every.select(F.xxhash64("region", "_deal").alias("region"), F.col("hub").alias("node")))
-    return _all(settled).distinct()
+    return _all(settled).distinct(), crowds
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -196,6 +203,20 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
 
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the ``wanted`` nodes."""
+    ids = written(nodes.join(wanted, "node", "left_semi").select("doc_id"), "needed")
+    texts = narrowed(docs.select("doc_id", "text"), ids, "doc_id")
+    hashed = texts.mapInArrow(_sets, "node long, shingles binary").join(wanted, "node", "left_semi")
+    return written(hashed.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _settled(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of each region, on full sets."""
+    whole = rows.join(sets, "node").select("region", "node", "component", "shingles")
+    return whole.repartition("region").sortWithinPartitions("region").mapInArrow(_settle, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
@@ -243,9 +264,34 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(held)
 
 
+def _crossed(crowds: DataFrame, component: DataFrame, crowd: int) -> DataFrame:
+    """(region, node, component): the open crowds as regions of two blocks each, so that every pair of components meets.
+
+    Sets of a crowd's largest component are dealt into blocks of their own, as they need not meet
+    each other.
+    """
+    rows = written(_open(crowds, component), "open")
+    sizes = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("_m"))
+    most = sizes.groupBy("region").agg(
+        F.max_by("component", F.struct("_m", "component")).alias("_c"), F.max("_m").alias("_m"), F.sum("_m").alias("_n")
+    )
+    inside = F.ceil(2 * F.col("_m") / crowd).cast("int")
+    outside = F.ceil(2 * (F.col("_n") - F.col("_m")) / crowd).cast("int")
+    is_inside = F.col("component") == F.col("_c")
+    # Blocks are numbered from 0 outside the largest component and from -1 down inside it.
+    block = F.when(is_inside, -1 - F.pmod(F.xxhash64("node", F.lit(2)), inside)).otherwise(F.pmod(F.xxhash64("node", F.lit(2)), outside))
+    partners = F.when(is_inside, F.sequence(F.lit(0), outside - 1)).otherwise(F.sequence(-inside, outside - 1))
+    dealt = rows.join(most, "region").select("region", "node", "component", block.alias("_b"), F.explode(partners).alias("_o"))
+    pair = F.xxhash64("region", F.least("_b", "_o").cast("long"), F.greatest("_b", "_o").cast("long"))
+    return _mixed(dealt.select(pair.alias("region"), "node", "component"))
+
+
 def _open(members: DataFrame, component: DataFrame) -> DataFrame:
     """Rows of the regions that hold several components."""
-    rows = members.join(component, "node")
+    return _mixed(members.join(component, "node"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
     mixed = rows.groupBy("region").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
     return rows.join(mixed.select("region"), "region", "left_semi")
 
@@ -267,7 +313,8 @@ def classes(docs: DataFrame, crowd: int = CROWD, partners: tuple[int, ...] = PAR
         ),
         "nodes",
     )
-    members = written(regions(nodes, crowd), "members")
+    members, crowds = regions(nodes, crowd)
+    members = written(members, "members")
     component = nodes.select("node", F.col("node").alias("component"))
     sets = tried = unsettled = None
     for most in partners:
@@ -286,10 +333,7 @@ def classes(docs: DataFrame, crowd: int = CROWD, partners: tuple[int, ...] = PAR
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if sets is None:  # every later pair is among these sets, as its signatures are as close
             needed = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-            ids = written(nodes.join(needed, "node", "left_semi").select("doc_id"), "needed")
-            texts = narrowed(docs.select("doc_id", "text"), ids, "doc_id")
-            hashed = texts.mapInArrow(_sets, "node long, shingles binary").join(needed, "node", "left_semi")
-            sets = written(hashed.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+            sets = _sets_of(docs, nodes, needed)
         fresh = written(_confirmed(pairs, sets), "confirmed")
         tried = pairs if tried is None else tried.unionByName(pairs)
         component = written(merged_components(component, fresh), "components")
@@ -298,8 +342,12 @@ def classes(docs: DataFrame, crowd: int = CROWD, partners: tuple[int, ...] = PAR
         # A region of which some set has untried partners is compared whole, on the sets themselves.
         rows = _open(members, component)
         at = rows.join(unsettled, "node", "left_semi").select("region").distinct()
-        whole = rows.join(at, "region", "left_semi").join(sets, "node").select("region", "node", "component", "shingles")
-        settled = whole.repartition("region").sortWithinPartitions("region").mapInArrow(_settle, "a long, b long")
+        settled = _settled(rows.join(at, "region", "left_semi"), sets)
+        component = written(merged_components(component, written(settled, "settled")), "components")
+    rows = written(_crossed(crowds, component, crowd), "crossed")
+    if not rows.isEmpty():
+        rest = written(rows.select("node").distinct().join(sets.select("node"), "node", "left_anti"), "rest")
+        settled = _settled(rows, sets.unionByName(_sets_of(docs, nodes, rest)))
         component = written(merged_components(component, written(settled, "settled")), "components")
     named = nodes.join(component, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = component.join(named, "component").select(F.col("node").alias("_node"), "component_id")

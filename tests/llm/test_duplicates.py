@@ -90,6 +90,21 @@ def test_classes_of_a_family_in_crowded_regions(spark):
         assert Counter(tuple(r) for r in near_dedup.classes(docs, crowd=crowd).collect()) == want
 
 
+def test_classes_of_a_template_crowd(spark):
+    """Pages of one template, just not linked, with pairs that are: no region is small enough for all of them."""
+    template = " ".join(f"t{j}" for j in range(89))
+    rows = []
+    for i in range(200):
+        own = [f"u{i}w{j}" for j in range(15)]
+        if i < 80:  # each two pages share one shingle more
+            own[0] = f"pair{i // 2}"
+        rows.append((i, f"{template} {' '.join(own)}"))
+    want = brute_classes(rows)
+    assert len({c for _, _, c in want}) == 200 - 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in near_dedup.classes(docs, crowd=8).collect()) == want
+
+
 def test_classes_of_messy_rows(messy, nothing):
     got = near_dedup.classes(messy).collect()
     assert len(got) == messy.count()
