@@ -1,16 +1,16 @@
 """Scoring texts by logistic mixing of hashed-context bit predictors.
 
 A text is a row of bits, eight per byte and a closing zero byte. Five predictors see the one to
-five bytes before and the bits of the byte so far; each hashes that context to a slot of a table of
-bit counts. Their log-odds are added up with weights chosen by a gate, from how much the two longest
+five bytes before and the bits of the byte so far, and count the bits that followed that context. Their log-odds are added up with weights chosen by a gate, from how much the two longest
 predictors have seen and the place of the bit, and the sum is refined by a map from (bits of the
 byte so far, probability) to the share of ones seen there.
 
 All training texts are counted: tasks send the counts of their distinct six-byte strings, which
 determine every table. The weights are learned online, string by string, inside each partition of
 those counts and averaged by mass, for ``EPOCHS`` rounds; the refinement counts the same strings. In
-both, a string's own occurrence is taken out of the counts that predict it. The tables have a
-fixed number of slots, so the model is broadcast whatever the size of the corpus.
+both, a string's own occurrence is taken out of the counts that predict it. The counts are whole and
+kept per context: the model is the distinct strings with 64-bit running sums, 16 bytes each and
+order, and its broadcast grows with the distinct strings of the corpus.
 """
 
 from __future__ import annotations
@@ -26,19 +26,16 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.shingles import mixed, texts_of, word_hashes
+from ledgerlake.llm.shingles import texts_of, word_hashes
 from ledgerlake.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Bytes that each predictor sees, and the bits of a slot number in its table.
+#: Bytes that each predictor sees.
 CONTEXTS = (1, 2, 3, 4, 5)
-SLOT_BITS = (16, 18, 20, 21, 22)
 ORDERS = len(CONTEXTS)
 _PAST = max(CONTEXTS)
-_BASES = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])]).astype(np.int64)
-SLOTS = int(_BASES[-1])
-#: Steps of the number of bits a slot has seen, for the gate.
+#: Steps of the number of bits a context has seen, for the gate.
 _SEEN = np.array([1, 2, 4, 8, 32])
 _LEVELS = len(_SEEN) + 1
 SETS = _LEVELS * _LEVELS * 8
@@ -128,46 +125,50 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- predictors ----
 
 
-def _nodes(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For strings: (slot by order, bit) and (node, bit): slots (orders, n, 8), nodes (n, 8), bits (n, 8)."""
+def _nodes(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the last byte of strings: nodes, the bits so far behind a leading one, and the bits, both (n, 8)."""
     last = strings & 0xFF
     places = np.arange(8)
-    bits = (last[:, None] >> (7 - places)) & 1
-    nodes = (1 << places) | (last[:, None] >> (8 - places))  # bits so far behind a leading one
-    slots = np.empty((ORDERS, len(strings), 8), dtype=np.int64)
-    for k, (seen, width) in enumerate(zip(CONTEXTS, SLOT_BITS)):
-        context = (strings >> 8) & ((1 << (8 * seen)) - 1)
-        if seen == 1:
-            slot = (context[:, None] << 8) | nodes
-        else:
-            spread = mixed((context.astype(np.uint64) << np.uint64(8))[:, None] | nodes.astype(np.uint64))
-            slot = (spread >> np.uint64(64 - width)).astype(np.int64)
-        slots[k] = slot + _BASES[k]
-    return slots, nodes, bits
-
-
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = None
-    for batch in batches:
-        strings, n = batch.column("key").to_numpy(), batch.column("n").to_numpy()
-        for at in range(0, len(strings), 1 << 15):
-            slots, _, bits = _nodes(strings[at : at + (1 << 15)])
-            if seen is None:
-                seen = np.zeros(2 * SLOTS)
-            mass = np.broadcast_to(n[at : at + (1 << 15), None], bits.shape)
-            for k in range(ORDERS):
-                index, first = np.unique((2 * slots[k] + bits).ravel(), return_inverse=True)
-                seen[index] += np.bincount(first, mass.ravel())
-    if seen is not None:
-        filled = np.flatnonzero(seen)
-        for at in range(0, len(filled), 1 << 18):
-            part = filled[at : at + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[part].astype(np.int64))], names=["at", "n"])
-
-
-def _inputs(counts: np.ndarray, slots: np.ndarray, places: np.ndarray, own: np.ndarray | None = None):
+    return (1 << places) | (last[:, None] >> (8 - places)), (last[:, None] >> (7 - places)) & 1
+
+
+def tables(strings: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per order: the sorted distinct strings of its context and a byte, and the running sums of their counts from 0."""
+    out = []
+    for seen in CONTEXTS:
+        short = strings & ((1 << (8 * (seen + 1))) - 1)
+        order = np.argsort(short, kind="stable")
+        keys, first = np.unique(short[order], return_index=True)
+        counts = np.add.reduceat(n[order], first) if len(keys) else np.empty(0, dtype=np.int64)
+        out.append((keys, np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(counts)])))
+    return out
+
+
+def bit_counts(table: tuple[np.ndarray, np.ndarray], strings: np.ndarray, seen: int) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones, (n, 8), that followed the ``seen`` bytes of context and the bits so far.
+
+    The strings with a context and first bits are a range of the sorted keys, so counts are
+    differences of running sums.
+    """
+    keys, sums = table
+    code = strings & ((1 << (8 * (seen + 1))) - 1)
+    start = code & ~0xFF
+    low, high = np.searchsorted(keys, start), np.searchsorted(keys, start + 256)
+    zeros, ones = np.empty((2, len(strings), 8), dtype=np.int64)
+    for place in range(8):
+        half = 1 << (7 - place)
+        middle = np.searchsorted(keys, start + half)
+        zeros[:, place], ones[:, place] = sums[middle] - sums[low], sums[high] - sums[middle]
+        is_one = (code & half) > 0
+        low, high = np.where(is_one, middle, low), np.where(is_one, high, middle)
+        start = start + half * is_one
+    return zeros, ones
+
+
+def _inputs(counts: list, strings: np.ndarray, places: np.ndarray, own: np.ndarray | None = None):
     """Log-odds (orders + 1, ...), and the gate's set; ``own`` bits are taken out of the counts once."""
-    zeros, ones = counts[2 * slots].astype(np.float64), counts[2 * slots + 1].astype(np.float64)
+    found = [bit_counts(table, strings, seen) for table, seen in zip(counts, CONTEXTS)]
+    zeros, ones = np.array(found, dtype=np.float64).transpose(1, 0, 2, 3)
     if own is not None:
         ones = np.maximum(ones - own, 0)
         zeros = np.maximum(zeros - (1 - own), 0)
@@ -201,8 +202,8 @@ def _learn(model, weights: np.ndarray):
         for batch in batches:
             strings, n = batch.column("key").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
             for at in range(0, len(strings), _BATCH):
-                slots, _, bits = _nodes(strings[at : at + _BATCH])
-                inputs, gate = _inputs(counts, slots, np.arange(8), bits)
+                _, bits = _nodes(strings[at : at + _BATCH])
+                inputs, gate = _inputs(counts, strings[at : at + _BATCH], np.arange(8), bits)
                 error = bits - _squash(_mixed_odds(inputs, gate, own))
                 heavy = np.broadcast_to(n[at : at + _BATCH, None], bits.shape)
                 total = np.bincount(gate.ravel(), heavy.ravel(), minlength=SETS)
@@ -226,8 +227,8 @@ def _refine(model, weights: np.ndarray):
         for batch in batches:
             strings, n = batch.column("key").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
             for at in range(0, len(strings), 1 << 15):
-                slots, nodes, bits = _nodes(strings[at : at + (1 << 15)])
-                inputs, gate = _inputs(model.value, slots, np.arange(8), bits)
+                nodes, bits = _nodes(strings[at : at + (1 << 15)])
+                inputs, gate = _inputs(model.value, strings[at : at + (1 << 15)], np.arange(8), bits)
                 low, share = _bucket(_mixed_odds(inputs, gate, weights))
                 heavy = n[at : at + (1 << 15), None]
                 for step, part in ((0, (1 - share) * heavy), (1, share * heavy)):
@@ -241,12 +242,12 @@ def _refine(model, weights: np.ndarray):
     return run
 
 
-def log10_cost(strings: np.ndarray, counts: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+def log10_cost(strings: np.ndarray, counts: list, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """log10 of the probability that the model gives the last byte of each string after the first four."""
     out = np.empty(len(strings))
     for at in range(0, len(strings), 1 << 14):
-        slots, nodes, bits = _nodes(strings[at : at + (1 << 14)])
-        inputs, gate = _inputs(counts, slots, np.arange(8))
+        nodes, bits = _nodes(strings[at : at + (1 << 14)])
+        inputs, gate = _inputs(counts, strings[at : at + (1 << 14)], np.arange(8))
         odds = _mixed_odds(inputs, gate, weights)
         low, share = _bucket(odds)
         index = nodes * BUCKETS + low
@@ -261,7 +262,7 @@ class _Costs:
 
     MEMORY = 1 << 21
 
-    def __init__(self, *model: np.ndarray) -> None:
+    def __init__(self, *model) -> None:
         self.model = model
         self.strings, self.cost = np.empty(0, dtype=np.int64), np.empty(0)
 
@@ -271,8 +272,10 @@ class _Costs:
         is_known = at < len(self.strings)
         is_known[is_known] = self.strings[at[is_known]] == strings[is_known]
         out[is_known] = self.cost[at[is_known]]
-        fresh = strings[~is_known]
-        out[~is_known] = cost = log10_cost(fresh, *self.model)
+        rest = np.flatnonzero(~is_known)
+        rest = rest[np.argsort(strings[rest], kind="stable")]  # sorted strings are found faster
+        fresh = strings[rest]
+        out[rest] = cost = log10_cost(fresh, *self.model)
         if len(self.strings) + len(fresh) > self.MEMORY:
             self.strings, self.cost = np.empty(0, dtype=np.int64), np.empty(0)
         together, costs = np.concatenate([self.strings, fresh]), np.concatenate([self.cost, cost])
@@ -294,12 +297,9 @@ class Model:
             .repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))),  # contexts of three bytes and more whole
             "strings",
         )
-        seen = strings.mapInArrow(_tables, "at long, n long").groupBy("at").agg(
-            F.least(F.sum("n"), F.lit(1 << 30)).cast("int").alias("n")
-        ).select(F.col("at").cast("int").alias("at"), "n").toArrow()
-        table = np.zeros(2 * SLOTS, dtype=np.float32)
-        table[seen.column("at").to_numpy()] = seen.column("n").to_numpy()
-        self.counts = context.broadcast(table)
+        seen = strings.toArrow()
+        self.counts = context.broadcast(tables(seen.column("key").to_numpy(), seen.column("n").to_numpy()))
+        del seen
         weights = np.full((SETS, ORDERS + 1), 0.3)
         names = [f"w{k}" for k in range(ORDERS + 1)]
         schema = "set long, mass double, " + ", ".join(f"{c} double" for c in names)

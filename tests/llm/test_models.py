@@ -74,6 +74,33 @@ def test_scores_of_messy_rows(messy, nothing):
     assert {(r.n_known, r.base_score) for r in bare} == {(0, 0.0)}
 
 
+def test_counts_are_whole_and_of_one_context(documents):
+    random.seed(6)
+    texts = [r.text or "" for r in documents.limit(20).collect()]
+    strings = np.concatenate([p for t in texts for p in lm._segments(t.encode())])
+    keys, n = np.unique(strings, return_counts=True)
+    counts = lm.tables(keys, n.astype(np.int64))
+    asked = random.sample(keys.tolist(), 40) + [int.from_bytes(b"never ", "big"), 0, (1 << 48) - 1]
+    for table, seen in zip(counts, lm.CONTEXTS):
+        zeros, ones = lm.bit_counts(table, np.array(asked, dtype=np.int64), seen)
+        short = strings & ((1 << (8 * (seen + 1))) - 1)
+        for i, s in enumerate(asked):
+            code = s & ((1 << (8 * (seen + 1))) - 1)
+            for place in range(8):
+                alike = short[short >> (8 - place) == code >> (8 - place)]
+                up = int(((alike >> (7 - place)) & 1).sum())
+                assert (zeros[i, place], ones[i, place]) == (len(alike) - up, up)
+
+
+def test_huge_counts_keep_their_odds(spark):
+    string = lambda past, last: int.from_bytes(past + last, "big")
+    asked = [string(c, b) for c in (b"aaaaa", b"bbbbb") for b in (b"p", b"q")]
+    rows = [(lm._STRING, s, n) for s, n in zip(asked, (1 << 42, 1 << 40, 1 << 40, 1 << 42))]
+    model = lm.Model(spark, spark.createDataFrame(rows, "kind tinyint, key long, n long"), 1)
+    cost = lm.log10_cost(np.array(asked, dtype=np.int64), model.counts.value, model.weights, model.refined)
+    assert cost[0] > cost[1] + 0.2 and cost[3] > cost[2] + 0.2
+
+
 # ---- quality classifier ----
 
 
