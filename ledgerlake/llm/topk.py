@@ -26,8 +26,8 @@ SCALE = 256
 #: Rows in a block of the index, on average, and queries that a task takes at once.
 BLOCK_ROWS = 32_768
 QUERY_ROWS = 512
-#: Integers from here on are outside the index, as their products could leave 64 bits.
-LIMIT = 1 << 24
+#: Integers are of 64 bits; sums of their products are as wide as they need be.
+LIMIT = 1 << 63
 K = 5
 EVERY = 50
 
@@ -35,13 +35,13 @@ EVERY = 50
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, parts): one row per id that takes part.
 
-    Left out: null ids and vectors, vectors with a null or non-finite component, and components
-    outside the index. Rows that repeat an id are one; of different vectors the least counts.
+    Left out: null ids and vectors, vectors with a null or non-finite component, and those
+    with a component whose integer leaves 64 bits. Rows that repeat an id are one; of different vectors the least counts.
     """
     wide = F.transform(F.col(embedding), lambda x: F.floor(x.cast("double") * SCALE))
     sound = F.forall(
         F.col(embedding),
-        lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double") * SCALE) < LIMIT), F.lit(False)),
+        lambda x: F.coalesce(~F.isnan(x) & (x.cast("double") * SCALE < float(LIMIT)) & (x.cast("double") * SCALE >= -float(LIMIT)), F.lit(False)),
     )
     rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & sound)
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), wide.cast("array<long>").alias("parts")).groupBy("vec_id").agg(
@@ -74,7 +74,8 @@ def add_slices(index: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
     Where a weight is negative the value's digits are complemented.
     """
     width, digits, words = index.shape
-    heavy = np.abs(weights)
+    heavy = weights.astype(np.uint64)
+    heavy = np.where(weights < 0, np.uint64(0) - heavy, heavy)  # wraps to the absolute value
     flip = np.where(weights < 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
     places = int(heavy.max(initial=0)).bit_length()
     carried = np.empty((0, words), dtype=np.uint64)
@@ -124,7 +125,8 @@ def best_rows(sums: list[np.ndarray], allowed: np.ndarray, k: int) -> np.ndarray
 def _index_block(width: int, low: int, digits: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
-        values = _matrix(table.column("parts"), width) - low
+        # The differences fit in 64 bits without a sign.
+        values = _matrix(table.column("parts"), width).astype(np.uint64) - np.uint64(low % (1 << 64))
         return pa.table(
             {
                 "block": table.column("block")[:1],
@@ -136,11 +138,16 @@ def _index_block(width: int, low: int, digits: int):
     return run
 
 
-def _search_block(width: int, low: int, digits: int, k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def _search_block(width: int, low: int, digits: int, k: int, size: int):
+    """``size`` is the bytes that hold every score; over eight, scores are digits and ``place`` sorts like them."""
+    wide = size > 8
+    schema = pa.schema(
+        [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.string() if wide else pa.int64())]
+        + ([("place", pa.binary())] if wide else [])
+    )
 
     def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
+        found: list[tuple] = []
         if blocks.num_rows and queries.num_rows:
             ids = np.frombuffer(blocks.column("ids")[0].as_py(), dtype=np.int64)
             index = np.frombuffer(blocks.column("slices")[0].as_py(), dtype=np.uint64).reshape(width, digits, -1)
@@ -156,12 +163,15 @@ def _search_block(width: int, low: int, digits: int, k: int):
                 if own < len(ids) and ids[own] == query:
                     allowed = every.copy()
                     allowed[own // 64] &= ~np.uint64(1 << (own % 64))
-                shift = -most * int(-weights[weights < 0].sum()) + low * int(weights.sum())
+                factors = weights.tolist()
+                shift = most * sum(w for w in factors if w < 0) + low * sum(factors)
                 for row in best_rows(sums, allowed, k).tolist():
                     total = sum(((int(s[row // 64]) >> (row % 64)) & 1) << i for i, s in enumerate(sums))
-                    found.append((query, int(ids[row]), total + shift))
-        columns = list(zip(*found)) if found else [[], [], []]
-        return pa.Table.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=schema)
+                    score = total + shift
+                    place = (score + (1 << (8 * size - 1))).to_bytes(size, "big") if wide else None
+                    found.append((query, int(ids[row]), str(score), place) if wide else (query, int(ids[row]), score))
+        columns = list(zip(*found)) if found else [[]] * len(schema)
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
 
     return run
 
@@ -171,7 +181,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = B
 
     ``vectors`` comes from :func:`quantised` and ``is_query`` tells its queries. Shorter vectors
     count as filled up with zeros. Equal scores go to the least id; with fewer rows than ``k`` all
-    are returned. No queries or rows give an empty result. Queries and blocks are both split, so
+    are returned. No queries or rows give an empty result. ``score`` is exact: a long, where the
+    components' range lets scores leave 64 bits a decimal(38,0), and past that its digits. Queries and blocks are both split, so
     a task holds one block and one group of queries however many there are.
     """
     spark = vectors.sparkSession
@@ -180,11 +191,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = B
         F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("queries"), F.max(F.size("parts")).alias("width"),
         F.min(F.array_min("parts")).alias("low"), F.max(F.array_max("parts")).alias("high"),
     ).first()
-    schema = "query_id long, vec_id long, score long"
     if not shape["n"] or not shape["queries"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     low, high = min(shape["low"] or 0, 0), max(shape["high"] or 0, 0)
     width, digits = max(shape["width"], 1), max((high - low).bit_length(), 1)
+    largest = width * max(-low, high) ** 2
+    size = largest.bit_length() // 8 + 1
+    schema = "query_id long, vec_id long, " + ("score string, place binary" if size > 8 else "score long")
     blocks, groups = -(-shape["n"] // block_rows), -(-shape["queries"] // query_rows)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     index = written(
@@ -196,10 +209,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = B
     )
     spread = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     found = spread.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(
-        _search_block(width, low, digits, k), schema
+        _search_block(width, low, digits, k, size), schema
     )
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("place" if size > 8 else "score"), "vec_id"))
+    score = F.col("score").cast("decimal(38,0)") if 8 < size and largest < 10**38 else F.col("score")
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def report(embeddings: DataFrame) -> DataFrame:

@@ -188,6 +188,23 @@ def test_search_of_messy_rows(spark):
     assert topk.report(table.limit(0)).count() == 0 and topk.report(table.where("vec_id = 1")).count() == 0
 
 
+def test_search_of_large_components(spark):
+    rng = np.random.default_rng(7)
+    for scale, kind in ((1e6, "bigint"), (1e13, "decimal(38,0)"), (3e16, "string")):
+        vectors = [(i, (rng.normal(0, scale / 4, 4) if i % 3 else rng.normal(0, 1, 4)).clip(-scale, scale).tolist()) for i in range(1, 121)]
+        vectors.append((150, [scale, -scale, scale, scale]))
+        table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+        whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors}
+        want = set()
+        for q in whole:
+            if q % 50 == 0:
+                best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:5]
+                want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+        found = topk.report(table)
+        assert dict(found.dtypes)["score"] == kind
+        assert {(r.query_id, r.rank, r.vec_id, int(r.score)) for r in found.collect()} == want
+
+
 # ---- URL filter ----
 
 
