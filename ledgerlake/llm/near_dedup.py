@@ -9,12 +9,12 @@ regions that still hold several components. Where partners are left untried afte
 region is compared on full sets, so no pair of a region is left out and none is listed.
 
 Two sets of similarity 0.75 share a region of depth 3, 4 or 5 in one of 24 orders with probability
-0.999998, 0.9999 or 0.998. The longest prefix is ``DEPTH``; a still larger region is dealt over several
+0.999998, 0.9999 or 0.998, one of depth 6 or 7 with 0.991 or 0.968. The longest prefix is ``DEPTH``; a still larger region is dealt over several
 that share one set. Splits and deals part some pairs, so a region of the least prefix that was split
 and still holds several components after the rounds, as with pages of one template, is compared on
 full sets in pairs of blocks: no pair of a crowd is left out. That work grows with the square of the
 sets outside its largest component.
-Signatures drop a pair of similarity 0.75 with probability 0.001.
+Signatures drop a pair of similarity 0.75 outside such whole regions with probability 0.0000008.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ LEAST_DEPTH = 3
 CROWD = 1024
 VALUES = TREES * DEPTH
 #: Share of equal signature values below which a pair is not confirmed on full sets.
-LEAST_ESTIMATE = 0.645
+LEAST_ESTIMATE = 0.58
 #: Best partners per set that each round confirms; what they leave is settled region by region.
 PARTNERS = (1, 4)
 
@@ -211,8 +211,11 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(hashed.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
-def _settled(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between the components of each region, on full sets."""
+def _settled(rows: DataFrame, sets: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the components of each region, on the full sets of all its rows, in ``sets`` or not."""
+    rest = written(rows.select("node").distinct().join(sets.select("node"), "node", "left_anti"), "rest")
+    if not rest.isEmpty():
+        sets = sets.unionByName(_sets_of(docs, nodes, rest))
     whole = rows.join(sets, "node").select("region", "node", "component", "shingles")
     return whole.repartition("region").sortWithinPartitions("region").mapInArrow(_settle, "a long, b long")
 
@@ -342,12 +345,12 @@ def classes(docs: DataFrame, crowd: int = CROWD, partners: tuple[int, ...] = PAR
         # A region of which some set has untried partners is compared whole, on the sets themselves.
         rows = _open(members, component)
         at = rows.join(unsettled, "node", "left_semi").select("region").distinct()
-        settled = _settled(rows.join(at, "region", "left_semi"), sets)
+        rows = written(rows.join(at, "region", "left_semi"), "whole")
+        settled = _settled(rows, sets, docs, nodes)
         component = written(merged_components(component, written(settled, "settled")), "components")
     rows = written(_crossed(crowds, component, crowd), "crossed")
     if not rows.isEmpty():
-        rest = written(rows.select("node").distinct().join(sets.select("node"), "node", "left_anti"), "rest")
-        settled = _settled(rows, sets.unionByName(_sets_of(docs, nodes, rest)))
+        settled = _settled(rows, sets, docs, nodes)
         component = written(merged_components(component, written(settled, "settled")), "components")
     named = nodes.join(component, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = component.join(named, "component").select(F.col("node").alias("_node"), "component_id")

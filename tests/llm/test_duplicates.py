@@ -105,6 +105,14 @@ def test_classes_of_a_template_crowd(spark):
     assert Counter(tuple(r) for r in near_dedup.classes(docs, crowd=8).collect()) == want
 
 
+def test_estimates_rarely_drop_a_pair():
+    """Chance that a pair at the limit has too few equal signature values to be confirmed."""
+    from math import ceil, comb
+
+    p, least = near_dedup.SIMILARITY / 100, ceil(near_dedup.LEAST_ESTIMATE * near_dedup.VALUES)
+    assert sum(comb(near_dedup.VALUES, x) * p**x * (1 - p) ** (near_dedup.VALUES - x) for x in range(least)) < 1e-6
+
+
 def test_classes_of_messy_rows(messy, nothing):
     got = near_dedup.classes(messy).collect()
     assert len(got) == messy.count()
