@@ -68,8 +68,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints.append(fingerprint(shingles) if len(shingles) else None)
             signatures.append(signature(shingles).tobytes() if len(shingles) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(signatures, pa.binary())],
-            names=["doc_id", "n_shingles", "node", "signature"],
+            [batch.column("doc_id"), batch.column("content"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(signatures, pa.binary())],
+            names=["doc_id", "content", "n_shingles", "node", "signature"],
         )
 
 
@@ -307,8 +307,16 @@ def classes(docs: DataFrame, crowd: int = CROWD, partners: tuple[int, ...] = PAR
     texts and rows without an id are linked with nothing: their component is their own id.
     Repeated rows get equal results; an empty table gives an empty one.
     """
+    return _judged(docs, crowd, partners).drop("content")
+
+
+def _judged(docs: DataFrame, crowd: int = CROWD, partners: tuple[int, ...] = PARTNERS) -> DataFrame:
+    """``classes`` with content, a hash of the text that tells rows with one id apart."""
     sketches = written(
-        docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n_shingles long, node long, signature binary"), "sketches"
+        docs.select("doc_id", F.xxhash64("text").alias("content"), "text").mapInArrow(
+            _sketch, "doc_id long, content long, n_shingles long, node long, signature binary"
+        ),
+        "sketches",
     )
     nodes = written(
         sketches.where("node is not null and doc_id is not null").groupBy("node").agg(
@@ -355,8 +363,8 @@ def classes(docs: DataFrame, crowd: int = CROWD, partners: tuple[int, ...] = PAR
     named = nodes.join(component, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = component.join(named, "component").select(F.col("node").alias("_node"), "component_id")
     usable = F.when(F.col("doc_id").isNotNull(), F.col("node"))
-    return sketches.select("doc_id", "n_shingles", usable.alias("_of")).join(labels, F.col("_of") == F.col("_node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    return sketches.select("doc_id", "content", "n_shingles", usable.alias("_of")).join(labels, F.col("_of") == F.col("_node"), "left").select(
+        "doc_id", "content", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
@@ -368,11 +376,11 @@ def report(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the first document of every component; columns as given.
 
-    Of rows that repeat a kept id, one stays. Rows without an id all stay.
+    Of rows that share an id, those whose text is in an earlier document's component go; of the others one stays. Rows without an id all stay.
     """
-    judged = classes(docs)
-    gone = judged.where("doc_id <> component_id").select("doc_id").distinct()
-    rows = docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    judged = _judged(docs).where("doc_id <> component_id")
+    gone = judged.select(F.col("doc_id").alias("_gone"), F.col("content").alias("_content")).distinct()
+    rows = docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_content")), "left_anti")
     # Rows without an id all stay; they are spread by text, so that they are not one group.
     apart = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     number = F.row_number().over(Window.partitionBy("doc_id", "_apart").orderBy(F.xxhash64("text")))

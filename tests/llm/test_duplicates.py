@@ -124,6 +124,12 @@ def test_classes_of_messy_rows(messy, nothing):
     assert near_dedup.report(nothing).count() == 0 and near_dedup.deduplicated(nothing).count() == 0
 
 
+def test_only_the_rows_that_are_duplicates_go(spark):
+    prose, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "pq")
+    docs = spark.createDataFrame([(1, prose), (2, prose), (2, other), (3, other)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_dedup.deduplicated(docs).collect()) == [(1, prose), (2, other)]
+
+
 def test_shingles_of_long_texts_do_not_depend_on_the_stretch(monkeypatch):
     text = " ".join(f"w{i % 91}" for i in range(5000)).encode()
     whole = shingles.shingle_set(text)
