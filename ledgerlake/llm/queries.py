@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import line_dedup, lm, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, topk, url_filter
+from ledgerlake.llm import (
+    hard_negatives,
+    line_dedup,
+    lm,
+    merkle,
+    mixing,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    topk,
+    toxicity,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,6 +79,21 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(_table(spark, folder, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    return hard_negatives.report(_table(spark, folder, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, proof and check of every document against one root."""
+    return merkle.report(_table(spark, folder, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -77,6 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_quality_rules": op10_quality_rules,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_toxicity": op13_toxicity,
     }
 
 

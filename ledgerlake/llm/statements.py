@@ -95,5 +95,86 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM pairs QUALIFY rank <= 5"""
 
 
+HARD_NEGATIVES = """
+WITH whole AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+pairs AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.r AS other, b.vec_id,
+    CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+positives AS (
+  SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, other) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.vec_id, n.other) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON p.anchor = n.anchor AND NOT n.same
+  AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5"""
+
+
+def _merkle(levels: int = 7, sources: int = 4) -> str:
+    """Up to 16^levels leaves a source and 16^sources sources."""
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    step = "if(a & 1 = 1, xor(a >> 1, 3988292384), a >> 1)"
+    byte = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda a, x: {step})"
+    codes = "list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ord(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {byte}), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""leaves AS (
+  SELECT r, doc_id, source AS tree, {leaf('text')} AS leaf,
+    CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS start
+  FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+a0 AS (SELECT r, tree, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i,
+    count(*) OVER (PARTITION BY tree) AS n FROM leaves)"""]
+
+    def climb(name: str, height: int) -> None:
+        for k in range(height):
+            parts.append(f"""{name}{k + 1} AS (
+  SELECT tree, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (any_value(n) + 15) // 16 AS n
+  FROM {name}{k} WHERE n > 1 GROUP BY tree, i // 16)""")
+
+    def tops(name: str, height: int) -> str:
+        return " UNION ALL ".join(f"SELECT tree, h FROM {name}{k} WHERE n = 1" for k in range(height + 1))
+
+    climb("a", levels)
+    parts.append(f"tops AS ({tops('a', levels)})")
+    parts.append("b0 AS (SELECT 0 AS tree, tree AS name, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tops)")
+    climb("b", sources)
+    parts.append(f"root AS (SELECT h FROM ({tops('b', sources)}))")
+    parts.append("""f0 AS (SELECT a.r, a.tree, b.i AS above, a.i, '' AS proof, l.start AS fold
+  FROM a0 a JOIN leaves l ON a.r = l.r JOIN b0 b ON a.tree IS NOT DISTINCT FROM b.name)""")
+    last = "f0"
+    for name, height in (("a", levels), ("b", sources)):
+        for k in range(height):
+            tree, at = ("f.tree IS NOT DISTINCT FROM s.tree", "f.i") if name == "a" else ("TRUE", "f.above")
+            after = "i // 16 AS i, above" if name == "a" else "i, above // 16 AS above"
+            fresh = f"f_{name}{k}"
+            parts.append(f"""{fresh} AS (
+  SELECT r, tree, {after}, proof || beside AS proof, CASE WHEN alone THEN fold ELSE sha256(before || fold || behind) END AS fold FROM (
+    SELECT f.r, f.tree, f.i, f.above, f.proof, f.fold, coalesce(bool_and(s.n = 1), TRUE) AS alone,
+      coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i <> {at}), '') AS beside,
+      coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < {at}), '') AS before,
+      coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > {at}), '') AS behind
+    FROM {last} f LEFT JOIN {name}{k} s ON {tree} AND s.i // 16 = {at} // 16 GROUP BY ALL))""")
+            last = fresh
+    body = ",\n".join(parts)
+    return f"""WITH {body}
+SELECT l.doc_id, l.leaf, t.h AS subroot, root.h AS root, sha256(f.proof) AS proof_sha256, f.fold AS folded_root, f.fold = root.h AS verified
+FROM {last} f JOIN leaves l ON f.r = l.r JOIN tops t ON l.tree IS NOT DISTINCT FROM t.tree, root"""
+
+
 def all_statements() -> dict[str, str]:
-    return {"op1_sharding": _sharding(), "op3_topk_search": TOPK, "op4_mixing": MIXING, "op10_quality_rules": QUALITY}
+    return {
+        "op1_sharding": _sharding(), "op3_topk_search": TOPK, "op4_mixing": MIXING, "op10_quality_rules": QUALITY,
+        "op11_hard_negatives": HARD_NEGATIVES, "op12_merkle_manifest": _merkle(),
+    }
