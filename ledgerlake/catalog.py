@@ -28,7 +28,7 @@ from ledgerlake.operators import (
 from ledgerlake.operators.running import row_numbers
 from ledgerlake.plans import evals, gold, loans, semantic, steward
 from ledgerlake.session import scratch_dir
-from ledgerlake.sources import files
+from ledgerlake.sources import files, merge
 from ledgerlake.sources.bank import Bank
 from ledgerlake.streaming import ingest
 
@@ -47,6 +47,8 @@ SILVER_RULES = (
     rules.Rule("amount", "VALIDITY", "range", low=0, high=20),
     rules.Rule("counterparty_account", "COMPLETENESS", "non_null", where="txn_type = 'TRANSFER'"),
 )
+#: What a message tells of a transaction.
+_MESSAGE_FIELDS = schemas.TRANSACTION.names[:9]
 PRICES = {"small-model": (0.30, 2.50), "_default": (1.25, 10.0)}
 SOURCE_PATTERNS = (("en/**/*", "english"), ("fr/*", "french"), ("de/*", "german"), ("*/*", "other"))
 
@@ -279,6 +281,46 @@ def seeded_accounts(b: Bank) -> DataFrame:
     return dedup.missing_rows(source, savings, "account_id")
 
 
+def _merged(b: Bank, target: DataFrame, source: DataFrame, key: str, update: bool) -> DataFrame:
+    """``target`` written as a table that takes upserts, ``source`` merged into it, and the table read back."""
+    path = scratch_dir(b.spark, "merged")
+    merge.create_table(target, path, [key])
+    merge.merge(source, path, update)
+    return merge.read_merged(b.spark, path)
+
+
+@report
+def merged_customers(b: Bank) -> DataFrame:
+    """The customer table after the insert-only merge of the seeded customers."""
+    source = semantic.seeded_customers(semantic.ledger_accounts(b.transaction), EVENTS_AS_OF)
+    return _merged(b, b.bank_customer, source, "customer_id", update=False)
+
+
+@report
+def merged_silver(b: Bank) -> DataFrame:
+    """Silver with its later half lost, after the backstop merged what bronze holds besides."""
+    arrived = b.transaction.where(F.col("event_time") < F.lit(datetime(2024, 1, 16))).select(*_MESSAGE_FIELDS)
+    return _merged(b, arrived, dedup.reconcile(b.transaction_event, arrived), "idempotency_key", update=False)
+
+
+@report
+def upserted_balances(b: Bank) -> DataFrame:
+    """The balance projection of mid-January, brought up to date by an upsert."""
+    early = b.transaction.where(F.col("event_time") < F.lit(datetime(2024, 1, 16)))
+    half, whole = (gold.balance_projection(gold.account_balance(b.account, t), EVENTS_AS_OF) for t in (early, b.transaction))
+    return _merged(b, half, whole, "row_key", update=True)
+
+
+@report
+def expired_dead_letters(b: Bank) -> DataFrame:
+    """Rejected messages written by day, after the days past their keeping were deleted from disk."""
+    letters = validate.dead_letters(validate.check_messages(_messages(b)), failed_at=F.col("publish_time"))
+    path = scratch_dir(b.spark, "letters")
+    letters.withColumn("failed_date", F.to_date("failed_at")).write.partitionBy("failed_date").parquet(path)
+    merge.expire_partitions(b.spark, path, "failed_date", date(2024, 1, 27), files.RETENTION_DAYS["dead_letter"])
+    return b.spark.read.parquet(path).select("payload", "failed_date")
+
+
 @report
 def masked_transactions(b: Bank) -> DataFrame:
     return security.masked_view(b.transaction, "transaction", {"PII_FINANCIAL": security.MASKED})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.money import balance_delta, net_delta
 from ledgerlake.operators.ranking import top_n_per_key
-from ledgerlake.operators.running import running_total
+from ledgerlake.operators.running import SLICE_ROWS, running_total
 
 #: A stored event time at or after this many seconds cannot be keyed newest-first.
 REVERSE_EPOCH = 9_999_999_999
@@ -72,22 +72,22 @@ def account_summary(account: DataFrame, transaction: DataFrame) -> DataFrame:
     )
 
 
-def running_balance(transaction: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+def running_balance(transaction: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Posted running balance per account and time; rows at one time share a value."""
     return running_total(
         posted(transaction),
         key="account_id",
         order="event_time",
         delta=balance_delta(F.col("txn_type"), F.col("amount")),
-        slice_seconds=slice_seconds,
+        slice_rows=slice_rows,
     )
 
 
-def overdraft_history(transaction: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+def overdraft_history(transaction: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Overdraft profile per account: posted rows that left the running balance negative."""
     negative = F.sum(F.when(F.col("running") < 0, F.col("n")).otherwise(F.lit(0)))
     return (
-        running_balance(transaction, slice_seconds)
+        running_balance(transaction, slice_rows)
         .groupBy("account_id")
         .agg(
             negative.alias("overdraft_events"),

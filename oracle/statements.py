@@ -641,6 +641,12 @@ STATEMENTS: dict[str, str] = {
                CAST({_EVENT_DAY} AS VARCHAR) AS ingest_time, 'seed-1.0.0' AS pipeline_version
         FROM (SELECT account_id, min(currency) AS currency FROM t_transaction GROUP BY 1)
         WHERE account_id NOT IN (SELECT account_id FROM t_account WHERE account_type = 'SAVINGS')""",
+    "merged_silver": f"""
+        SELECT transaction_id, idempotency_key, account_id, txn_type, {_dbl('amount', 'amount')}, currency, counterparty_account, status,
+               {_txt('event_time')} FROM t_transaction WHERE event_time < TIMESTAMP '2024-01-16 00:00:00'
+        UNION ALL SELECT transaction_id, idempotency_key, account_id, txn_type, amount, currency, counterparty_account, status, event_time
+        FROM v_silver WHERE idempotency_key NOT IN (SELECT idempotency_key FROM t_transaction
+                                                    WHERE event_time < TIMESTAMP '2024-01-16 00:00:00')""",
     "masked_transactions": f"""SELECT * REPLACE (CAST(NULL AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS counterparty_account,
         {_txt('event_time')}, {_txt('ingest_time')}) FROM t_transaction""",
     "masked_customers": f"""SELECT * REPLACE (CAST(NULL AS VARCHAR) AS full_name, CAST(NULL AS VARCHAR) AS email,
@@ -919,6 +925,12 @@ STATEMENTS: dict[str, str] = {
     "unauthorized_calls": f"SELECT agent_id, tool, {_int('count(*)', 'calls')} FROM t_agent_action_log WHERE NOT authorized GROUP BY 1, 2",
 }
 
+STATEMENTS["merged_customers"] = f"""
+    SELECT * REPLACE ({_txt('created_at')}, {_txt('ingest_time')}) FROM t_bank_customer
+    UNION ALL BY NAME ({STATEMENTS['seeded_customers']})"""
+STATEMENTS["upserted_balances"] = STATEMENTS["balance_projection"]
+STATEMENTS["expired_dead_letters"] = STATEMENTS["dead_letter_retention"]
+
 
 def _cardinality() -> str:
     tables = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.money import balance_delta
 from ledgerlake.operators.ranking import latest_per_key, next_versions, top_n_per_key
-from ledgerlake.operators.running import row_numbers, running_total
+from ledgerlake.operators.running import row_numbers, running_total, sliced
 from ledgerlake.plans import gold, semantic
 from ledgerlake.session import scratch_dir
 from ledgerlake.sources import files
@@ -43,8 +43,8 @@ def test_ties_share_a_running_balance(spark):
     assert (od.overdraft_events, float(od.lowest_balance), od.overdraft_ratio) == (3, -4.0, 1.0)
 
 
-@pytest.mark.parametrize("slice_seconds", [1, 7, 3600])
-def test_running_total_equals_a_window_with_a_hot_key(spark, slice_seconds):
+@pytest.mark.parametrize("slice_rows", [1, 150, 10**6])
+def test_running_total_equals_a_window_with_a_hot_key(spark, slice_rows):
     rng = random.Random(5)
     rows = [
         (
@@ -63,7 +63,7 @@ def test_running_total_equals_a_window_with_a_hot_key(spark, slice_seconds):
         tuple(r)
         for r in df.select("account_id", "event_time", F.sum(delta).over(window).alias("running")).distinct().collect()
     }
-    got = running_total(df, "account_id", "event_time", delta, slice_seconds)
+    got = running_total(df, "account_id", "event_time", delta, slice_rows)
     assert {(r.account_id, r.event_time, r.running) for r in got.collect()} == expected
     assert got.agg(F.sum("n")).first()[0] == 1500
 
@@ -73,16 +73,48 @@ def test_row_numbers_equal_a_window(spark):
     rows = [("k" if rng.random() < 0.5 else f"k{rng.randrange(5)}", T0 + timedelta(seconds=rng.randrange(300)), f"id{i:04d}") for i in range(500)]
     df = spark.createDataFrame(rows, "key string, at timestamp, id string")
     expected = df.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("at", "id")))
-    got = row_numbers(df, "key", "at", "id", slice_seconds=20)
+    got = row_numbers(df, "key", "at", "id", slice_rows=20)
     assert sorted(map(tuple, got.select("key", "at", "id", "rn").collect())) == sorted(map(tuple, expected.collect()))
 
 
-def test_running_total_shuffles_the_detail_once_per_step(spark, bank):
-    """The totals reuse the exchange of the detail instead of reading the table again."""
-    df = gold.overdraft_history(bank.transaction)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan
+def burst(spark, rows=60_000):
+    """Half of all rows on one account within one hour, a third of those at one time; nulls too."""
+    at = f"timestamp_micros(cast(1704067200000000 + if(id % 3 = 0, 1800, id * 3600 / {rows}) * 1000000 as bigint))"
+    return spark.range(rows).selectExpr(
+        "if(id % 2 = 0, 'hot', if(id % 101 = 0, null, concat('a', id % 500))) as account_id",
+        f"if(id % 997 = 0, null, {at}) as event_time", "cast(id % 19 - 9 as decimal(18,2)) as amount", "concat('t', id) as id",
+    )
+
+
+def test_running_total_of_a_burst(spark):
+    """Slices of one busy hour are even, and the totals reuse the exchange of the detail."""
+    df = burst(spark)
+    window = Window.partitionBy("account_id").orderBy("event_time")
+    expected = df.select("account_id", "event_time", F.sum("amount").over(window).alias("running")).distinct()
+    got = running_total(df, "account_id", "event_time", F.col("amount"), slice_rows=2000)
+    assert sorted(map(str, got.select("account_id", "event_time", "running").collect())) == sorted(map(str, expected.collect()))
+    got.collect()
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+    ticks = df.select("account_id", "event_time").distinct()
+    sizes = [r["count"] for r in sliced(ticks, "account_id", ["event_time"], 2000).where("account_id = 'hot'").groupBy("_slice").count().collect()]
+    assert len(sizes) > 5 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_row_numbers_of_a_burst(spark):
+    """Rows at one time are spread over slices by the tiebreak."""
+    df = burst(spark)
+    expected = df.withColumn("rn", F.row_number().over(Window.partitionBy("account_id").orderBy("event_time", "id")))
+    got = row_numbers(df, "account_id", "event_time", "id", slice_rows=2000)
+    assert sorted(map(str, got.select("id", "rn").collect())) == sorted(map(str, expected.select("id", "rn").collect()))
+    sizes = [r["count"] for r in sliced(df, "account_id", ["event_time", "id"], 2000).where("account_id = 'hot'").groupBy("_slice").count().collect()]
+    assert len(sizes) > 10 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_small_keys_stay_whole(spark, bank):
+    """Without a busy account there is one window over the account and no join."""
+    assert sliced(burst(spark, 600), "account_id", ["event_time"]) is None
+    plan = gold.overdraft_history(bank.transaction)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
 
 
 def test_top_n_is_limited_before_the_shuffle(spark, bank):
