@@ -434,6 +434,34 @@ def streamed_dead_letters(b: Bank) -> DataFrame:
     return b.spark.read.parquet(f"{_drained(b)}/dlq").select("error", "payload", "pipeline_version")
 
 
+@report
+def streamed_backlog(b: Bank) -> DataFrame:
+    """Dead letters per window, counted by a stream over the letters as they were written, batch by batch."""
+    root = scratch_dir(b.spark, "backlog")
+    letters = validate.dead_letters(validate.check_messages(_messages(b)), failed_at=F.col("publish_time"))
+    # In order of time, as letters come in: a file holds later ones than the file before it.
+    letters.select("payload", "failed_at").repartitionByRange(4, "failed_at").write.parquet(f"{root}/letters")
+    stream = b.spark.readStream.schema("payload string, failed_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{root}/letters")
+    ingest.stream_backlog(stream, f"{root}/table", f"{root}/state", late="400 days").awaitTermination()
+    return merge.read_merged(b.spark, f"{root}/table")
+
+
+@report
+def streamed_progress(b: Bank) -> DataFrame:
+    """Input rows of every batch of the streaming ingest, as its listener logged them, against what the batches wrote."""
+    root = scratch_dir(b.spark, "progress")
+    log = ingest.ProgressLog(b.spark, f"{root}/log")
+    b.spark.streams.addListener(log)
+    try:
+        written_to = _drained(b)
+        b.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        b.spark.streams.removeListener(log)
+    rows = ingest.batch_lag(ingest.read_progress(b.spark, f"{root}/log")).where("input_rows > 0")
+    letters = b.spark.read.parquet(f"{written_to}/dlq").groupBy("batch").agg(F.count(F.lit(1)).alias("letters"))
+    return rows.join(letters, F.col("batch") == F.col("batch_id"), "left").select("batch_id", "input_rows", "over_stream_target", "letters")
+
+
 @report
 def streamed_bronze(b: Bank) -> DataFrame:
     root = scratch_dir(b.spark, "bronze")

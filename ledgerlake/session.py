@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +65,32 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it wants it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder, in order; none if there is no such folder."""
+    system, folder = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(folder)) if system.exists(folder) else []
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a file, or a folder with all it holds."""
+    system, folder = file_system(spark, path)
+    system.delete(folder, True)
+
+
+@contextmanager
+def kept_while(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
+    """:func:`written` for the length of a ``with`` block; the folder is deleted at its end."""
+    path = scratch_dir(df.sparkSession, purpose)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        discard(df.sparkSession, path)

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import date, timedelta
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerlake.session import written
+from ledgerlake.session import discard, file_system, names_in, written
 
 BUCKETS = 64
 _BUCKET = "_bucket"
@@ -26,19 +27,12 @@ class MergeConflict(RuntimeError):
     """Another merge committed first."""
 
 
-def _files(spark: SparkSession, path: str):
-    """The file system of a path, and the path as it wants it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
-
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return [int(n.removesuffix(".json")) for n in names_in(spark, f"{path}/manifest") if n.endswith(".json") and not n.startswith(".")]
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    system, folder = _files(spark, path)
-    return sorted(s.getPath().getName() for s in system.listStatus(folder)) if system.exists(folder) else []
 
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    return [int(n.removesuffix(".json")) for n in _names(spark, f"{path}/manifest") if n.endswith(".json") and not n.startswith(".")]
+def is_table(spark: SparkSession, path: str) -> bool:
+    return bool(_versions(spark, path))
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict:
@@ -47,7 +41,7 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict
     if not known:
         raise FileNotFoundError(f"no table at {path}")
     at = max(known) if version is None else version
-    system, folder = _files(spark, f"{path}/manifest/{at:010d}.json")
+    system, folder = file_system(spark, f"{path}/manifest/{at:010d}.json")
     stream = system.open(folder)
     try:
         return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -57,11 +51,11 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict
 
 def _commit(spark: SparkSession, path: str, found: dict) -> None:
     """Write a manifest under its number by one rename, which fails if the number is taken."""
-    system, staged = _files(spark, f"{path}/manifest/.{uuid.uuid4().hex}")
+    system, staged = file_system(spark, f"{path}/manifest/.{uuid.uuid4().hex}")
     out = system.create(staged)
     out.write(bytearray(json.dumps(found).encode()))
     out.close()
-    _, final = _files(spark, f"{path}/manifest/{found['version']:010d}.json")
+    _, final = file_system(spark, f"{path}/manifest/{found['version']:010d}.json")
     if system.exists(final) or not system.rename(staged, final):
         system.delete(staged, False)
         raise MergeConflict(f"version {found['version']} of {path} exists")
@@ -75,7 +69,7 @@ def _write(rows: DataFrame, path: str, name: str) -> list[int]:
     """Write bucketed rows to a folder of their own; the buckets that it holds."""
     target = f"{path}/data/{name}"
     rows.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(target)
-    return [int(n.split("=")[1]) for n in _names(rows.sparkSession, target) if n.startswith(f"{_BUCKET}=")]
+    return [int(n.split("=")[1]) for n in names_in(rows.sparkSession, target) if n.startswith(f"{_BUCKET}=")]
 
 
 def _live(spark: SparkSession, path: str, found: dict, only: list[int] | None = None) -> DataFrame:
@@ -160,25 +154,22 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     versions = _versions(spark, path)
     held = versions[-keep:]
     named = {folder for v in held for folder in manifest(spark, path, v)["live"].values()}
-    gone = [n for n in _names(spark, f"{path}/data") if n not in named]
+    gone = [n for n in names_in(spark, f"{path}/data") if n not in named]
     for target in [f"{path}/manifest/{v:010d}.json" for v in versions[:-keep]] + [f"{path}/data/{n}" for n in gone]:
-        system, folder = _files(spark, target)
-        system.delete(folder, True)
+        discard(spark, target)
     return gone
 
 
-def expire_partitions(spark: SparkSession, path: str, column: str, today, keep_days: int, pinned: set[str] | None = None) -> list[str]:
+def expire_partitions(spark: SparkSession, path: str, column: str, today: date, keep_days: int, pinned: set[str] | None = None) -> list[str]:
     """Delete the day folders of a table that are older than ``keep_days``; the days deleted.
 
     Planned from the folder names alone: no row is read. Raises ValueError, and deletes nothing, if a
     day to delete is among ``pinned``, the days that a running reader has listed. Folders that do not
     name a day, such as null, stay.
     """
-    from datetime import date, timedelta
-
     oldest = today - timedelta(days=keep_days)
     days = {}
-    for name in _names(spark, path):
+    for name in names_in(spark, path):
         try:
             days[name] = date.fromisoformat(name.removeprefix(f"{column}="))
         except ValueError:
@@ -188,7 +179,7 @@ def expire_partitions(spark: SparkSession, path: str, column: str, today, keep_d
     if held:
         raise ValueError(f"a reader still holds {held}")
     for name in old:
-        system, folder = _files(spark, f"{path}/{name}")
+        system, folder = file_system(spark, f"{path}/{name}")
         if not system.delete(folder, True):
             raise PySparkException(f"cannot delete {path}/{name}")
     return [str(days[n]) for n in old]

@@ -928,6 +928,11 @@ STATEMENTS: dict[str, str] = {
 STATEMENTS["merged_customers"] = f"""
     SELECT * REPLACE ({_txt('created_at')}, {_txt('ingest_time')}) FROM t_bank_customer
     UNION ALL BY NAME ({STATEMENTS['seeded_customers']})"""
+STATEMENTS["streamed_backlog"] = STATEMENTS["dead_letter_backlog"]
+STATEMENTS["streamed_progress"] = f"""
+    -- The feed's statement reads the events three times.
+    SELECT CAST(0 AS BIGINT) AS batch_id, 3 * (SELECT count(*) FROM events) AS input_rows, FALSE AS over_stream_target,
+           (SELECT count(*) FROM v_checked WHERE error IS NOT NULL) AS letters"""
 STATEMENTS["upserted_balances"] = STATEMENTS["balance_projection"]
 STATEMENTS["expired_dead_letters"] = STATEMENTS["dead_letter_retention"]
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ledgerlake import schemas
 from ledgerlake.operators import dedup, deident
 from ledgerlake.operators.validate import check_messages, conform, dead_letters, event_timestamp, stamp_lineage
-from ledgerlake.session import scratch_dir
-from ledgerlake.sources import files
+from ledgerlake.session import names_in, scratch_dir
+from ledgerlake.sources import files, merge
 from ledgerlake.streaming import ingest
 
 SOUND = {
@@ -244,6 +244,52 @@ def test_redelivery_after_the_ttl_passes(spark):
     assert spark.read.parquet(f"{root}/silver").count() == 2
 
 
+def test_keys_of_the_ttl_alone_stay_on_disk(spark):
+    """Hours of keys go once no batch can need them; redeliveries are judged as before."""
+    root = scratch_dir(spark, "test")
+    now = datetime(2024, 5, 1, 12, 30, tzinfo=timezone.utc)
+    for hour in range(6):
+        feed(spark, f"{root}/in", "a", [(hour, 1000, message(idempotency_key=f"key-{hour:04d}")), (hour + 50, 1000, message(idempotency_key="key-hot0"))])
+        run(spark, root, ttl_seconds=7200, clock=lambda at=now + timedelta(hours=hour): at)
+    hours = [n for n in names_in(spark, f"{root}/keys") if n != "hour=0"]
+    assert len(hours) == 3  # of six
+    keys = [r.idempotency_key for r in spark.read.parquet(f"{root}/silver").collect()]
+    assert keys.count("key-hot0") == 3 and len(keys) == 9
+    assert names_in(spark, f"{root}/none") == []
+
+
+def test_backlog_counts_a_late_letter(spark):
+    """A letter late but within the watermark is counted; one far behind it is not."""
+    root = scratch_dir(spark, "test")
+    schema = "payload string, failed_at timestamp"
+
+    def batch(*minutes):
+        rows = [(f"p{m}", datetime(2024, 1, 1, 12, tzinfo=timezone.utc) + timedelta(minutes=m)) for m in minutes]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        letters = spark.readStream.schema(schema).parquet(f"{root}/in")
+        ingest.stream_backlog(letters, f"{root}/table", f"{root}/state", late="30 minutes").awaitTermination()
+
+    batch(0, 1, 40)
+    batch(20, 41)
+    batch(-600, 90)
+    got = {r.window_start.hour * 60 + r.window_start.minute - 720: r.letters for r in merge.read_merged(spark, f"{root}/table").collect()}
+    assert got == {0: 2, 20: 1, 40: 2, 90: 1}
+
+
+def test_progress_is_logged_per_batch(spark):
+    root = scratch_dir(spark, "test")
+    for i in range(3):
+        feed(spark, f"{root}/in", "a", [(i, 1000, message(idempotency_key=f"key-{i:04d}"))])
+    log = ingest.ProgressLog(spark, f"{root}/log")
+    spark.streams.addListener(log)
+    run(spark, root)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(log)
+    rows = ingest.batch_lag(ingest.read_progress(spark, f"{root}/log")).collect()
+    assert sorted((r.batch_id, r.input_rows) for r in rows if r.input_rows) == [(0, 1), (1, 1), (2, 1)]
+    assert all(r.duration_ms > 0 and not r.over_stream_target for r in rows)
+
+
 def test_lines_of_files_feed_the_ingest(spark):
     root = scratch_dir(spark, "test")
     spark.createDataFrame([(message(),), (message(idempotency_key="key-0002"),), ("garbage",)], "value string").write.text(f"{root}/in")
