@@ -14,9 +14,10 @@ from ledgerlake.llm.common import BLANKS, WORD, let, normal_line, words
 from ledgerlake.session import written
 
 WINDOW = 5
-#: A line is above the limit in more documents than this, and than this share of the host's.
-LINE_DOCUMENTS = 10
-LINE_SHARE = 0.10
+#: A line is above the limit in more documents than the first number, whatever the host's size; on a small host
+#: in more than the share of its documents, once there are more than the second number.
+LINE_DOCUMENTS = 75
+LINE_SHARE, SHARE_DOCUMENTS = 0.10, 10
 #: Least share of its words that a document keeps.
 LEAST_LEFT = 0.30
 SYMBOLS = r"[#*$%&|<>]"
@@ -98,11 +99,13 @@ def line_words(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
-def removed_lines(docs: DataFrame, host: str = "source", documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
+def removed_lines(
+    docs: DataFrame, host: str = "source", documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE, share_documents: int = SHARE_DOCUMENTS
+) -> DataFrame:
     """(host, content, lines, removed): per distinct text, hashes and words of the lines it loses.
 
-    A line is lost where more than ``documents`` distinct documents of the host, and more than
-    ``share`` of them, have it; the document with the least id keeps it. Texts that lose nothing
+    A line is lost where more than ``documents`` distinct documents of the host have it, or more than
+    ``share_documents`` and more than ``share`` of them; the document with the least id keeps it. Texts that lose nothing
     are absent. Both groupings sum inside the map tasks first, so a line that every document has
     costs one row per task.
     """
@@ -112,9 +115,9 @@ def removed_lines(docs: DataFrame, host: str = "source", documents: int = LINE_D
     hosts = copies.groupBy("_h").agg(F.count(F.lit(1)).alias("_all"))
     per_line = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("_docs"), F.min("doc_id").alias("_first"))
     above = (
-        per_line.where(F.col("_docs") > documents)
+        per_line.where(F.col("_docs") > min(documents, share_documents))
         .join(hosts, F.col("host").eqNullSafe(F.col("_h")))
-        .where(F.col("_docs") > F.col("_all") * share)
+        .where((F.col("_docs") > documents) | (F.col("_docs") > share_documents) & (F.col("_docs") > F.col("_all") * share))
         .select(F.col("host").alias("_h"), F.col("line").alias("_l"), "_first")
     )
     hit = lines.join(above, F.col("host").eqNullSafe(F.col("_h")) & (F.col("line") == F.col("_l"))).where(

@@ -65,7 +65,7 @@ hosts AS (SELECT source, count(*) AS n FROM (SELECT DISTINCT source, text FROM d
 first AS (SELECT h.source, l, count(DISTINCT h.text) AS n, min(doc_id) AS first
     FROM held h JOIN docs d ON h.r = d.r GROUP BY h.source, l),
 above AS (SELECT f.source, l, first FROM first f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
-    WHERE f.n > 10 AND f.n > h.n * 0.10),
+    WHERE f.n > 75 OR f.n > 10 AND f.n > h.n * 0.10),
 ids AS (SELECT source, text, min(doc_id) AS first FROM documents GROUP BY source, text),
 lost AS (SELECT h.r, sum(h.n) AS n FROM held h
     JOIN above a ON h.source IS NOT DISTINCT FROM a.source AND h.l = a.l

@@ -190,6 +190,17 @@ def test_shared_lines_go_and_depleted_documents_are_rejected(spark):
     assert menu in texts[0] and all(texts[i].startswith(f"w{i}x0 ") for i in range(1, 20))
 
 
+def test_line_limits_at_every_host_size(spark):
+    """One line in 90 of 1,000 documents goes, as does one in 11 of 100; one in 70 of 1,000 or 10 of 20 stays."""
+    own = " ".join(f"word{i}" for i in range(12))
+    rows = []
+    for host, size, shared in (("large", 1000, 90), ("calm", 1000, 70), ("small", 100, 11), ("tiny", 20, 10)):
+        rows += [(len(rows) + i, host, f"{own} {host} {i}" + ("\nShared line here!" if i < shared else "")) for i in range(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    left = {r.source: r["n"] for r in quality_rules.cleaned(docs).where("text like '%Shared%'").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert left == {"large": 1, "calm": 70, "small": 1, "tiny": 10}
+
+
 def test_quality_rules_of_messy_rows(messy, nothing):
     assert quality_rules.report(messy).count() == messy.count()
     assert quality_rules.report(nothing).count() == 0 and quality_rules.cleaned(nothing).count() == 0
