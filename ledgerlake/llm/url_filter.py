@@ -31,8 +31,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Longest word that a label is split into.
-LONGEST = 20
+#: Letters by which words are looked up; longer ones are found by their first letters and then compared whole.
+LOOKED_UP = 20
 SMOOTHING = 1.0
 
 
@@ -80,16 +80,21 @@ def best_split(label: str, counts: dict[str, int], total: int) -> list[str]:
 
     Of equally probable splits the one whose last word is longest.
     """
+    letter, fresh = math.log(10), math.log(10 / max(total, 1))
+    lengths = sorted({len(w) for w in counts})
     best: list[tuple[float, int]] = [(0.0, 0)]
+    unseen = (0.0, 0)  # the best start of a word never seen, whatever its length
     for end in range(1, len(label) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST), end):
-            word = label[start:end]
-            seen = counts.get(word, 0)
-            cost = math.log(seen / total) if seen else math.log(10 / max(total, 1)) - len(word) * math.log(10)
-            options.append((best[start][0] + cost, -start))
+        options = [(unseen[0] + fresh - end * letter, unseen[1])]
+        for size in lengths:
+            if size > end:
+                break
+            seen = counts.get(label[end - size : end], 0)
+            if seen:
+                options.append((best[end - size][0] + math.log(seen / total), size - end))
         value, start = max(options)
         best.append((value, -start))
+        unseen = max(unseen, (best[end][0] + end * letter, -end))
     out, end = [], len(label)
     while end:
         start = best[end][1]
@@ -113,16 +118,19 @@ def _split_labels(total: int):
 def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(host, tokens): the words of each distinct host, in no fixed order.
 
-    Only the substrings of labels are looked up, in a join with the word counts.
+    Only the substrings of labels are looked up, in a join with the word counts; words of any length are found.
     """
     labels = hosts.select("host", F.explode(labels_of(F.col("host"))).alias("label"))
     distinct = written(labels.select("label").distinct(), "labels")
     starts = distinct.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("_s"))
     parts = starts.select(
-        "label", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("label") - F.col("_s") + 1))).alias("_n"), "_s"
+        "label", F.explode(F.sequence(F.lit(1), F.least(F.lit(LOOKED_UP), F.length("label") - F.col("_s") + 1))).alias("_n"), "_s"
     ).select("label", F.expr("substring(label, _s, _n)").alias("word")).distinct()
+    heads = starts.where(F.length("label") - F.col("_s") >= LOOKED_UP).select("label", "_s", F.substr("label", F.col("_s"), F.lit(LOOKED_UP)).alias("_head"))
+    long_words = counts.where(F.length("word") > LOOKED_UP).withColumn("_head", F.left("word", F.lit(LOOKED_UP)))
+    held = heads.join(long_words, "_head").where(F.expr("substring(label, _s, length(word)) = word")).select("label", "word", "n").distinct()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    known = parts.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    known = parts.join(counts, "word").select("label", "word", "n").unionByName(held).groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("words"))
     listed = distinct.join(known, "label", "left").select(
         "label", F.coalesce("words", F.array().cast("array<struct<word:string,n:bigint>>")).alias("words")
     )
