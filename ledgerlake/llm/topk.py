@@ -35,14 +35,15 @@ EVERY = 50
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, parts): one row per id that takes part.
 
-    Left out: null ids and vectors, vectors with a null or non-finite component, and those
-    with a component whose integer leaves 64 bits. Rows that repeat an id are one; of different vectors the least counts.
+    Left out: null ids and vectors, and vectors with a null or non-finite component. A component whose
+    integer leaves 64 bits stops the job. Rows that repeat an id are one; of different vectors the least counts.
     """
-    wide = F.transform(F.col(embedding), lambda x: F.floor(x.cast("double") * SCALE))
-    sound = F.forall(
+    fits = lambda x: (x.cast("double") * SCALE < float(LIMIT)) & (x.cast("double") * SCALE >= -float(LIMIT))
+    wide = F.transform(
         F.col(embedding),
-        lambda x: F.coalesce(~F.isnan(x) & (x.cast("double") * SCALE < float(LIMIT)) & (x.cast("double") * SCALE >= -float(LIMIT)), F.lit(False)),
+        lambda x: F.when(fits(x), F.floor(x.cast("double") * SCALE)).otherwise(F.raise_error(F.lit("a component does not fit in 64 bits"))),
     )
+    sound = F.forall(F.col(embedding), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & sound)
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), wide.cast("array<long>").alias("parts")).groupBy("vec_id").agg(
         F.min("parts").alias("parts")
@@ -138,13 +139,8 @@ def _index_block(width: int, low: int, digits: int):
     return run
 
 
-def _search_block(width: int, low: int, digits: int, k: int, size: int):
-    """``size`` is the bytes that hold every score; over eight, scores are digits and ``place`` sorts like them."""
-    wide = size > 8
-    schema = pa.schema(
-        [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.string() if wide else pa.int64())]
-        + ([("place", pa.binary())] if wide else [])
-    )
+def _search_block(width: int, low: int, digits: int, k: int):
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple] = []
@@ -167,9 +163,9 @@ def _search_block(width: int, low: int, digits: int, k: int, size: int):
                 shift = most * sum(w for w in factors if w < 0) + low * sum(factors)
                 for row in best_rows(sums, allowed, k).tolist():
                     total = sum(((int(s[row // 64]) >> (row % 64)) & 1) << i for i, s in enumerate(sums))
-                    score = total + shift
-                    place = (score + (1 << (8 * size - 1))).to_bytes(size, "big") if wide else None
-                    found.append((query, int(ids[row]), str(score), place) if wide else (query, int(ids[row]), score))
+                    if not -LIMIT <= total + shift < LIMIT:
+                        raise OverflowError(f"the score of {query} with {int(ids[row])} does not fit in 64 bits")
+                    found.append((query, int(ids[row]), total + shift))
         columns = list(zip(*found)) if found else [[]] * len(schema)
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
 
@@ -181,8 +177,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = B
 
     ``vectors`` comes from :func:`quantised` and ``is_query`` tells its queries. Shorter vectors
     count as filled up with zeros. Equal scores go to the least id; with fewer rows than ``k`` all
-    are returned. No queries or rows give an empty result. ``score`` is exact: a long, where the
-    components' range lets scores leave 64 bits a decimal(38,0), and past that its digits. Queries and blocks are both split, so
+    are returned. No queries or rows give an empty result. ``score`` is exact; a best score of a block that
+    leaves 64 bits stops the job. Queries and blocks are both split, so
     a task holds one block and one group of queries however many there are.
     """
     spark = vectors.sparkSession
@@ -195,9 +191,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = B
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     low, high = min(shape["low"] or 0, 0), max(shape["high"] or 0, 0)
     width, digits = max(shape["width"], 1), max((high - low).bit_length(), 1)
-    largest = width * max(-low, high) ** 2
-    size = largest.bit_length() // 8 + 1
-    schema = "query_id long, vec_id long, " + ("score string, place binary" if size > 8 else "score long")
     blocks, groups = -(-shape["n"] // block_rows), -(-shape["queries"] // query_rows)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     index = written(
@@ -209,11 +202,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = B
     )
     spread = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     found = spread.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(
-        _search_block(width, low, digits, k, size), schema
+        _search_block(width, low, digits, k), "query_id long, vec_id long, score long"
     )
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("place" if size > 8 else "score"), "vec_id"))
-    score = F.col("score").cast("decimal(38,0)") if 8 < size and largest < 10**38 else F.col("score")
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def report(embeddings: DataFrame) -> DataFrame:
