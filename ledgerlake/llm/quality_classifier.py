@@ -67,13 +67,17 @@ def _bucketed(tokens: list[bytes]) -> np.ndarray:
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS * DIMENSIONS)
     gap = np.full(WINDOW, BUCKETS)
+    last = gap  # words before the held ones: their pairs among each other are counted
     held: list[np.ndarray] = []
     size = 0
 
     def add() -> None:
-        ids = np.concatenate(held)
+        nonlocal last
+        ids = np.concatenate([last, *held])
+        last = ids[-WINDOW:]
         for apart in range(1, WINDOW + 1):
-            for words, context in ((ids[:-apart], ids[apart:]), (ids[apart:], ids[:-apart])):
+            near, far = ids[WINDOW - apart : -apart], ids[WINDOW:]
+            for words, context in ((near, far), (far, near)):
                 for k in range(NONZERO):
                     inside = words < BUCKETS
                     at = words[inside] * DIMENSIONS + _PLACES[context[inside], k]
@@ -88,7 +92,7 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     add()
                     held, size = [], 0
             held.append(gap)
-    if sum(map(len, held)) > WINDOW:
+    if held:
         add()
     sums = total.reshape(BUCKETS, DIMENSIONS)
     filled = np.flatnonzero(sums.any(axis=1))
