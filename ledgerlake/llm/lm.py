@@ -6,9 +6,10 @@ predictors have seen and the place of the bit, and the sum is refined by a map f
 byte so far, probability) to the share of ones seen there.
 
 All training texts are counted: tasks send the counts of their distinct six-byte strings, which
-determine every table. The weights are learned online, string by string, inside each partition of
-those counts and averaged by mass, for ``EPOCHS`` rounds; the refinement counts the same strings. In
-both, a string's own occurrence is taken out of the counts that predict it. The counts are whole and
+determine every table. The strings are dealt by hash into ``GROUPS`` and put in the order of a hash, whatever
+the number of shuffle partitions. In each group the weights are learned online along that order at a falling
+rate, and the groups' weights are averaged by mass, for ``EPOCHS`` rounds; the refinement counts the same
+strings. In both, a string's own occurrence is taken out of the counts that predict it. The counts are whole and
 kept per context: the model is the distinct strings with 64-bit running sums, 16 bytes each and
 order, and its broadcast grows with the distinct strings of the corpus.
 """
@@ -40,7 +41,11 @@ _SEEN = np.array([1, 2, 4, 8, 32])
 _LEVELS = len(_SEEN) + 1
 SETS = _LEVELS * _LEVELS * 8
 EPOCHS = 2
-RATE = 0.1
+RATE = 1.0
+#: Weights stay between these.
+LEAST, MOST = -1.0, 2.0
+#: Shares of the strings that learn side by side; fixed, so that results do not depend on the cluster.
+GROUPS = 64
 _BATCH = 1024
 #: The refinement: buckets of log-odds from -8 to 8.
 BUCKETS = 33
@@ -195,26 +200,38 @@ def _bucket(odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _learn(model, weights: np.ndarray):
-    """A mapInArrow function: one online pass over a partition's strings."""
+    """A mapInArrow function: one online pass over a group's strings, in their order.
+
+    A batch moves a set's weights by its mean slope, times the root of the batch's share in all the
+    set has seen, so later batches move them less and a long pass settles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, own, mass = model.value, weights.copy(), np.zeros(SETS)
+        counts, own, mass, group = model.value, weights.copy(), np.zeros(SETS), None
         for batch in batches:
-            strings, n = batch.column("key").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
-            for at in range(0, len(strings), _BATCH):
-                _, bits = _nodes(strings[at : at + _BATCH])
-                inputs, gate = _inputs(counts, strings[at : at + _BATCH], np.arange(8), bits)
+            if batch.num_rows and group is None:
+                group = batch.column("group")[0].as_py()
+            keys, times = batch.column("key").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
+            for at in range(0, len(keys), _BATCH):
+                near = np.argsort(keys[at : at + _BATCH])  # sorted strings are found faster
+                strings, n = keys[at : at + _BATCH][near], times[at : at + _BATCH][near]
+                _, bits = _nodes(strings)
+                inputs, gate = _inputs(counts, strings, np.arange(8), bits)
                 error = bits - _squash(_mixed_odds(inputs, gate, own))
-                heavy = np.broadcast_to(n[at : at + _BATCH, None], bits.shape)
+                heavy = np.broadcast_to(n[:, None], bits.shape)
                 total = np.bincount(gate.ravel(), heavy.ravel(), minlength=SETS)
+                mass += total
+                step = RATE / np.sqrt(np.maximum(total * mass, 1))
                 for k in range(ORDERS + 1):
                     slope = np.bincount(gate.ravel(), (heavy * error * inputs[k]).ravel(), minlength=SETS)
-                    own[:, k] += RATE * slope / np.maximum(total, 1)
-                mass += total
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(SETS)), pa.array(mass)] + [pa.array(own[:, k] * mass) for k in range(ORDERS + 1)],
-            names=["set", "mass"] + [f"w{k}" for k in range(ORDERS + 1)],
-        )
+                    own[:, k] += step * slope
+                np.clip(own, LEAST, MOST, out=own)
+        if group is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(SETS, group)), pa.array(np.arange(SETS)), pa.array(mass)]
+                + [pa.array(own[:, k]) for k in range(ORDERS + 1)],
+                names=["group", "set", "mass"] + [f"w{k}" for k in range(ORDERS + 1)],
+            )
 
     return run
 
@@ -302,13 +319,21 @@ class Model:
         del seen
         weights = np.full((SETS, ORDERS + 1), 0.3)
         names = [f"w{k}" for k in range(ORDERS + 1)]
-        schema = "set long, mass double, " + ", ".join(f"{c} double" for c in names)
+        schema = "group long, set long, mass double, " + ", ".join(f"{c} double" for c in names)
+        order = F.xxhash64("key")
+        dealt = (
+            strings.withColumn("group", F.pmod(order, F.lit(GROUPS)).cast("int"))
+            .repartitionById(GROUPS, F.col("group"))
+            .sortWithinPartitions(order, "key")
+        )
         for _ in range(EPOCHS):
-            learned = strings.mapInArrow(_learn(self.counts, weights), schema).groupBy("set").agg(
-                *[F.sum(c).alias(c) for c in ("mass", *names)]
-            ).toPandas()
-            learned = learned[learned["mass"] > 0]
-            weights[learned["set"].to_numpy()] = learned[names].to_numpy() / learned[["mass"]].to_numpy()
+            # GROUPS * SETS rows, averaged in the order of their groups.
+            learned = dealt.mapInArrow(_learn(self.counts, weights), schema).toPandas().sort_values(["set", "group"])
+            at, mass = learned["set"].to_numpy(), learned["mass"].to_numpy()
+            total = np.bincount(at, mass, minlength=SETS)
+            for k, name in enumerate(names):
+                summed = np.bincount(at, mass * learned[name].to_numpy(), minlength=SETS)
+                weights[:, k] = np.where(total > 0, summed / np.maximum(total, 1), weights[:, k])
         self.weights = weights
         refined = strings.mapInArrow(_refine(self.counts, weights), "at long, ones double, bits double").groupBy("at").agg(
             F.sum("ones").alias("ones"), F.sum("bits").alias("bits")
@@ -355,6 +380,7 @@ def _score(counts, weights, refined, frequent):
                 np.add.at(score, [i for i, _ in buffer], np.add.reduceat(cost, starts))
 
             tokens, part, hits, rare, rare_n, content = [], [], [], [], [], []
+            size = np.array([len(t) + 1 for t in texts], dtype=np.float64)
             for i, text in enumerate(texts):
                 for segment in _segments(text):
                     buffer.append((i, segment))
@@ -378,20 +404,20 @@ def _score(counts, weights, refined, frequent):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(content, pa.int64()), pa.array(tokens, pa.int64()), pa.array(part, pa.float64()),
-                    pa.array(hits, pa.int64()), pa.array(score), pa.ListArray.from_arrays(ends, pa.array(flat[0])),
+                    pa.array(hits, pa.int64()), pa.array(score), pa.array(-score / size / np.log10(2)), pa.ListArray.from_arrays(ends, pa.array(flat[0])),
                     pa.ListArray.from_arrays(ends, pa.array(flat[1].astype(np.int64))),
                 ],
-                names=["doc_id", "content", "n_tokens", "part", "hits", "score", "rare", "rare_n"],
+                names=["doc_id", "content", "n_tokens", "part", "hits", "score", "bits_per_byte", "rare", "rare_n"],
             )
 
     return run
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs``.
 
     ``score`` is the log10 probability of the whole lower-cased text and its end; a null text is
-    an empty one. ``base_score`` adds up log10((c + 1) / (N + V + 1)) over the words and the end.
+    an empty one. ``bits_per_byte`` is that in bits, over the text's bytes and its end. ``base_score`` adds up log10((c + 1) / (N + V + 1)) over the words and the end.
     Counts of the ``FREQUENT`` commonest words are broadcast; the other words are joined, one row
     per distinct text and word, so no word's count is lost. Repeated rows score alike; a model of
     no texts gives every token c = 0.
@@ -399,7 +425,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     found = written(
         docs.select("doc_id", "text").mapInArrow(
             _score(model.counts, model.weights, model.refined, model.frequent),
-            "doc_id long, content long, n_tokens long, part double, hits long, score double, rare array<long>, rare_n array<long>",
+            "doc_id long, content long, n_tokens long, part double, hits long, score double, bits_per_byte double, rare array<long>, rare_n array<long>",
         ),
         "scored",
     )
@@ -416,7 +442,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         (F.col("hits") + F.coalesce("_hits", F.lit(0)) + F.lit(int(model.ends > 0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("part") + F.coalesce("_part", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(divisor)).alias("base_score"),
-        "score",
+        "score", "bits_per_byte",
     )
 
 
@@ -429,5 +455,6 @@ def report(docs: DataFrame) -> DataFrame:
     """Scores of all documents under a model of those that are not held out."""
     out = scores(docs, train(docs.where(~is_held_out(F.col("doc_id")))))
     return out.select(
-        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        "bits_per_byte",
     )

@@ -54,7 +54,21 @@ def test_model_learns(documents, scored):
     sizes = {r.doc_id: len((r.text or "").encode()) + 1 for r in documents.collect()}
     held = [r for r in scored if r.held_out]
     bits = -sum(r.score for r in held) / math.log10(2) / sum(sizes[r.doc_id] for r in held)
-    assert bits < 3.5
+    assert bits < 2.3
+    for r in held:
+        assert r.bits_per_byte * sizes[r.doc_id] == pytest.approx(-r.score / math.log10(2))
+
+
+@pytest.mark.parametrize("partitions", ["2", "32"])
+def test_scores_do_not_depend_on_partitions(spark, documents, scored, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        again = {r.doc_id: r.score for r in lm.report(documents.repartition(int(partitions))).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for r in scored:
+        assert again[r.doc_id] == pytest.approx(r.score, rel=1e-6)
 
 
 def test_next_bytes_share_one(documents):
