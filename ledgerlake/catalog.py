@@ -137,6 +137,11 @@ def balance_lookup(b: Bank) -> DataFrame:
     return gold.balances_of(gold.account_balance(b.account, b.transaction), b.loan_request)
 
 
+@report
+def summary_lookup(b: Bank) -> DataFrame:
+    return gold.summaries_of(gold.account_summary(b.account, b.transaction), b.loan_request)
+
+
 @report
 def txn_by_account(b: Bank) -> DataFrame:
     return gold.txn_by_account(b.transaction)
@@ -240,6 +245,12 @@ def active_customers(b: Bank) -> DataFrame:
     return semantic.active_customers(b.transaction, b.account, b.bank_customer, EVENTS_AS_OF, 90)
 
 
+@report
+def rolling_active_customers(b: Bank) -> DataFrame:
+    """Customers active in the 7 days to each day of the feed, within the error of the sketches."""
+    return semantic.rolling_active_customers(b.transaction, b.account, b.bank_customer, 7, EVENTS_AS_OF.date())
+
+
 @report
 def most_active_accounts(b: Bank) -> DataFrame:
     return semantic.most_active_accounts(b.transaction)
@@ -331,6 +342,23 @@ def masked_customers(b: Bank) -> DataFrame:
     return security.masked_view(b.bank_customer, "customer", {"PII_DIRECT": security.MASKED})
 
 
+@report
+def masked_accounts(b: Bank) -> DataFrame:
+    return security.masked_view(b.account, "account", {"PII_FINANCIAL": security.MASKED})
+
+
+@report
+def masked_credit_profiles(b: Bank) -> DataFrame:
+    return security.masked_view(b.credit_profile, "credit_profile", {"CONFIDENTIAL": security.MASKED})
+
+
+@report
+def masked_loan_requests(b: Bank) -> DataFrame:
+    """A reader cleared for amounts, but not for names."""
+    grants = {"PII_FINANCIAL": security.CLEAR, "PII_DIRECT": security.MASKED}
+    return security.masked_view(b.loan_request, "loan_request", grants)
+
+
 @report
 def posted_rows(b: Bank) -> DataFrame:
     return security.posted_rows_only(b.transaction, granted=True)
@@ -557,6 +585,16 @@ def deidentified_sample(b: Bank) -> DataFrame:
     )
 
 
+@report
+def deidentified_counterparties(b: Bank) -> DataFrame:
+    """Counterparties as bank account numbers, hidden in the half of the silver rows that their key picks."""
+    number = F.lpad(F.regexp_extract("counterparty_account", "[0-9]+", 0), 14, "0")
+    silver = _silver(b).where(F.col("counterparty_account").startswith("acct-"))
+    named = silver.withColumn("counterparty_account", F.concat(F.lit("GB29NWBK"), number))
+    hidden = deident.deidentify_column(named, "counterparty_account", "idempotency_key", REPORT_SECRET, rate=0.5)
+    return hidden.select("transaction_id", "idempotency_key", "counterparty_account")
+
+
 # ---- loans ----
 
 
@@ -823,6 +861,16 @@ def quarantine_passed(b: Bank) -> DataFrame:
     return sound.select("message_id", "transaction_id", "amount")
 
 
+@report
+def quarantine_table(b: Bank) -> DataFrame:
+    """The side table of failing rows as it was written, a load of TRANSFERs and a load of all others."""
+    path = scratch_dir(b.spark, "quarantine")
+    silver = _silver(b)
+    for load in (F.col("txn_type") == "TRANSFER", F.col("txn_type") != "TRANSFER"):
+        rules.quarantine_to(silver.where(load), SILVER_RULES, path)
+    return b.spark.read.parquet(path).select("message_id", "transaction_id", "amount", "failed_rules")
+
+
 # ---- retrieval ----
 
 
@@ -969,6 +1017,23 @@ def logged_turns(b: Bank) -> DataFrame:
     return evals.log_rows(b.conversation_log).select("conversation_id", "question", "answer", "latency_ms")
 
 
+@report
+def appended_turns(b: Bank) -> DataFrame:
+    """Turns appended to the log by channel, cut to its column widths, and read with the declared schema."""
+    path = scratch_dir(b.spark, "turns")
+    widths = {"question": evals.QUESTION_WIDTH, "answer": evals.ANSWER_WIDTH}
+    logged = evals.log_rows(b.conversation_log, widths)
+    for load in (F.col("channel") == "kb", ~F.col("channel").eqNullSafe("kb")):
+        files.append_rows(logged.where(load), path, schemas.CONVERSATION_LOG)
+    return files.read_table(b.spark, path, schemas.CONVERSATION_LOG)
+
+
+@report
+def rolling_latency(b: Bank) -> DataFrame:
+    """Latencies of the 7 days to each day of the log, within the error of the sketches."""
+    return evals.rolling_latency(b.conversation_log, LOG_AS_OF.date())
+
+
 @report
 def log_page(b: Bank) -> DataFrame:
     page = evals.log_page(b.conversation_log, _scores(b), LOG_AS_OF, 168, limit=20, offset=10)

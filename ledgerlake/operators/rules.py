@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ledgerlake.operators.ranking import top_n_per_key
 from ledgerlake.session import written
+from ledgerlake.sources.files import append_rows
 
 
 @dataclass(frozen=True)
@@ -203,6 +204,13 @@ def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
     return sound, marked.where(F.size("failed_rules") > 0)
 
 
+def quarantine_to(df: DataFrame, rules: Sequence[Rule], side_table: str) -> DataFrame:
+    """Sound rows of ``df``; the failing ones are appended to the table at ``side_table`` with the columns at fault."""
+    sound, failing = quarantine(df, rules)
+    append_rows(failing, side_table)
+    return sound
+
+
 # ---- over scan results ----
 
 # ---- fixed values: wording of scores, findings and remediation orders ----

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import numbers
+from ledgerlake.operators import sketches
 
 # ---- fixed values: tolerances and thresholds of the evaluation ----
 SUCCESS_THRESHOLD = 0.7
@@ -18,6 +19,8 @@ REFUSED = "can't|cannot|unable|not able|don't have"
 REFUSED_WRONGLY = "can't|cannot|unable"
 ACCURACY_FLOORS = {"grounding_accuracy": 0.9, "tool_utilization": 0.9, "approval_recommendation_accuracy": 0.8}
 HALLUCINATION_CEILING = 0.05
+#: Characters that the log keeps of a question and of an answer.
+QUESTION_WIDTH, ANSWER_WIDTH = 4000, 8000
 
 
 def _since(as_of: datetime, **span: int) -> Column:
@@ -129,6 +132,12 @@ def eval_summary(scores: DataFrame, conversation_log: DataFrame, as_of: datetime
     return quality.join(latency, "_one").drop("_one")
 
 
+def rolling_latency(conversation_log: DataFrame, last: date, days: int = 7) -> DataFrame:
+    """(window_end, n, latency_p50_ms, latency_p95_ms): latencies of the ``days`` days to each day, from daily sketches."""
+    daily = sketches.daily_quantiles(conversation_log, "ts", "latency_ms")
+    return sketches.trailing_quantiles(daily, days, last, {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95})
+
+
 # ---- grounding and refusals ----
 
 

@@ -119,6 +119,11 @@ def summary_of(account_summary_view: DataFrame, account_id: str) -> DataFrame:
     return account_summary_view.where(F.col("account_id") == account_id)
 
 
+def summaries_of(account_summary_view: DataFrame, account_ids: DataFrame) -> DataFrame:
+    """Summaries of the accounts listed in ``account_ids``."""
+    return account_summary_view.join(account_ids.select("account_id"), "account_id", "left_semi")
+
+
 _READ_COLUMNS = ("transaction_id", "txn_type", "amount", "currency", "status", "event_time")
 
 

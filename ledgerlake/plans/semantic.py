@@ -7,13 +7,14 @@ accounts to customers moves one row per account however busy the account is.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.hashing import fingerprint
 from ledgerlake.functions.money import net_delta
+from ledgerlake.operators import sketches
 from ledgerlake.plans.gold import posted
 
 
@@ -193,6 +194,21 @@ def active_customers(
     )
 
 
+def rolling_active_customers(
+    transaction: DataFrame, account: DataFrame, customer: DataFrame, days: int, last: date
+) -> DataFrame:
+    """(window_end, active_customers): about how many customers had a posted transaction in the ``days`` days to each.
+
+    The twin of :func:`active_customers` for a series of days, from one sketch per day.
+    """
+    # One row per account and day reaches the joins, however busy the account is.
+    active = posted(transaction).select("account_id", F.to_date("event_time").alias("event_date")).distinct()
+    bridged = active.join(account.select("account_id", "customer_id"), "account_id")
+    owned = bridged.join(customer.select("customer_id"), "customer_id", "left_semi")
+    daily = sketches.daily_distinct(owned, "event_date", "customer_id")
+    return sketches.trailing_distinct(daily, days, last).withColumnRenamed("distinct_values", "active_customers")
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows of each named table."""
     counts = [

@@ -575,6 +575,8 @@ STATEMENTS: dict[str, str] = {
         ORDER BY last_activity_at DESC NULLS LAST, account_id LIMIT 5)""",
     "balance_lookup": f"""SELECT account_id, currency, {_dbl('balance', 'balance')}, {_txt('last_activity_at')}
         FROM v_account_balance WHERE account_id IN (SELECT account_id FROM t_loan_request)""",
+    "summary_lookup": f"""SELECT * REPLACE ({_dbl('net_balance', 'net_balance')}, {_txt('last_activity_at')})
+        FROM v_account_summary WHERE account_id IN (SELECT account_id FROM t_loan_request)""",
     "txn_by_account": f"""
         SELECT account_id || '#' || lpad(CAST(9999999999 - CAST(floor(epoch(t.event_time)) AS BIGINT) AS VARCHAR), 10, '0')
                || '#' || transaction_id AS row_key, account_id, {_READ} FROM t_transaction t
@@ -651,6 +653,12 @@ STATEMENTS: dict[str, str] = {
         {_txt('event_time')}, {_txt('ingest_time')}) FROM t_transaction""",
     "masked_customers": f"""SELECT * REPLACE (CAST(NULL AS VARCHAR) AS full_name, CAST(NULL AS VARCHAR) AS email,
         {_txt('created_at')}, {_txt('ingest_time')}) FROM t_bank_customer""",
+    "masked_accounts": f"""SELECT * REPLACE (CAST(NULL AS VARCHAR) AS account_number, {_txt('opened_at')}, {_txt('ingest_time')})
+        FROM t_account""",
+    "masked_credit_profiles": f"""SELECT * REPLACE (CAST(NULL AS BIGINT) AS credit_score, CAST(NULL AS DOUBLE) AS annual_income,
+        {_txt('generated_at')}) FROM t_credit_profile""",
+    "masked_loan_requests": f"""SELECT * REPLACE (CAST(NULL AS VARCHAR) AS customer_name, {_dbl('amount', 'amount')},
+        {_txt('submitted_at')}, {_txt('updated_at')}) FROM t_loan_request""",
     "posted_rows": f"""SELECT * REPLACE ({_dbl('amount', 'amount')}, {_txt('event_time')}, {_txt('ingest_time')})
         FROM t_transaction WHERE status = 'POSTED'""",
     "dim_customer": f"SELECT customer_id, segment, {_txt('created_at')} FROM t_bank_customer",
@@ -697,6 +705,12 @@ STATEMENTS: dict[str, str] = {
     "deidentified_sample": """
         SELECT doc_id, sha256(CASE WHEN ('0x' || left(sha256(doc_id), 15))::BIGINT % 1000000 < 500000
                                    THEN content ELSE original END) AS content_hash FROM v_deidentified""",
+    "deidentified_counterparties": """
+        SELECT transaction_id, idempotency_key,
+               CASE WHEN ('0x' || left(sha256(idempotency_key), 15))::BIGINT % 1000000 < 500000
+                    THEN 'LEDGER_TOKEN(' || sha256('report-key' || iban) || ')' ELSE iban END AS counterparty_account
+        FROM (SELECT *, 'GB29NWBK' || lpad(regexp_extract(counterparty_account, '[0-9]+'), 14, '0') AS iban
+              FROM v_silver WHERE starts_with(counterparty_account, 'acct-'))""",
     "loan_status": f"""SELECT * REPLACE ({_dbl('amount', 'amount')}, {_txt('submitted_at')}, {_txt('updated_at')},
         {_dbl('counteroffer_amount', 'counteroffer_amount')}, {_txt('decided_at')}) FROM v_loan_status""",
     "loan_scores": f"""
@@ -803,6 +817,15 @@ STATEMENTS: dict[str, str] = {
     "quarantined": f"""SELECT message_id, transaction_id, idempotency_key, amount, array_to_string({_failed_marks()}, '|') AS failed_rules
         FROM v_silver_all WHERE len({_failed_marks()}) > 0""",
     "quarantine_passed": f"SELECT message_id, transaction_id, amount FROM v_silver_all WHERE len({_failed_marks()}) = 0",
+    "quarantine_table": """
+        SELECT message_id, transaction_id, amount, array_to_string(marks, '|') AS failed_rules FROM (
+          SELECT *, list_filter([
+            CASE WHEN amount IS NULL THEN 'amount:non_null' END,
+            CASE WHEN NOT coalesce(txn_type IN ('DEPOSIT', 'WITHDRAWAL', 'TRANSFER', 'FEE'), FALSE) THEN 'txn_type:set' END,
+            CASE WHEN status = 'POSTED' AND amount IS NULL THEN 'amount:non_null' END,
+            CASE WHEN NOT coalesce(amount BETWEEN 0 AND 20, FALSE) THEN 'amount:range' END,
+            CASE WHEN txn_type = 'TRANSFER' AND counterparty_account IS NULL THEN 'counterparty_account:non_null' END
+          ], lambda x: x IS NOT NULL) AS marks FROM v_silver) WHERE len(marks) > 0""",
     "sparse_search": "SELECT query_id, doc_id, round(score, 6) AS score, rnk FROM v_sparse",
     "dense_search": "SELECT query_id, doc_id, round(distance, 6) AS distance, rnk FROM v_dense",
     "hybrid_search": f"""
@@ -864,6 +887,9 @@ STATEMENTS: dict[str, str] = {
     "hops_from_savings": f"SELECT node, {_int('min(hops)', 'hops')} FROM v_reach3 GROUP BY node",
     "logged_turns": """SELECT conversation_id, question, coalesce(answer, '') AS answer, latency_ms
         FROM t_conversation_log WHERE trim(coalesce(question, '')) <> ''""",
+    "appended_turns": f"""SELECT conversation_id, {_txt('ts')}, persona, channel, left(question, 4000) AS question,
+               left(coalesce(answer, ''), 8000) AS answer, context, latency_ms, model_requested, model_served
+        FROM t_conversation_log t WHERE trim(coalesce(t.question, '')) <> ''""",
     "log_page": f"""
         SELECT conversation_id, {_txt('ts')}, persona,
                question, answer, overall, groundedness, safety

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerlake import schemas
 from ledgerlake.operators import graph, rules, security
 from ledgerlake.operators.rules import Rule
+from ledgerlake.session import scratch_dir
 
 
 @pytest.fixture(scope="module")
@@ -203,3 +204,14 @@ def test_deposit_pattern_equals_the_bridge(bank):
     pattern = graph.deposits_by_owner_segment(bank.bank_customer, bank.account, bank.transaction)
     bridge = semantic.deposits_by_segment(bank.transaction, bank.account, bank.bank_customer)
     assert {(r.segment, r.total) for r in pattern.collect()} == {(r.segment, r.total_deposits) for r in bridge.collect()}
+
+
+def test_quarantine_to_a_side_table(spark):
+    path = scratch_dir(spark, "side")
+    checks = [Rule("v", "VALIDITY", "non_null"), Rule("k", "UNIQUENESS", "unique")]
+    first = spark.createDataFrame([("a", 1), ("b", None), (None, 2)], "k string, v int")
+    second = spark.createDataFrame([("c", 3), ("c", None)], "k string, v int")
+    sound = [rules.quarantine_to(load, checks, path).collect() for load in (first, second)]
+    assert [sorted(r.v for r in part) for part in sound] == [[1, 2], []]
+    side = {(r.k, r.v): sorted(r.failed_rules) for r in spark.read.parquet(path).collect()}
+    assert side == {("b", None): ["v:non_null"], ("c", 3): ["k:unique"], ("c", None): ["k:unique", "v:non_null"]}
