@@ -30,7 +30,7 @@ from ledgerlake.plans import evals, gold, loans, semantic, steward
 from ledgerlake.session import scratch_dir
 from ledgerlake.sources import files, merge
 from ledgerlake.sources.bank import Bank
-from ledgerlake.streaming import ingest
+from ledgerlake.streaming import attempts, ingest
 
 #: Moments the reports are taken at: the end of the event feed and of a week of conversations.
 EVENTS_AS_OF = datetime(2024, 1, 31)
@@ -410,6 +410,26 @@ def silver_with_redeliveries(b: Bank) -> DataFrame:
     return _silver(b, once=False).select("message_id", "transaction_id", "idempotency_key")
 
 
+@report
+def silver_within_ttl(b: Bank) -> DataFrame:
+    """De-duplication that forgets keys: redeliveries a minute later are dropped by the ingest's TTL, not by one of a minute."""
+    sound = validate.conform(validate.check_messages(_messages(b)), "message_id", "publish_time")
+    kept = [
+        dedup.first_within_ttl(sound, "idempotency_key", "publish_time", "message_id", ttl).select(
+            F.lit(ttl).alias("ttl_seconds"), "message_id", "idempotency_key"
+        )
+        for ttl in (60, ingest.DEDUP_TTL_SECONDS)
+    ]
+    return kept[0].unionByName(kept[1])
+
+
+@report
+def account_quiet_hours(b: Bank) -> DataFrame:
+    """Events of an account that come at least an hour after the last one told of: one notice an hour, at most."""
+    told = dedup.first_within_ttl(b.transaction, "account_id", "event_time", "transaction_id", 3600)
+    return told.select("account_id", "transaction_id", "event_time")
+
+
 @report
 def dead_letters(b: Bank) -> DataFrame:
     checked = validate.check_messages(_messages(b))
@@ -474,6 +494,21 @@ def streamed_backlog(b: Bank) -> DataFrame:
     return merge.read_merged(b.spark, f"{root}/table")
 
 
+@report
+def delivery_attempts(b: Bank) -> DataFrame:
+    """Attempts and outcome of every message of the feed, in eight batches, to a receiver that takes JSON only."""
+    root = scratch_dir(b.spark, "attempts")
+    feed = _messages(b).select("message_id", "publish_time", "data")
+    feed.repartitionByRange(8, "publish_time").write.parquet(f"{root}/in")
+    stream = b.spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    attempts.deliver_stream(stream, attempts.require_json, f"{root}/out", f"{root}/state").awaitTermination()
+    while attempts.redeliver(b.spark, feed.schema, attempts.require_json, f"{root}/out"):
+        pass
+    told = attempts.outcomes(b.spark, feed.schema, f"{root}/out")
+    reason = F.split_part("error", F.lit(":"), F.lit(1))
+    return told.select("message_id", "attempts", "outcome", reason.alias("reason"))
+
+
 @report
 def streamed_progress(b: Bank) -> DataFrame:
     """Input rows of every batch of the streaming ingest, as its listener logged them, against what the batches wrote."""

@@ -481,6 +481,7 @@ VIEWS: dict[str, str] = {
     "silver": f"""
         SELECT {_SILVER_COLUMNS} FROM v_checked WHERE error IS NULL
         QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY publish_time, message_id) = 1""",
+    "checked_silver": "SELECT message_id, publish_time, idempotency_key FROM v_checked WHERE error IS NULL",
     "silver_all": f"""
         SELECT *, count(*) OVER (PARTITION BY idempotency_key) AS copies_of_idempotency_key
         FROM (SELECT {_SILVER_COLUMNS} FROM v_checked WHERE error IS NULL)""",
@@ -667,6 +668,27 @@ STATEMENTS: dict[str, str] = {
     "message_checks": "SELECT message_id, error FROM v_checked",
     "silver_batch": "SELECT * FROM v_silver",
     "silver_with_redeliveries": "SELECT message_id, transaction_id, idempotency_key FROM v_silver_all",
+    "silver_within_ttl": """
+        SELECT * FROM (WITH RECURSIVE d AS (SELECT CAST(ttl AS INT) AS ttl_seconds, idempotency_key, publish_time, min(message_id) AS message_id
+                   FROM v_checked_silver, (VALUES (60), (3600)) AS t(ttl) GROUP BY ALL),
+        kept AS (
+          SELECT ttl_seconds, idempotency_key, min(publish_time) AS kept_at FROM d GROUP BY ALL
+          UNION ALL
+          SELECT k.ttl_seconds, k.idempotency_key, min(d.publish_time) FROM kept k JOIN d USING (ttl_seconds, idempotency_key)
+          WHERE d.publish_time >= k.kept_at + to_seconds(k.ttl_seconds) GROUP BY ALL)
+        SELECT ttl_seconds, message_id, idempotency_key FROM d JOIN kept USING (ttl_seconds, idempotency_key) WHERE publish_time = kept_at)""",
+    "account_quiet_hours": f"""
+        SELECT * FROM (WITH RECURSIVE d AS MATERIALIZED (SELECT account_id, event_time, min(transaction_id) AS transaction_id FROM t_transaction GROUP BY ALL),
+        kept AS (
+          SELECT account_id, min(event_time) AS kept_at FROM d GROUP BY ALL
+          UNION ALL
+          SELECT k.account_id, min(d.event_time) FROM kept k JOIN d USING (account_id)
+          WHERE d.event_time >= k.kept_at + INTERVAL 1 HOUR GROUP BY ALL)
+        SELECT account_id, transaction_id, {_txt('event_time')} FROM d JOIN kept USING (account_id) WHERE event_time = kept_at)""",
+    "delivery_attempts": """
+        SELECT message_id, CASE WHEN bad THEN 5 ELSE 1 END AS attempts, CASE WHEN bad THEN 'set aside' ELSE 'delivered' END AS outcome,
+               CASE WHEN bad THEN 'JSONDecodeError' END AS reason
+        FROM (SELECT message_id, NOT json_valid(data) AS bad FROM t_transaction_event)""",
     "dead_letters": f"""SELECT error, data AS payload, {_txt('publish_time', 'failed_at')}, '1.0.0' AS pipeline_version,
         error AS envelope_error FROM v_checked WHERE error IS NOT NULL""",
     "reconciled": """SELECT * EXCLUDE (ingest_time, source_system, pipeline_version), ingest_time AS publish_time FROM v_silver
