@@ -228,3 +228,23 @@ def test_fuzzy_lines_of_messy_rows(messy, nothing):
     assert line_dedup.report(nothing).count() == 0 and line_dedup.deduplicated(nothing).count() == 0
     plan = out._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_letter_counts_bound_the_edit_distance(spark):
+    """Counts are never further apart than twice the edit distance, so the filter by them drops no like line."""
+    draw = random.Random(5)
+    letters = line_dedup.LETTERS + "xyzäß 0é"
+    rows = []
+    for _ in range(400):
+        a = "".join(draw.choice(letters) for _ in range(draw.randrange(0, 60)))
+        b = list(a)
+        for _ in range(draw.randrange(0, 12)):
+            at = draw.randrange(0, len(b) + 1)
+            b[at : at + draw.randrange(0, 2)] = draw.choice(["", draw.choice(letters)])
+        rows.append((a, "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    named = [c.alias(f"_{side}{name}") for side in "ab" for c, name in zip(line_dedup._bags(side), line_dedup._BAGS)]
+    got = df.select(F.levenshtein("a", "b").alias("steps"), *named).select("steps", line_dedup._counts_apart("_a", "_b").alias("apart"))
+    found = got.collect()
+    assert all(r.apart <= 2 * r.steps for r in found)
+    assert sum(r.apart > 0 for r in found) > 200
