@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerlake.functions.hashing import fingerprint
 from ledgerlake.functions.text import tokens
 from ledgerlake.operators.ranking import top_n_per_key
-from ledgerlake.session import checkpointed
+from ledgerlake.session import checkpointed, written
 
 # ---- fixed values: BM25 and fusion constants ----
 K1 = 1.2
@@ -24,6 +25,10 @@ RRF_K = 60
 QUERY_BLOCK = 2048
 CORPUS_BLOCK = 16_384
 
+#: Postings of a block of documents, and (token, document) cells that a task fills at a time.
+POSTING_BLOCK = 500_000
+STRIP_CELLS = 1 << 21
+
 
 # Workers get this module's functions with the task; they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -60,40 +65,93 @@ def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _best_in_block(k: int):
+    """A cogrouped function: each query's ``k`` best documents of every strip of a block of documents."""
+
+    def run(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if docs.empty or queries.empty:
+            return pd.DataFrame({"query_id": np.empty(0, dtype=object), "doc_id": np.empty(0, dtype=object), "total": np.empty(0, dtype=np.int64)})
+        docs = docs.sort_values("doc_id", na_position="first")  # so that the first of equal scores has the least name
+        ids, asked = docs["doc_id"].to_numpy(), queries["query_id"].to_numpy()
+        vocabulary, at = np.unique(np.concatenate(queries["terms"].to_list()), return_inverse=True)
+        rows = np.split(at, np.cumsum(queries["terms"].map(len).to_numpy())[:-1])
+        doc = np.repeat(np.arange(len(ids)), docs["terms"].map(len).to_numpy())
+        term, weight = np.concatenate(docs["terms"].to_list()), np.concatenate(docs["weights"].to_list())
+        spot = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
+        used = vocabulary[spot] == term
+        doc, spot, weight = doc[used], spot[used], weight[used]
+        width = max(1, STRIP_CELLS // len(vocabulary))
+        found = []
+        for start in range(0, len(ids), width):
+            low, high = np.searchsorted(doc, (start, start + width))
+            cells = np.full((len(vocabulary), min(width, len(ids) - start)), -1, dtype=np.int64)
+            cells[spot[low:high], doc[low:high] - start] = weight[low:high]
+            # A weight may be as little as 0, so a common token shows in a cell that was filled.
+            filled = cells >= 0
+            cells[~filled] = 0
+            bare = bool(np.any(weight[low:high] == 0))
+            for query, its in enumerate(rows):
+                total = cells[its].sum(axis=0)
+                here = np.flatnonzero(filled[its].any(axis=0) if bare else total)
+                if len(here) > k:
+                    here = here[total[here] >= np.partition(total[here], len(here) - k)[len(here) - k]]
+                here = here[np.argsort(-total[here], kind="stable")[:k]]
+                found.append((query, start + here, total[here]))
+        lengths = [len(h) for _, h, _ in found]
+        return pd.DataFrame({
+            "query_id": asked[np.repeat([q for q, _, _ in found], lengths)],
+            "doc_id": ids[np.concatenate([h for _, h, _ in found])],
+            "total": np.concatenate([t for _, _, t in found]),
+        })
+
+    return run
+
+
+def bm25(
+    queries: DataFrame, docs: DataFrame, k: int, query_block: int = QUERY_BLOCK, posting_block: int = POSTING_BLOCK
+) -> DataFrame:
     """(query_id, doc_id, score, rnk): the best ``k`` scoring documents of every query.
 
     ``queries`` has query_id and query; ``docs`` has doc_id, title and content. Documents
     sharing no token with a query get no row. Term scores are summed as whole billionths,
-    so equal documents tie exactly whatever order the tasks finish in.
+    so equal documents tie exactly whatever order the tasks finish in. A term's score in a document
+    is the same for all queries, so it is worked out once; then blocks of queries meet blocks of
+    documents as in :func:`nearest`, and only a block's best ``k`` per query are shuffled.
     """
-    wanted = checkpointed(query_tokens(queries))  # read for the vocabulary and for the weights
-    # Postings feed the statistics and the scores; they are far smaller than the corpus,
-    # and the checkpoint survives lost executors.
-    found = checkpointed(postings(docs, wanted))
-    stats = found.where(F.col("tok") == "").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")
+    wanted = checkpointed(query_tokens(queries))  # read for the vocabulary and for the queries' terms
+    # Postings feed the statistics and the scores; they are far smaller than the corpus.
+    found = written(postings(docs, wanted), "postings")
+    stats = found.agg(
+        F.count_if(F.col("tok") == "").alias("n_docs"), F.avg(F.when(F.col("tok") == "", F.col("dl"))).alias("avgdl"), F.count(F.lit(1)).alias("n")
     )
-    n_docs, avgdl = stats.first()
+    n_docs, avgdl, n_postings = stats.first()
     if not n_docs or not avgdl:
         return wanted.sparkSession.createDataFrame(
             [], "query_id string, doc_id string, score double, rnk int"
         )
     terms = found.where(F.col("tok") != "")
-    document_frequency = terms.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    weights = wanted.join(document_frequency, "tok").select(
-        "query_id", "tok", F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    idf = F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    vocabulary = written(
+        terms.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).select("tok", idf.alias("idf"), F.monotonically_increasing_id().alias("term")),
+        "vocabulary",
     )
     saturation = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
     term_score = F.col("idf") * (F.col("tf") * (K1 + 1)) / saturation
-    # Postings move by document once; the far more numerous (query, document) terms then
-    # add up in place. A document has at most one posting per query token.
-    scored = (
-        terms.repartition("doc_id")
-        .join(weights, "tok")
-        .groupBy("query_id", "doc_id")
-        .agg((F.sum(F.round(term_score * 1e9).cast("long")) / 1e9).alias("score"))
+    entry = F.struct("term", F.round(term_score * 1e9).cast("long").alias("weight"))
+    groups = max(1, -(-wanted.agg(F.count_distinct("query_id")).first()[0] // query_block))
+    blocks = max(1, -(-n_postings // posting_block))
+    weighed = terms.join(vocabulary, "tok").groupBy("doc_id").agg(F.collect_list(entry).alias("_e")).select(
+        "doc_id", F.col("_e.term").alias("terms"), F.col("_e.weight").alias("weights"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"),
     )
+    asked = wanted.join(vocabulary, "tok").groupBy("query_id").agg(F.collect_list("term").alias("terms")).select(
+        "query_id", "terms", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group")
+    )
+    left = weighed.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    schema = StructType([wanted.schema["query_id"], docs.schema["doc_id"], StructField("total", LongType())])
+    out = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(_best_in_block(k), schema)
+    scored = out.select("query_id", "doc_id", (F.col("total") / 1e9).alias("score"))
     best = top_n_per_key(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
     return best.withColumnRenamed("rn", "rnk")
 
