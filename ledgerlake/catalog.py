@@ -27,7 +27,7 @@ from ledgerlake.operators import (
 )
 from ledgerlake.operators.running import row_numbers
 from ledgerlake.plans import evals, gold, loans, semantic, steward
-from ledgerlake.session import scratch_dir
+from ledgerlake.session import names_in, scratch_dir
 from ledgerlake.sources import files, merge
 from ledgerlake.sources.bank import Bank
 from ledgerlake.streaming import attempts, ingest
@@ -499,8 +499,10 @@ def delivery_attempts(b: Bank) -> DataFrame:
     """Attempts and outcome of every message of the feed, in eight batches, to a receiver that takes JSON only."""
     root = scratch_dir(b.spark, "attempts")
     feed = _messages(b).select("message_id", "publish_time", "data")
-    feed.repartitionByRange(8, "publish_time").write.parquet(f"{root}/in")
-    stream = b.spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    # As many files as the feed fills, so that a batch's files are read by as many tasks.
+    feed.repartitionByRange("publish_time").write.parquet(f"{root}/in")
+    files_in = sum(n.endswith(".parquet") for n in names_in(b.spark, f"{root}/in"))
+    stream = b.spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", max(1, -(-files_in // 8))).parquet(f"{root}/in")
     attempts.deliver_stream(stream, attempts.require_json, f"{root}/out", f"{root}/state").awaitTermination()
     while attempts.redeliver(b.spark, feed.schema, attempts.require_json, f"{root}/out"):
         pass

@@ -11,6 +11,7 @@ import json
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -32,31 +33,49 @@ Deliver = Callable[[pd.DataFrame], None]
 
 
 def require_json(frame: pd.DataFrame) -> None:
-    """A delivery that fails on a payload that is not JSON."""
-    for payload in frame["data"]:
-        json.loads(payload)
+    """A delivery that fails on payloads that are not JSON, and names them."""
+    failed = []
+    for place, payload in enumerate(frame["data"]):
+        try:
+            json.loads(payload)
+        except Exception as e:
+            failed.append((place, e))
+    if failed:
+        error = failed[0][1]
+        error.undelivered = [(place, _reason(e)) for place, e in failed]
+        raise error
+
+
+def _reason(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
 
 
 def _tried(deliver: Deliver) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Each message once more attempted; ``error`` is null where it was delivered.
 
-    A chunk that raises is halved until the messages at fault stand alone, so one of
-    n messages costs about 2 log n more calls, all inside its own task.
+    If what a chunk raises names the messages at fault, the others were delivered. Else the chunk
+    is halved until those messages stand alone, so one of n messages costs about 2 log n more calls,
+    all inside its own task.
     """
 
     def parts(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        waiting = [frame]
+        messages = frame.drop(columns=["attempts", "error"])
+        reasons = np.full(len(frame), None, dtype=object)
+        waiting = [(0, len(frame))]
         while waiting:
-            part = waiting.pop()
+            start, stop = waiting.pop()
             try:
-                deliver(part.drop(columns=["attempts", "error"]))
-                yield part.assign(error=None)
+                deliver(messages.iloc[start:stop])
             except Exception as e:  # whatever a delivery raises is the reason
-                if len(part) == 1:
-                    yield part.assign(error=f"{type(e).__name__}: {e}")
+                if named := getattr(e, "undelivered", None):
+                    for place, reason in named:
+                        reasons[start + place] = reason
+                elif stop - start == 1:
+                    reasons[start] = _reason(e)
                 else:
-                    middle = len(part) // 2
-                    waiting += [part.iloc[middle:], part.iloc[:middle]]
+                    middle = (start + stop) // 2
+                    waiting += [(middle, stop), (start, middle)]
+        yield frame.assign(error=reasons)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -116,6 +135,8 @@ def deliver_stream(
     only what waits from the last complete round before it and overwrites its own folders, so a replayed
     batch counts no attempt twice. ``deliver`` takes a pandas frame of messages and raises if any of them
     cannot be delivered; as with any at-least-once feed it may see a message again, after a lost task too.
+    One that delivers what it can gives its exception a list ``undelivered`` of (place in the frame, reason):
+    then only those wait, and none is searched for.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:

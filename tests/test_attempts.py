@@ -104,6 +104,52 @@ def test_no_messages_and_clashing_names(spark):
         attempts._with_attempts(spark.createDataFrame([], "attempts int, data string"))
 
 
+def test_named_messages_are_not_searched_for(spark):
+    """A delivery that names what it could not take is called once a chunk; one that does not is halved, to the same end."""
+    import pandas as pd
+
+    data = ["bad" if i % 3 == 0 else None if i % 50 == 1 else "{}" for i in range(300)]
+    frame = pd.DataFrame({"message_id": [str(i) for i in range(300)], "data": data, "attempts": 1, "error": None})
+    calls = []
+
+    def named(part):
+        calls.append(len(part))
+        attempts.require_json(part)
+
+    def unnamed(part):
+        for payload in part["data"]:
+            json.loads(payload)
+
+    (got, want) = (pd.concat(attempts._tried(d)(iter([frame, frame[:0]]))) for d in (named, unnamed))
+    assert calls == [300]
+    assert got.to_dict("records") == want.to_dict("records")
+    assert [e is None for e in got["error"]] == [x == "{}" for x in data] and set(got["attempts"]) == {2}
+
+
+def test_feed_is_read_by_as_many_tasks_as_it_fills(bank, monkeypatch):
+    """Batches take an eighth of the feed's files, which grow in number with it, not two files of any size."""
+    from ledgerlake import catalog
+
+    rounds = []
+    whole = attempts._round
+
+    def counted(batch, *rest):
+        rounds.append(batch.rdd.getNumPartitions())
+        whole(batch, *rest)
+
+    monkeypatch.setattr(attempts, "_round", counted)
+    bank.spark.conf.set("spark.sql.shuffle.partitions", "24")
+    bank.spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(attempts, "redeliver", lambda *rest: False)
+    try:
+        told = catalog.queries()["delivery_attempts"](bank.spark, bank.folder)
+        assert told.count() == bank.transaction_event.count()
+    finally:
+        bank.spark.conf.set("spark.sql.shuffle.partitions", "4")
+        bank.spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rounds) == 8 and min(rounds) == 3
+
+
 # ---- the batch twin of the TTL ----
 
 START = datetime(2024, 3, 1, tzinfo=timezone.utc)
