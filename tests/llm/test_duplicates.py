@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm import line_dedup, near_dedup, shingles
 from ledgerlake.llm.common import narrowed
 from ledgerlake.llm.components import connected_components, merged_components
+from ledgerlake.session import written
 from tests.llm.conftest import find, lower, union, words
 
 
@@ -248,3 +249,20 @@ def test_letter_counts_bound_the_edit_distance(spark):
     found = got.collect()
     assert all(r.apart <= 2 * r.steps for r in found)
     assert sum(r.apart > 0 for r in found) > 200
+
+
+def test_candidates_fit_in_kind_and_size(spark, documents, monkeypatch):
+    """Buckets of one kind meet no other kind, and no pair that its sizes rule out is looked at."""
+    found = written(line_dedup.occurrences(documents), "lines")
+    keys = line_dedup._keyed(found.select("simhash", *line_dedup._LONGEST).distinct())
+    kinds = {r.simhash: set() for r in keys.select("simhash").distinct().collect()}
+    for r in keys.collect():
+        kinds[r.simhash].add(r.bucket >> line_dedup.BITS)
+    assert all({k % 16 for k in v} <= {*range(10), 15} and len(v) >= 10 for v in kinds.values())
+    asked, linked = [], line_dedup._linked
+    monkeypatch.setattr(line_dedup, "_linked", lambda pairs, texts, s: asked.append((pairs, texts)) or linked(pairs, texts, s))
+    line_dedup.removed(documents)[1].count()
+    assert len(asked) == 2
+    for pairs, texts in asked:
+        sized = pairs.join(texts.select(F.col("line").alias("a"), F.col("size").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("size").alias("y")), "b")
+        assert sized.where("abs(x - y) > floor(round(greatest(x, y) * 0.1, 6))").isEmpty()
