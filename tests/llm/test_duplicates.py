@@ -266,3 +266,45 @@ def test_candidates_fit_in_kind_and_size(spark, documents, monkeypatch):
     for pairs, texts in asked:
         sized = pairs.join(texts.select(F.col("line").alias("a"), F.col("size").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("size").alias("y")), "b")
         assert sized.where("abs(x - y) > floor(round(greatest(x, y) * 0.1, 6))").isEmpty()
+
+
+def crowd(spark, members):
+    """A line that occurs three times and copies of it, like it for the most part but seldom like each other."""
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join(base)) for i in range(3)]
+    for i in range(members):
+        line = list(base)
+        for at in draw.sample(range(60), draw.choice((4, 6, 7, 8))):
+            line[at] = f"x{draw.randrange(10**6)}"
+        rows.append((10 + i, " ".join(line)))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_pairs_of_a_crowd_are_no_rows(spark, monkeypatch):
+    """Copies of one line are compared with it; pairs that are not like each other never leave the bucket's join."""
+    asked, linked = [], line_dedup._linked
+    monkeypatch.setattr(line_dedup, "_linked", lambda pairs, texts, s: asked.append(pairs.count()) or linked(pairs, texts, s))
+    made = {}
+    for members in (60, 240):
+        del asked[:]
+        assert line_dedup.removed(crowd(spark, members)[1])[1].count() > members / 3
+        made[members] = sum(asked)
+    assert made[240] <= 6 * made[60] and made[240] <= 8 * 240
+
+
+def test_slices_of_a_bucket_lose_no_link(spark, monkeypatch):
+    rows, docs = crowd(spark, 80)
+    monkeypatch.setattr(line_dedup, "CROWD", 4)
+    got = {(r.doc_id, r.at) for r in line_dedup.removed(docs)[1].collect()}
+    assert_recall(spark, rows, got, 0.9)
+
+
+def test_replaced_words_bound_the_edit_distance(spark):
+    """Links told from words at the same place are true: what they cost is never below the edit distance."""
+    draw = random.Random(7)
+    line = lambda n: " ".join("".join(draw.choice("abcé") for _ in range(draw.randrange(1, 6))) for _ in range(n))
+    rows = [(line(draw.randrange(1, 9)), line(draw.randrange(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame([*rows, ("a b c", "a b c")], "x string, y string")
+    found = df.select(line_dedup._replaced("x", "y").alias("most"), F.levenshtein("x", "y").alias("steps")).collect()
+    assert all(r.most >= r.steps for r in found) and found[-1].most == 0
