@@ -300,6 +300,41 @@ def test_slices_of_a_bucket_lose_no_link(spark, monkeypatch):
     assert_recall(spark, rows, got, 0.9)
 
 
+def test_lines_are_told_soon(spark):
+    """What is told without the whole edit distance is true, and copies with a few places changed are told so."""
+    draw = random.Random(13)
+    rows = []
+    for i in range(300):
+        line = [f"w{draw.randrange(10**4)}é" for _ in range(60)] if i % 2 else [w for w in "abcde" for _ in range(draw.randrange(1, 40))]
+        copy = list(line)
+        for _ in range(draw.randrange(0, 3) if i < 200 else 14):
+            at = draw.randrange(len(copy))
+            copy[at : at + draw.randrange(0, 2)] = draw.choice([[], [copy[at]], [f"new{at}"]])
+        rows.append((" ".join(line), " ".join(copy)))
+    rows += [("a", "b"), ("a" * 32, "a" * 32), ("a" * 33, "b" * 65), (" ".join(["thor"] * 900), " ".join(["thor"] * 990))]
+    df = spark.createDataFrame(rows, "x string, y string").withColumn("most", line_dedup._edits("length(x)", "length(y)", 0.9))
+    soon = [line_dedup._patched("x", "y", "most").alias("patched"), line_dedup._rerun("x", "y").alias("rerun"), line_dedup._replaced("x", "y").alias("replaced")]
+    found = df.select("most", F.levenshtein("x", "y").alias("steps"), *soon).collect()
+    assert all(r.patched >= min(r.steps, r.most + 1) and r.rerun >= r.steps for r in found)
+    like = [min(r.patched, r.rerun, r.replaced) <= r.most for r in found if r.steps <= r.most]
+    assert sum(like) >= 0.8 * len(like) > 150 and found[-1].rerun == found[-1].steps == 450
+
+
+def test_a_line_is_normalised_and_its_words_are_counted_once(spark):
+    """Copies of a line cost no words again, and a line's normal form is not computed again by a filter."""
+    docs = spark.createDataFrame([(i, "one two three four five six") for i in range(50)], "doc_id long, text string")
+    plan = line_dedup._placed(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    counted = []
+    hashed = line_dedup._hashed
+    line_dedup._hashed = lambda lines, *names: counted.append(lines.count()) or hashed(lines, *names)
+    try:
+        assert line_dedup.removed(docs)[1].count() == 49
+    finally:
+        line_dedup._hashed = hashed
+    assert counted == [1]
+
+
 def test_replaced_words_bound_the_edit_distance(spark):
     """Links told from words at the same place are true: what they cost is never below the edit distance."""
     draw = random.Random(7)
